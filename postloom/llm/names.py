@@ -15,11 +15,11 @@ from postloom.session import cut
 
 # Short forms of given names that no prefix or letter rule explains.
 NICKNAMES = {
-    "abby": "abigail", "bea": "beatrice", "becky": "rebecca", "bernie": "bernard", "beth": "elizabeth", "betty": "elizabeth", "bill": "william",
+    "abby": "abigail", "bea": "beatrice", "becky": "rebecca", "charlie": "charlotte", "lottie": "charlotte", "lina": "catalina", "thea": "dorothea", "pippa": "philippa", "pip": "philippa", "rik": "henrik", "hanna": "hanneke", "andy": "andrew", "bernie": "bernard", "beth": "elizabeth", "betty": "elizabeth", "bill": "william",
     "billy": "william", "bob": "robert", "bobby": "robert", "cathy": "catherine", "chuck": "charles", "dave": "david", "debbie": "deborah",
     "dick": "richard", "dolly": "dorothea", "dora": "dorothea", "dot": "dorothea", "drew": "andrew", "ed": "edmund", "eli": "elizabeth", "ellie": "eleanor", "nell": "eleanor",
     "fran": "francisco", "paco": "francisco", "pancho": "francisco", "fred": "frederick", "freddie": "frederick", "fritz": "frederick", "gabi": "gabriela", "gaby": "gabriela",
-    "gene": "eugene", "hank": "henrik", "harry": "henry", "isa": "isadora", "dora ": "isadora", "jack": "john", "jenny": "jennifer", "jim": "james", "joe": "joseph",
+    "gene": "eugene", "hank": "henrik", "harry": "henry", "isa": "isadora", "jack": "john", "jenny": "jennifer", "jim": "james", "joe": "joseph",
     "josie": "josephine", "kate": "katherine", "kathy": "katherine", "katie": "katherine", "kit": "christopher", "larry": "lawrence", "liz": "elizabeth", "lisa": "elizabeth",
     "ludo": "ludovic", "maggie": "margaret", "manu": "emmanuel", "manny": "emmanuel", "matt": "matthias", "meg": "margaret", "mike": "michael", "mick": "michael",
     "molly": "mary", "nacho": "ignacio", "nan": "anne", "ned": "edmund", "nick": "nicholas", "nicky": "nicholas", "pat": "patricia", "patty": "patricia", "peggy": "margaret",
@@ -35,7 +35,7 @@ TRADES = (
     "trading industries services holdings supplies systems engineering construction consulting partners group plastics metals machinery transport shipping "
     "printing furniture pharma energy solutions technologies works mills farms bank insurance estates tools goods materials products"
 ).split()
-TITLES = frozenset("mr mrs ms miss dr prof sir herr frau monsieur madame mme mlle m senor senora sr sra don dona ing dipl the".split())
+TITLES = frozenset("mr mrs ms miss dr prof sir herr frau monsieur madame mme mlle senor senora sr sra don dona ing dipl the".split())
 _TRADES = frozenset(TRADES)
 
 
@@ -63,12 +63,16 @@ def lcs_ratio(a: str, b: str) -> float:
     return 2.0 * (len(a) - row.bit_count()) / (len(a) + len(b))
 
 
-def _is_trade(w: str, dotted: bool) -> bool:
+@lru_cache(maxsize=50_000)
+def _is_trade(w: str, dotted: bool, first: bool = False) -> bool:
+    """True for a trade word; after the first word also for one with a slip or cut short by a dot."""
     if w in _TRADES:
         return True
-    if not dotted or len(w) < 3:
+    if first or len(w) < 3:
         return False
-    return any(_short_of(w, t) for t in TRADES)
+    if dotted:
+        return any(_short_of(w, t) for t in TRADES)
+    return len(w) >= 5 and any(len(t) >= 5 and lcs_ratio(w, t) >= 0.88 for t in TRADES)
 
 
 def _short_of(short: str, word: str) -> bool:
@@ -99,8 +103,8 @@ def parse(name: str) -> tuple[str, tuple[str, ...], tuple[str, ...]]:
     core = [(w, d) for w, d in words if w not in LEGAL]
     firm = len(core) < len(words) and len(words) > 1 and any(w in LEGAL and w not in ("co", "sa", "ab", "ag") or w == "co" and i == len(words) - 1 for i, (w, _) in enumerate(words) if i)
     core = [(w, d) for w, d in core if w not in TITLES or len(core) == 1]
-    if firm or (len(core) > 1 and any(_is_trade(w, d) for w, d in core)):
-        trade = next((w for w, d in core if _is_trade(w, d) or any(_short_of(w, t) for t in TRADES if d)), "")
+    if firm or (len(core) > 1 and any(_is_trade(w, d, i == 0) for i, (w, d) in enumerate(core))):
+        trade = next((w for i, (w, d) in enumerate(core) if _is_trade(w, d, i == 0)), "")
         rest = tuple(w for w, _ in core if w != trade)
         return "firm", (*rest, *((trade,) if trade else ())), ("trade",) if trade else ()
     # without a legal form or trade: words of one letter are initials, a dotted short word an abbreviation

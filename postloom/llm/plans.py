@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from postloom.llm.fresh import fresh_text, quoted_lines
 from postloom.llm.names import spelling_pairs
 from postloom.llm.neardup import expand, groups, near_pairs
 from postloom.llm.pieces import message_pieces
@@ -25,6 +26,16 @@ def p1_pieces(spark: SparkSession, d: str) -> DataFrame:
     return message_pieces(_table(spark, d, "messages"))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Lines the sender of a message did not newly write."""
+    return quoted_lines(_table(spark, d, "messages"))
+
+
+def p2_fresh(spark: SparkSession, d: str) -> DataFrame:
+    """The newly written text of every message."""
+    return fresh_text(_table(spark, d, "messages"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of spellings of one person or firm."""
     return spelling_pairs(_table(spark, d, "messages"), _table(spark, d, "message_recipients"))
@@ -43,7 +54,7 @@ def p7_groups(spark: SparkSession, d: str) -> DataFrame:
     return groups(cut(pairs), members, "doc_id").select("doc_id", F.col("cluster").alias("class_id"), "links")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p5_found, p7_found, p7_groups)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_fresh, p5_found, p7_found, p7_groups)}
 
 SQL = {
     "p1_found": "SELECT DISTINCT message_id FROM messages WHERE length(body_text) > 1200",
