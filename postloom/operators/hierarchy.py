@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from postloom.operators.skew import running_sum, salted_lookup
-from postloom.session import cut
+from postloom.session import cut, release
 
 BLOCK = 256  # positions of a chain held in one array when paths are written out
 
@@ -25,7 +25,7 @@ def reply_links(messages: DataFrame) -> DataFrame:
     no parent; NULL message ids have no row.
     """
     raw = messages.filter(F.col("message_id").isNotNull()).select("message_id", "in_reply_to", "references_json").dropDuplicates(["message_id"])
-    rows = cut(
+    rows = (
         raw.select(
             bare_id(F.col("message_id")).alias("id"),
             "message_id",
@@ -36,14 +36,12 @@ def reply_links(messages: DataFrame) -> DataFrame:
         .agg(F.min(F.struct("message_id", "irt", "refs")).alias("r"))
         .select("id", "r.*")
     )
-    ids = rows.select(F.col("id").alias("irt"), F.lit(True).alias("_here"))
-    first = cut(salted_lookup(rows, ids, "irt", "left"))
-    by_reply = first.filter("_here").select("id", "message_id", F.col("irt").alias("parent"))
-    rest = first.filter("_here is null")
-    mentions = rest.select("id", F.posexplode("refs").alias("pos", "ref")).select("id", "pos", bare_id(F.col("ref")).alias("ref")).filter("ref is not null and ref <> ''")
+    rows = cut(rows)
+    # every mention with its rank: the direct answer first, then references from the last one back
+    mentions = rows.select("id", F.posexplode(F.concat(F.transform(F.coalesce("refs", F.array().cast("array<string>")), lambda x: bare_id(x)), F.array("irt"))).alias("pos", "ref")).filter("ref is not null and ref <> ''")
     known = salted_lookup(mentions, rows.select(F.col("id").alias("ref")), "ref", "left_semi")
-    last = known.groupBy("id").agg(F.max(F.struct("pos", "ref")).alias("m")).select("id", F.col("m.ref").alias("parent"))
-    return by_reply.unionByName(rest.select("id", "message_id").join(last, "id", "left"))
+    parent = known.groupBy("id").agg(F.max(F.struct("pos", "ref")).alias("m")).select("id", F.col("m.ref").alias("parent"))
+    return rows.select("id", "message_id").join(parent, "id", "left")
 
 
 def _climb(links: DataFrame, sizes: bool) -> tuple[DataFrame, DataFrame]:
@@ -62,18 +60,21 @@ def _climb(links: DataFrame, sizes: bool) -> tuple[DataFrame, DataFrame]:
         F.col("parent").isNull().alias("done"),
         F.lit(1).cast("long").alias("size"),
     )
-    t = cut(t)
-    open_rows, step = t.filter("not done").count(), 1
+    watch = Observation()
+    t = cut(t, watch, F.count(F.when(~F.col("done"), 1)).alias("n"))
+    open_rows, step = watch.get["n"], 1
     while open_rows:
         up = t.select(F.col("id").alias("anc"), F.col("anc").alias("anc2"), F.col("dist").alias("dist2"), F.col("done").alias("done2"))
         moving = t.filter("not done").drop("done")
-        jumped = salted_lookup(moving, up, "anc", "inner").select("id", "parent", F.col("anc2").alias("anc"), (F.col("dist") + F.col("dist2")).alias("dist"), F.col("done2").alias("done"), "size")
+        jumped = moving.join(up, "anc").select("id", "parent", F.col("anc2").alias("anc"), (F.col("dist") + F.col("dist2")).alias("dist"), F.col("done2").alias("done"), "size")
         new = jumped.unionByName(t.filter("done").select("id", "parent", "anc", "dist", "done", "size"))
         if sizes:
             below = t.filter(F.col("dist") == step).groupBy(F.col("anc").alias("id")).agg(F.sum("size").alias("_more"))
             new = new.join(below, "id", "left").withColumn("size", F.col("size") + F.coalesce("_more", F.lit(0))).drop("_more")
-        t = cut(new)
-        left = t.filter("not done").count()
+        watch = Observation()
+        old, t = t, cut(new, watch, F.count(F.when(~F.col("done"), 1)).alias("n"))
+        release(old)
+        left = watch.get["n"]
         step *= 2
         if left == open_rows:
             break

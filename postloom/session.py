@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 
 
 def local_session(cpus: int | str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -23,18 +26,46 @@ def local_session(cpus: int | str = "*", partitions: int = 8, memory: str = "8g"
     )
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the shared folder the session names.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for tables that outlive an executor.
 
     ``spark.checkpoint.dir`` is read from the session; only where it is unset (tests, local
     runs) a temporary folder takes its place.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="postloom-"))
-    return df.checkpoint()
+    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if base is None:
+        base = tempfile.mkdtemp(prefix="postloom-")
+        atexit.register(shutil.rmtree, base, True)
+        sc.setCheckpointDir(base)
+    return base.rstrip("/")
+
+
+def cut(df: DataFrame, watch: Observation | None = None, *metrics) -> DataFrame:
+    """Cut lineage: write the rows as a table in the shared folder and read it back.
+
+    Unlike a checkpoint of an RDD this computes the rows once, keeps them compressed and columnar
+    and tells the planner their size. ``watch`` gathers ``metrics`` while writing.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/postloom/{uuid.uuid4().hex}"
+    out = df.observe(watch, *metrics) if watch is not None else df
+    out.write.parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _written[id(table)] = path
+    return table
+
+
+_written: dict[int, str] = {}
+
+
+def release(table: DataFrame) -> None:
+    """Delete the files of a table written by ``cut`` that nothing reads any more."""
+    path = _written.pop(id(table), None)
+    if path:
+        jvm = table.sparkSession.sparkContext._jvm
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def parallelism(spark: SparkSession) -> int:
