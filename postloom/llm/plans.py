@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from postloom.llm.fresh import fresh_text, quoted_lines
 from postloom.llm.names import spelling_pairs
 from postloom.llm.neardup import expand, groups, near_pairs
+from postloom.llm import pii
 from postloom.llm.pieces import message_pieces
 from postloom.session import cut
 
@@ -54,7 +55,17 @@ def p7_groups(spark: SparkSession, d: str) -> DataFrame:
     return groups(cut(pairs), members, "doc_id").select("doc_id", F.col("cluster").alias("class_id"), "links")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_fresh, p5_found, p7_found, p7_groups)}
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    """Mentions of personal information in every document."""
+    return pii.mentions(_table(spark, d, "documents"))
+
+
+def p10_masked(spark: SparkSession, d: str) -> DataFrame:
+    """Every document with typed placeholders."""
+    return pii.masked(_table(spark, d, "documents")).select("doc_id", "text")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_fresh, p5_found, p7_found, p7_groups, p10_found, p10_masked)}
 
 SQL = {
     "p1_found": "SELECT DISTINCT message_id FROM messages WHERE length(body_text) > 1200",
