@@ -9,6 +9,8 @@ from postloom.llm.fresh import fresh_text, quoted_lines
 from postloom.llm.names import spelling_pairs
 from postloom.llm.neardup import expand, groups, near_pairs
 from postloom.llm import pii
+from postloom.llm.mixing import draw
+from postloom.llm.packing import pack
 from postloom.llm.pieces import message_pieces
 from postloom.session import cut
 
@@ -55,6 +57,21 @@ def p7_groups(spark: SparkSession, d: str) -> DataFrame:
     return groups(cut(pairs), members, "doc_id").select("doc_id", F.col("cluster").alias("class_id"), "links")
 
 
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    """Containers of 2,048 tokens with their documents and free space."""
+    return pack(_table(spark, d, "documents"))
+
+
+def p9_drawn(spark: SparkSession, d: str) -> DataFrame:
+    """Drawn documents with their repeats."""
+    return draw(_table(spark, d, "documents"), _table(spark, d, "mix_targets"))[0]
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Target and actual share of every source."""
+    return draw(_table(spark, d, "documents"), _table(spark, d, "mix_targets"))[1]
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     """Mentions of personal information in every document."""
     return pii.mentions(_table(spark, d, "documents"))
@@ -65,7 +82,7 @@ def p10_masked(spark: SparkSession, d: str) -> DataFrame:
     return pii.masked(_table(spark, d, "documents")).select("doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_fresh, p5_found, p7_found, p7_groups, p10_found, p10_masked)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_fresh, p5_found, p7_found, p7_groups, p8_containers, p9_drawn, p9_shares, p10_found, p10_masked)}
 
 SQL = {
     "p1_found": "SELECT DISTINCT message_id FROM messages WHERE length(body_text) > 1200",
