@@ -232,14 +232,15 @@ def blocks(rows: DataFrame, least: int, common: int) -> DataFrame:
     the address; the last refinement is never discarded. Words also block by address and first
     letter (the empty suffix, refined at once), for slips of the key near the end of a word.
     """
-    parts = rows.select("id", "address", "domain", F.explode("words").alias("w"))
+    # hashes keep the shuffles small; should two keys collide, a block holds a few pairs more
+    parts = rows.select("id", F.xxhash64("address").alias("address"), F.xxhash64("domain").alias("domain"), F.explode("words").alias("w"))
     n = F.length("w")
-    tails = parts.select("id", "address", "domain", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(n - (least - 1), F.lit(1))), lambda i: F.col("w").substr(i, n))).alias("s")).distinct()
+    tails = parts.select("id", "address", "domain", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(n - (least - 1), F.lit(1))), lambda i: F.xxhash64(F.col("w").substr(i, n)))).alias("s"))
     by_s = tails.groupBy("s").agg((F.count("*") > common).alias("many_s"))
     by_d = tails.groupBy("s", "domain").agg((F.count("*") > common).alias("many_d"))
     marked = tails.join(by_s, "s").join(by_d, ["s", "domain"])
-    block = F.when(~F.col("many_s"), F.concat(F.lit("s "), F.col("s"))).when(~F.col("many_d"), F.concat(F.lit("d "), F.col("s"), F.lit(" "), F.col("domain"))).otherwise(F.concat(F.lit("a "), F.col("s"), F.lit(" "), F.col("address")))
-    first = parts.select(F.concat(F.lit("i "), F.substring("w", 1, 1), F.lit(" "), F.col("address")).alias("block"), "id")
+    block = F.when(~F.col("many_s"), F.col("s")).when(~F.col("many_d"), F.xxhash64("s", "domain")).otherwise(F.xxhash64("s", F.lit("a"), "address"))
+    first = parts.select(F.xxhash64(F.lit("i"), F.substring("w", 1, 1), "address").alias("block"), "id")
     return marked.select(block.alias("block"), "id").unionByName(first).distinct()
 
 
@@ -267,10 +268,10 @@ def entities(messages: DataFrame, recipients: DataFrame) -> DataFrame:
     """
     rows = mentions(messages, recipients).withColumn("p", F.pandas_udf(_profile, PROFILE)("name"))
     rows = cut(
-        rows.select("name", "address", "real", F.regexp_extract("address", "@(.+)$", 1).alias("domain"), "p.*", F.concat_ws("\u0001", "name", "address").alias("id")).filter("kind <> 'none' and size(words) > 0")
+        rows.select("name", "address", "real", F.regexp_extract("address", "@(.+)$", 1).alias("domain"), "p.*", F.unhex(F.md5(F.concat_ws("\u0001", "name", "address"))).alias("id")).filter("kind <> 'none' and size(words) > 0")
     )
     found = cut(links(rows))
-    keyed = rows.filter("ident is not null").select(F.col("id").alias("a"), F.col("ident").alias("b"))
+    keyed = rows.filter("ident is not null").select(F.col("id").alias("a"), F.unhex(F.md5("ident")).alias("b"))
     strong = found.filter("grade = 2 and wa and wb").select("a", "b").unionByName(keyed)
     comp = cut(components(strong))
     member = rows.join(comp.withColumnRenamed("node", "id"), "id").select("id", "name", "real", F.col("component").alias("entity"))
