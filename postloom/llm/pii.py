@@ -32,8 +32,8 @@ GIVEN = (
 
 _W = r"[^\W\d_]+(?:['’-][^\W\d_]+)*"
 _EMAIL = re.compile(
-    r"[\w.+-]+ ?@ ?(?:[\w-]+\. ?)+[A-Za-z]{2,}\b"
-    r"|\b[\w.+-]+ ?[\[({] ?at ?[\])}] ?[\w-]+(?: ?(?:[\[({] ?dot ?[\])}]|\.) ?[\w-]+)+"
+    r"[\w.+-]+ ?@ ?(?:[\w-]+\.)+[A-Za-z]{2,}\b"
+    r"|\b[\w.+-]+ ?[\[({] ?at ?[\])}] ?[\w-]+(?: ?[\[({] ?dot ?[\])}] ?[\w-]+|\.[\w-]+)+"
     r"|\b[\w.+-]+ at [\w-]+(?: dot [\w-]+)+",
     re.I,
 )
@@ -49,9 +49,9 @@ _ROAD = r"(?:Street|St|Road|Rd\.?|Lane|Ln|Avenue|Ave|Drive|Dr|Court|Ct|Close|Way
 _STREET = re.compile(
     rf"(?:\b{_ROOM} \d{{1,4}}[A-Z]?, )?\b\d{{1,4}}[A-Z]? (?:[^\W\d_][\w'’-]* ){{1,3}}?{_ROAD}(?![\w'])(?:, {_ROOM} \d{{1,4}}[A-Z]?\b)?"
     r"|\b(?:P\.? ?O\.? ?Box|Postfach|Apartado(?: de Correos)?) \d{1,6}\b"
-    r"|\b[^\W\d_][\w-]*(?:weg|straße|strasse|str\.|gasse|platz|allee|ring|damm|ufer|steig) \d{1,4} ?[A-Z]?\b"
-    r"|\b\d{1,4}(?: ?[A-Z]| ?bis| ?ter)?,? (?:rue|avenue|place|boulevard|allée|impasse|chemin|quai|cours|passage|square)(?: de la| de l['’]| des| du| de| d['’])? ?(?:[A-ZÀ-Þa-zà-ÿ][\w'’-]*)(?: (?!et\b|à\b|au\b|le\b|la\b|par\b|pour\b)[A-ZÀ-Þ][\w'’-]*)*"
-    r"|(?:\bCalle|\bC/|\bAvda\.?|\bAvenida|\bPlaza|\bPaseo|\bCamino|\bRonda)(?: de la| de los| de las| del| de)? (?:[^\W\d_][\w'’-]* ?){1,4}, ?\d{1,4} ?[A-Z]?\b",
+    r"|\b[^\W\d_][\w-]*(?:weg|straße|strasse|str\.|gasse|platz|allee|ring|damm|ufer|steig) \d{1,4}[A-Z]?(?!\w)"
+    r"|\b\d{1,4}(?:[A-Z]| ?bis| ?ter)?,? (?:rue|avenue|place|boulevard|allée|impasse|chemin|quai|cours|passage|square)(?: de la| de l['’]| des| du| de| d['’])? ?(?:[A-ZÀ-Þa-zà-ÿ][\w'’-]*)(?: (?!et\b|à\b|au\b|le\b|la\b|par\b|pour\b)[A-ZÀ-Þ][\w'’-]*)*"
+    r"|(?:\bCalle|\bC/|\bAvda\.?|\bAvenida|\bPlaza|\bPaseo|\bCamino|\bRonda)(?: de la| de los| de las| del| de)? (?:[^\W\d_][\w'’-]* ?){1,4}, ?\d{1,4}[A-Z]?(?!\w)",
     re.I,
 )
 _TITLE = r"(?:Mr|Mrs|Ms|Miss|Dr|Prof|Sir|Herrn?|Frau|Madame|Mme|Monsieur|Señora?|Sra?|Don|Doña)"
