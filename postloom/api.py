@@ -232,8 +232,8 @@ class Engine:
         return self.store.read("facts").withColumnRenamed("value_json", "value")
 
     def _beliefs(self) -> DataFrame:
-        b = ledger.belief_history(self._log())
-        return b.withColumnRenamed("value", "value_json").withColumn("fact_id", F.xxhash64(*b.columns)).withColumn("source_chunk", F.lit(None).cast("string")).withColumn("source_message", F.lit(None).cast("string"))
+        b = ledger.belief_history(self._log()).withColumnRenamed("value", "value_json")
+        return b.withColumn("fact_id", F.xxhash64(*b.columns)).withColumn("source_chunk", F.lit(None).cast("string")).withColumn("source_message", F.lit(None).cast("string"))
 
     def fact_as_of(self, entity: str, relation: str, day: str) -> DataFrame:
         q = self.spark.createDataFrame([(entity, relation, day)], "entity string, relation string, day string")
