@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterable
 
 import numpy as np
@@ -31,12 +32,12 @@ GIVEN = (
 ).split()
 
 _W = r"[^\W\d_]+(?:['’-][^\W\d_]+)*"
-_EMAIL = re.compile(
-    r"[\w.+-]+ ?@ ?(?:[\w-]+\.)+[A-Za-z]{2,}\b"
-    r"|\b[\w.+-]+ ?[\[({] ?at ?[\])}] ?[\w-]+(?: ?[\[({] ?dot ?[\])}] ?[\w-]+|\.[\w-]+)+"
-    r"|\b[\w.+-]+ at [\w-]+(?: dot [\w-]+)+",
-    re.I,
-)
+# E-mails are found from their at-sign or its spelling, outwards
+_AT = re.compile(r" ?@ ?| ?[\[({] ?[Aa][Tt] ?[\])}] ?| [Aa][Tt] (?=[\w-]+ [Dd][Oo][Tt] )")
+_LOCAL = re.compile(r"[\w.+-]+$")
+_DOMAIN = re.compile(r"(?:[\w-]+\.)+[A-Za-z]{2,}\b")
+_DOMAIN_SPELLED = re.compile(r"[\w-]+(?: ?[\[({] ?dot ?[\])}] ?[\w-]+|\.[\w-]+)+", re.I)
+_DOMAIN_WORDS = re.compile(r"[\w-]+(?: dot [\w-]+)+", re.I)
 _EXT = r"(?:,? ?(?:ext|extension|x|app|poste|durchwahl|dw)\.? ?\d{1,5})?"
 _PHONE = re.compile(
     rf"(?<![\w+/.,-])(?:\+\d{{1,3}}[ .-]?(?:\(0\) ?)?(?:\(?\d{{1,4}}\)?[ ./-]?){{2,5}}\d{{2,4}}|00\d{{9,13}}|\(\d{{2,5}}\) ?\d{{3,4}}[ -]\d{{3,4}}|(?:1[ .-])?\d{{3}}([-. ])\d{{3}}\1\d{{4}}"
@@ -46,18 +47,27 @@ _PHONE = re.compile(
 _ID = re.compile(r"(?<![\w./-])(?:\d{3}([- ])\d{2}\1\d{4}|\d{2}\.\d{3}\.\d{3}-[\dkK]|[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D]|\d{6}-\d{4}|[A-Z]\d{7}|\d{8}[A-Z])(?![\w/-]|[.,]\d)")
 _ROOM = r"(?:Unit|Flat|Apt\.?|Apartment|Suite|Room)"
 _ROAD = r"(?:Street|St|Road|Rd\.?|Lane|Ln|Avenue|Ave|Drive|Dr|Court|Ct|Close|Way|Place|Square|Terrace|Crescent|Grove|Gardens|Row|Hill|Mews|Boulevard|Blvd|Parade|Walk)"
-_STREET = re.compile(
-    rf"(?:\b{_ROOM} \d{{1,4}}[A-Z]?, )?\b\d{{1,4}}[A-Z]? (?:[^\W\d_][\w'’-]* ){{1,3}}?{_ROAD}(?![\w'])(?:, {_ROOM} \d{{1,4}}[A-Z]?\b)?"
-    r"|\b(?:P\.? ?O\.? ?Box|Postfach|Apartado(?: de Correos)?) \d{1,6}\b"
-    r"|\b[^\W\d_][\w-]*(?:weg|straße|strasse|str\.|gasse|platz|allee|ring|damm|ufer|steig) \d{1,4}[A-Z]?(?!\w)"
-    r"|\b\d{1,4}(?:[A-Z]| ?bis| ?ter)?,? (?:rue|avenue|place|boulevard|allée|impasse|chemin|quai|cours|passage|square)(?: de la| de l['’]| des| du| de| d['’])? ?(?:[A-ZÀ-Þa-zà-ÿ][\w'’-]*)(?: (?!et\b|à\b|au\b|le\b|la\b|par\b|pour\b)[A-ZÀ-Þ][\w'’-]*)*"
-    r"|(?:\bCalle|\bC/|\bAvda\.?|\bAvenida|\bPlaza|\bPaseo|\bCamino|\bRonda)(?: de la| de los| de las| del| de)? (?:[^\W\d_][\w'’-]* ?){1,4}, ?\d{1,4}[A-Z]?(?!\w)",
+# Addresses are found from their number, to either side
+_NUMBER = re.compile(r"(?<!\w)\d{1,6}")
+_NUMBER_ROAD = re.compile(
+    rf"\d{{1,4}}[A-Z]? (?:[^\W\d_][\w'’-]* ){{1,3}}?{_ROAD}(?![\w'])(?:, {_ROOM} \d{{1,4}}[A-Z]?\b)?"
+    r"|\d{1,4}(?:[A-Z]| ?bis| ?ter)?,? (?:rue|avenue|place|boulevard|allée|impasse|chemin|quai|cours|passage|square)(?: de la| de l['’]| des| du| de| d['’])? ?(?:[A-ZÀ-Þa-zà-ÿ][\w'’-]*)(?: (?!et\b|à\b|au\b|le\b|la\b|par\b|pour\b)[A-ZÀ-Þ][\w'’-]*)*",
     re.I,
 )
-_TITLE = r"(?:Mr|Mrs|Ms|Miss|Dr|Prof|Sir|Herrn?|Frau|Madame|Mme|Monsieur|Señora?|Sra?|Don|Doña)"
-_TITLED = re.compile(rf"(?i:\b{_TITLE}\.?) ([A-ZÀ-Þ]{_W[4:]}|[A-ZÀ-Þ][^\W\d_]+(?:-[A-ZÀ-Þ][^\W\d_]+)?)")
+_ROOM_BEFORE = re.compile(rf"\b{_ROOM} \d{{1,4}}[A-Z]?, $", re.I)
+_ROAD_ENDS = ("weg ", "straße ", "strasse ", "str. ", "gasse ", "platz ", "allee ", "ring ", "damm ", "ufer ", "steig ")
+_ROAD_WORD = re.compile(r"\b[^\W\d_][\w-]*\.? $")
+_BOX_BEFORE = re.compile(r"\b(?:P\.? ?O\.? ?Box|Postfach|Apartado(?: de Correos)?) $", re.I)
+_CALLE_BEFORE = re.compile(r"(?:\bCalle|\bC/|\bAvda\.?|\bAvenida|\bPlaza|\bPaseo|\bCamino|\bRonda)(?: de la| de los| de las| del| de)? (?:[^\W\d_][\w'’-]* ?){1,4}, ?$", re.I)
+_LETTER_AFTER = re.compile(r"\d{1,4}[A-Za-z]?(?!\w)")
+_TITLES = frozenset("mr mrs ms miss dr prof sir herr herrn frau madame mme monsieur señor señora sr sra don doña".split())
+_FAMILY = re.compile(r"\.? ([A-ZÀ-Þ][^\W\d_]+(?:-[A-ZÀ-Þ][^\W\d_]+)?)")
 _INITIAL = re.compile(r"(?<![\w.])(?:[A-ZÀ-Þ]\. ?){1,3} ?[A-ZÀ-Þ][^\W\d_]+(?:-[A-ZÀ-Þ][^\W\d_]+)?")
 _WORD = re.compile(_W)
+_MIDDLE = re.compile(r"(?: [A-ZÀ-Þ]\.)+")
+_NEXT_WORD = re.compile(rf" {{1,2}}({_W})")
+_COMMA_BEFORE = re.compile(rf"({_W}), $")
+_WORD_BEFORE = re.compile(rf"({_W}) $")
 _BAD_BEFORE = re.compile(r"(?i)\b(?:part|item|article|art|sku|lot|batch|charge|serial|model|firmware|version|folio|sheet|ratio|ref|replaces|invoice|order|tracking|account|doc)\b\.?(?: no\.?| number| nr\.?| ref)?:? *(?:\S+ (?:was \w+, )?)?$")
 _GREET = re.compile(r"(?i)(?:^|\n)\s*(?:dear|hi|hello|hey|hallo|hola|bonjour|ciao|cher|chère|liebe[r]?|estimad[oa]|good (?:morning|day|afternoon|evening)|guten (?:tag|morgen)|buenos días)(?: \w+ and| \w+ und| \w+ et| \w+ y|)\s+$")
 _LONE_BEFORE = re.compile(r"(?i)\b(?:ask for|asked? for|spoke (?:with|to)|speak (?:with|to)|talk(?:ed)? (?:with|to)|call(?:ed)?|otherwise|thanks,?|regards,?|tell|told|with|from|by|attn:?|contact:?|frag(?:en)? (?:nach|sie)|fragen sie nach|demandez|demander|pregunte por|preguntar por|sonst|sinon|and|und|et|y) $")
@@ -78,6 +88,26 @@ class Lexicon:
         g = {x.lower() for x in given} | set(GIVEN) | {k.strip() for k in NICKNAMES} | set(NICKNAMES.values())
         self.given = g | {fold(x) for x in g} | {"alex", "ben", "chris", "dan", "deb", "greg", "jen", "jo", "jon", "max", "nic", "phil", "tim", "gabi", "cata", "ric", "kat", "ros"}
         self.common = set(common)
+        self._index = None
+
+    def __getstate__(self) -> dict:
+        return {"given": self.given, "common": self.common, "_index": None}
+
+    def known(self, low: str) -> Iterable[tuple[int, int]]:
+        """Places of given names and titles in a text written small, whole words only."""
+        if self._index is None:
+            import ahocorasick
+
+            self._index = ahocorasick.Automaton()
+            for w in self.given | _TITLES:
+                self._index.add_word(w, len(w))
+            self._index.make_automaton()
+        n = len(low)
+        for last, size in self._index.iter(low):
+            a, b = last + 1 - size, last + 1
+            if (a and (low[a - 1].isalpha() or low[a - 1] in "_" or low[a - 1] in "'’-" and a > 1 and low[a - 2].isalpha())) or (b < n and (low[b].isalpha() or low[b] == "_" or low[b] in "'’-" and b + 1 < n and low[b + 1].isalpha())):
+                continue
+            yield a, b
 
     def is_given(self, w: str) -> bool:
         return w.lower() in self.given
@@ -91,45 +121,85 @@ def candidates(text: str, lex: Lexicon) -> list[tuple[str, int, int, str]]:
     """(kind, start, end, shape) of every span worth judging."""
     out = []
     mails = []
-    for m in _EMAIL.finditer(text):
-        end = m.end()
-        mails.append((m.start(), end))
-        out.append(("email", m.start(), end, "at" if "@" in m.group() else "words"))
+    for m in _AT.finditer(text):
+        left = _LOCAL.search(text[max(0, m.start() - 80) : m.start()])
+        if not left or (mails and m.start() < mails[-1][1]):
+            continue
+        sign = m.group()
+        right = (_DOMAIN if "@" in sign else _DOMAIN_SPELLED if sign.strip()[:1] in "[({" else _DOMAIN_WORDS).match(text, m.end())
+        if right:
+            start = m.start() - len(left.group())
+            mails.append((start, right.end()))
+            out.append(("email", start, right.end(), "at" if "@" in sign else "words"))
     inside = lambda a, b: any(x < b and a < y for x, y in mails)
-    for kind, pattern in (("phone", _PHONE), ("id_number", _ID), ("street_address", _STREET)):
+    for kind, pattern in (("phone", _PHONE), ("id_number", _ID)):
         for m in pattern.finditer(text):
             if not inside(m.start(), m.end()):
-                s = m.group()
-                out.append((kind, m.start(), m.end(), re.sub(r"[^\W\d_]+", "a", re.sub(r"\d+", lambda d: str(len(d.group())), s))[:24]))
-    for m in _TITLED.finditer(text):
-        if not lex.is_given(m.group(1)) and lex.rare(m.group(1)):
-            out.append(("name", m.start(1), m.end(1), "titled"))
+                out.append((kind, m.start(), m.end(), _shape(m.group())))
+    reached = 0
+    for m in _NUMBER.finditer(text):
+        a, b = m.span()
+        if a < reached:
+            continue
+        left = text[max(0, a - 60) : a]
+        tail = left.lower()
+        span = None
+        road = _NUMBER_ROAD.match(text, a) if b - a <= 4 else None
+        if road:
+            room = _ROOM_BEFORE.search(left)
+            span = (a - len(left) + room.start() if room else a, road.end())
+        elif tail.endswith(_ROAD_ENDS):
+            word, end = _ROAD_WORD.search(left), _LETTER_AFTER.match(text, a)
+            whole = word and end and not any(word.group().lower() == x for x in _ROAD_ENDS)
+            span = (a - len(left) + word.start(), end.end()) if whole else None
+        elif tail.endswith(("box ", "postfach ", "apartado ", "correos ")):
+            box = _BOX_BEFORE.search(left)
+            span = (a - len(left) + box.start(), b) if box and not text[b : b + 1].isalnum() else None
+        elif tail.endswith((", ", ",")):
+            calle, end = _CALLE_BEFORE.search(left), _LETTER_AFTER.match(text, a)
+            span = (a - len(left) + calle.start(), end.end()) if calle and end else None
+        if span and not inside(*span):
+            reached = span[1]
+            out.append(("street_address", *span, _shape(text[span[0] : span[1]])))
     for m in _INITIAL.finditer(text):
         last = m.group().rsplit(" ", 1)[-1].rsplit(".", 1)[-1]
         if last and lex.rare(last) and not inside(m.start(), m.end()):
             out.append(("name", m.start(), m.end(), "initial"))
-    toks = [(m.group(), m.start(), m.end()) for m in _WORD.finditer(text)]
-    for i, (w, a, b) in enumerate(toks):
-        if not lex.is_given(w) or inside(a, b):
+    low = text.lower()
+    if len(low) != len(text):
+        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+    for a, b in lex.known(low):
+        w = text[a:b]
+        if low[a:b] in _TITLES:
+            m = _FAMILY.match(text, b)
+            if m and not lex.is_given(m.group(1)) and lex.rare(m.group(1)):
+                out.append(("name", m.start(1), m.end(1), "titled"))
+            if low[a:b] not in lex.given:
+                continue
+        if inside(a, b):
             continue
         start, end, shape = a, b, "lone"
-        k, at = i + 1, b
-        # initials between given and family name
-        while k < len(toks) and len(toks[k][0]) == 1 and toks[k][0].isupper() and text[at : toks[k][1]] == " " and text[toks[k][2] : toks[k][2] + 1] == ".":
-            at = toks[k][2] + 1
-            k += 1
-        if k < len(toks) and re.fullmatch(r" {1,2}", text[at : toks[k][1]]) and len(toks[k][0]) > 2 and lex.rare(toks[k][0]) and (toks[k][0][0].isupper() or w.islower()) and not lex.is_given(toks[k][0]):
-            end, shape = toks[k][2], "full"
-        elif i and text[toks[i - 1][2] : a] == ", " and len(toks[i - 1][0]) > 2 and toks[i - 1][0][0].isupper() == w[0].isupper() and lex.rare(toks[i - 1][0]) and not lex.is_given(toks[i - 1][0]):
-            start, shape = toks[i - 1][1], "turned"
-            if at > b:
-                end = at
-        elif i and len(toks[i - 1][0]) > 2 and toks[i - 1][0].isupper() and text[toks[i - 1][2] : a] == " " and not w.isupper() and lex.rare(toks[i - 1][0]):
-            start, shape = toks[i - 1][1], "turned"
+        middle = _MIDDLE.match(text, b)
+        at = middle.end() if middle else b
+        after = _NEXT_WORD.match(text, at)
+        before = text[max(0, a - 40) : a]
+        turned = _COMMA_BEFORE.search(before) if before.endswith(", ") else None
+        caps = _WORD_BEFORE.search(before) if before.endswith(" ") and not turned else None
+        if after and len(after.group(1)) > 2 and lex.rare(after.group(1)) and (after.group(1)[0].isupper() or w.islower()) and not lex.is_given(after.group(1)):
+            end, shape = after.end(1), "full"
+        elif turned and len(turned.group(1)) > 2 and turned.group(1)[0].isupper() == w[0].isupper() and lex.rare(turned.group(1)) and not lex.is_given(turned.group(1)):
+            start, shape = a - len(before) + turned.start(1), "turned"
+            end = at
+        elif caps and len(caps.group(1)) > 2 and caps.group(1).isupper() and not w.isupper() and lex.rare(caps.group(1)):
+            start, shape = a - len(before) + caps.start(1), "turned"
         out.append(("name", start, end, shape))
     return out
 
 
+def _shape(s: str) -> str:
+    return re.sub(r"[^\W\d_]+", "a", re.sub(r"\d+", lambda d: str(len(d.group())), s))[:24]
+
+
 LABELERS = ("shape", "gazetteer", "before", "after", "negative", "alone")
 
 
@@ -266,16 +336,29 @@ def replace(text: str | None, spans: list[tuple[str, int, int]]) -> str | None:
     return "".join(parts) + text[at:]
 
 
+_SMALL = re.compile(r"\b[a-zà-öø-ÿ]{2,}\b")
+_ANY = re.compile(r"[a-zà-öø-ÿ]{2,}")
+
+
 def common_words(documents: DataFrame, share: float = 0.003, low_share: float = 0.0006, most: int = 20_000) -> list[str]:
     """Ordinary words: in a share of all documents, or written small in a smaller share of them.
 
     Counts cover every document; at most ``most`` words (those in most documents) reach the driver.
     """
     n = documents.count()
-    # (word, written small) pairs, once per document
-    small = F.transform(F.regexp_extract_all("text", F.lit(r"\b[a-zà-öø-ÿ]{2,}\b"), F.lit(0)), lambda x: F.struct(x.alias("w"), F.lit(True).alias("small")))
-    every = F.transform(F.regexp_extract_all(F.lower("text"), F.lit(r"[a-zà-öø-ÿ]{2,}"), F.lit(0)), lambda x: F.struct(x.alias("w"), F.lit(False).alias("small")))
-    words = documents.filter("text is not null").select(F.explode(F.array_distinct(F.concat(small, every))).alias("x")).groupBy("x.w", "x.small").agg(F.count("*").alias("df"))
+
+    def tally(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
+        for batch in batches:
+            small: Counter = Counter()
+            every: Counter = Counter()
+            for t in batch["text"]:
+                small.update(set(_SMALL.findall(t)))
+                every.update(set(_ANY.findall(t.lower())))
+            rows = [(w, True, c) for w, c in small.items()] + [(w, False, c) for w, c in every.items()]
+            yield pd.DataFrame(rows, columns=["w", "small", "df"])
+
+    # one row per word and batch: counted before anything is shuffled
+    words = documents.filter("text is not null").select("text").mapInPandas(tally, "w string, small boolean, df bigint").groupBy("w", "small").agg(F.sum("df").alias("df"))
     kept = words.filter((F.col("df") >= max(3.0, share * n)) | (F.col("small") & (F.col("df") >= max(3.0, low_share * n))))
     top = kept.groupBy("w").agg(F.max("df").alias("df")).orderBy(F.desc("df"), "w").limit(most)
     return [r[0] for r in top.collect()]
