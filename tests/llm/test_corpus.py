@@ -274,3 +274,12 @@ def test_mentions_frame(rows):
     assert pii.mentions(rows([], schema)).count() == 0
     out = {r["doc_id"]: r["text"] for r in pii.masked(df).collect()}
     assert out[900] is None and out[901] == "" and "anna.k@mail.example" not in out[0]
+
+
+def test_token_counts_agree_between_files():
+    from postloom.llm import tokens
+
+    texts = ["Hello there, it's 12 o'clock.\n\n  two  spaces", "", None, "über 👍🏽 <|endoftext|>", "x" * 5000]
+    a, b = (tokens.count(texts, f"/opt/tokenizers/byte_bpe_50k.{kind}") for kind in ("tiktoken", "json"))
+    assert a == b and a[1] == a[2] == 0
+    assert tokens.count(["a b"], "/opt/tokenizers/piece_bpe_32k.model")[0] > 0
