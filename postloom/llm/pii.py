@@ -11,7 +11,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -33,7 +33,8 @@ GIVEN = (
 
 _W = r"[^\W\d_]+(?:['’-][^\W\d_]+)*"
 # E-mails are found from their at-sign or its spelling, outwards
-_AT = re.compile(r" ?@ ?| ?[\[({] ?[Aa][Tt] ?[\])}] ?| [Aa][Tt] (?=[\w-]+ [Dd][Oo][Tt] )")
+_AT = re.compile(r"@|[\[({] ?[Aa][Tt] ?[\])}]")
+_AT_WORDS = re.compile(r"@|[\[({] ?[Aa][Tt] ?[\])}]| [Aa][Tt] (?=[\w-]+ [Dd][Oo][Tt] )")
 _LOCAL = re.compile(r"[\w.+-]+$")
 _DOMAIN = re.compile(r"(?:[\w-]+\.)+[A-Za-z]{2,}\b")
 _DOMAIN_SPELLED = re.compile(r"[\w-]+(?: ?[\[({] ?dot ?[\])}] ?[\w-]+|\.[\w-]+)+", re.I)
@@ -48,7 +49,7 @@ _ID = re.compile(r"(?<![\w./-])(?:\d{3}([- ])\d{2}\1\d{4}|\d{2}\.\d{3}\.\d{3}-[\
 _ROOM = r"(?:Unit|Flat|Apt\.?|Apartment|Suite|Room)"
 _ROAD = r"(?:Street|St|Road|Rd\.?|Lane|Ln|Avenue|Ave|Drive|Dr|Court|Ct|Close|Way|Place|Square|Terrace|Crescent|Grove|Gardens|Row|Hill|Mews|Boulevard|Blvd|Parade|Walk)"
 # Addresses are found from their number, to either side
-_NUMBER = re.compile(r"(?<!\w)\d{1,6}")
+_DIGITS = re.compile(r"\d+")
 _NUMBER_ROAD = re.compile(
     rf"\d{{1,4}}[A-Z]? (?:[^\W\d_][\w'’-]* ){{1,3}}?{_ROAD}(?![\w'])(?:, {_ROOM} \d{{1,4}}[A-Z]?\b)?"
     r"|\d{1,4}(?:[A-Z]| ?bis| ?ter)?,? (?:rue|avenue|place|boulevard|allée|impasse|chemin|quai|cours|passage|square)(?: de la| de l['’]| des| du| de| d['’])? ?(?:[A-ZÀ-Þa-zà-ÿ][\w'’-]*)(?: (?!et\b|à\b|au\b|le\b|la\b|par\b|pour\b)[A-ZÀ-Þ][\w'’-]*)*",
@@ -121,26 +122,48 @@ def candidates(text: str, lex: Lexicon) -> list[tuple[str, int, int, str]]:
     """(kind, start, end, shape) of every span worth judging."""
     out = []
     mails = []
-    for m in _AT.finditer(text):
-        left = _LOCAL.search(text[max(0, m.start() - 80) : m.start()])
-        if not left or (mails and m.start() < mails[-1][1]):
+    for m in (_AT_WORDS if " dot " in text.lower() else _AT).finditer(text):
+        sign, gap = m.group(), m.start()
+        words = sign[0] == " "
+        if not words and text[gap - 1 : gap] == " ":
+            gap -= 1
+        left = _LOCAL.search(text[max(0, gap - 80) : gap])
+        if not left or (mails and gap < mails[-1][1]):
             continue
-        sign = m.group()
-        right = (_DOMAIN if "@" in sign else _DOMAIN_SPELLED if sign.strip()[:1] in "[({" else _DOMAIN_WORDS).match(text, m.end())
+        after = m.end() + (not words and text[m.end() : m.end() + 1] == " ")
+        right = (_DOMAIN if sign == "@" else _DOMAIN_WORDS if words else _DOMAIN_SPELLED).match(text, after)
         if right:
-            start = m.start() - len(left.group())
+            start = gap - len(left.group())
             mails.append((start, right.end()))
-            out.append(("email", start, right.end(), "at" if "@" in sign else "words"))
+            out.append(("email", start, right.end(), "at" if sign == "@" else "words"))
     inside = lambda a, b: any(x < b and a < y for x, y in mails)
-    for kind, pattern in (("phone", _PHONE), ("id_number", _ID)):
-        for m in pattern.finditer(text):
-            if not inside(m.start(), m.end()):
-                out.append((kind, m.start(), m.end(), _shape(m.group())))
+    numbers = [m.span() for m in _DIGITS.finditer(text)]
     reached = 0
-    for m in _NUMBER.finditer(text):
-        a, b = m.span()
+    for a, _ in numbers:
+        s = a - 1 if a and text[a - 1] in "+(" else a
+        m = _PHONE.match(text, s) if s >= reached else None
+        if m:
+            reached = m.end()
+            if not inside(s, reached):
+                out.append(("phone", s, reached, _shape(m.group())))
+    reached = 0
+    for a, _ in numbers:
         if a < reached:
             continue
+        s = a
+        if a and text[a - 1].isalpha():
+            s = a - 2 if a > 1 and text[a - 2].isalpha() else a - 1
+        elif a > 2 and text[a - 1] == " " and text[a - 3 : a - 1].isalpha():
+            s = a - 3
+        m = _ID.match(text, s) or (_ID.match(text, a) if s < a else None)
+        if m:
+            reached = m.end()
+            if not inside(m.start(), reached):
+                out.append(("id_number", m.start(), reached, _shape(m.group())))
+    reached = 0
+    for a, b in numbers:
+        if a < reached or b - a > 6 or (a and (text[a - 1].isalpha() or text[a - 1] == "_")):
+            continue
         left = text[max(0, a - 60) : a]
         tail = left.lower()
         span = None
@@ -306,14 +329,13 @@ def train(texts: list[str], lex: Lexicon, steps: int = 300) -> np.ndarray:
     return w
 
 
-def find(text: str | None, lex: Lexicon, w: np.ndarray) -> list[tuple[str, int, int]]:
+def find(text: str | None, lex: Lexicon, w: Sequence[float]) -> list[tuple[str, int, int]]:
     """(kind, start, end) of the mentions of a text; no two overlap."""
     if not text:
         return []
     scored = []
     for c in candidates(text, lex):
-        f = features(text, *c, votes(text, *c, lex))
-        s = float(w[list(set(f))].sum() + w[_WIDTH])
+        s = w[_WIDTH] + sum(w[i] for i in set(features(text, *c, votes(text, *c, lex))))
         if s > 0:
             scored.append((c[0] == "name", -(c[2] - c[1]), -s, c))
     taken: list[tuple[int, int]] = []
@@ -364,11 +386,11 @@ def common_words(documents: DataFrame, share: float = 0.003, low_share: float =
     return [r[0] for r in top.collect()]
 
 
-def fitted(documents: DataFrame, sample: int = 1500) -> tuple[Lexicon, np.ndarray]:
+def fitted(documents: DataFrame, sample: int = 1500) -> tuple[Lexicon, list[float]]:
     """Lexicon over all documents and a classifier fitted on the first ``sample`` of them."""
     lex = Lexicon([], common_words(documents))
     texts = [r[0] for r in documents.filter("text is not null and length(text) between 1 and 20000").select("text").limit(sample).collect()]
-    return lex, train(texts, lex)
+    return lex, train(texts, lex).tolist()
 
 
 def mentions(documents: DataFrame, sample: int = 1500, key: str = "doc_id") -> DataFrame:
