@@ -41,34 +41,35 @@ def near_pairs(texts: DataFrame, key: str, text: str, size: int = 5, threshold:
     """
     t = float(threshold)
     docs = texts.filter(F.col(key).isNotNull()).select(key, words(F.col(text)).alias("w")).filter(F.size("w") >= max(min_words, size))
-    hashed = docs.select(key, F.sha2(F.array_join("w", " "), 256).alias("same"), shingles(F.col("w"), size).alias("s"))
-    members = hashed.select(key, "same").distinct()
-    reps = members.groupBy("same").agg(F.min(key).alias("rep"))
-    members = members.join(reps, "same").select(key, "rep")
-    rows = cut(hashed.groupBy("same").agg(F.min(key).alias("rep"), F.any_value("s").alias("s")).select("rep", "s", F.size("s").alias("n")))
-    cells = rows.select("rep", "n", F.explode("s").alias("h"))
+    # 16-byte ids of the different word sequences stand for the texts until the pairs are known
+    hashed = cut(docs.select(key, F.unhex(F.md5(F.array_join("w", " "))).alias("id"), shingles(F.col("w"), size).alias("s")))
+    reps = hashed.groupBy("id").agg(F.min(key).alias("rep"))
+    members = hashed.select(key, "id").distinct().join(reps, "id").select(key, "rep")
+    rows = cut(hashed.groupBy("id").agg(F.any_value("s").alias("s")).select("id", "s", F.size("s").alias("n")))
+    cells = rows.select("id", F.explode("s").alias("h"))
     count = cells.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1")
     shared = cells.join(count, "h")
     # a text's columns from rarest to most common; those that occur once come before all others
-    ranked = shared.groupBy("rep", "n").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("c"))
+    ranked = shared.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("c")).join(rows.select("id", "n"), "id")
     keep = F.col("n") - F.ceil(F.col("n") * t - 1e-9) + 1
     single = F.col("n") - F.size("c")
     prefix = cut(
-        ranked.select("rep", "n", F.posexplode(F.slice("c", 1, F.greatest(keep - single, F.lit(0)).cast("int"))).alias("p", "x"), single.alias("single")).select(
-            F.col("x.h").alias("h"), "rep", "n", (F.col("p") + F.col("single")).alias("p")
+        ranked.select("id", "n", F.posexplode(F.slice("c", 1, F.greatest(keep - single, F.lit(0)).cast("int"))).alias("p", "x"), single.alias("single")).select(
+            F.col("x.h").alias("h"), "id", "n", (F.col("p") + F.col("single")).alias("p")
         )
     )
-    left = prefix.select("h", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("p").alias("pa"))
-    right = prefix.select("h", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("p").alias("pb"))
+    left = prefix.select("h", F.col("id").alias("a"), F.col("n").alias("na"), F.col("p").alias("pa"))
+    right = prefix.select("h", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("p").alias("pb"))
     need = F.ceil((F.col("na") + F.col("nb")) * (t / (1 + t)) - 1e-9)
     room = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
     products = left.join(right, "h").filter((F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.ceil(F.greatest("na", "nb") * t - 1e-9)) & (room >= need - F.least("pa", "pb")))
     sums = products.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("o"), F.min(room).alias("rest"))
     found = sums.filter(F.col("o") + F.col("rest") - 1 >= need).select("a", "b", "na", "nb")
-    full = found.join(rows.select(F.col("rep").alias("a"), F.col("s").alias("sa")), "a").join(rows.select(F.col("rep").alias("b"), F.col("s").alias("sb")), "b")
+    full = found.join(rows.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(rows.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
     overlap = full.select("a", "b", "na", "nb", F.size(F.array_intersect("sa", "sb")).alias("overlap"))
     pairs = overlap.withColumn("similarity", F.col("overlap") / (F.col("na") + F.col("nb") - F.col("overlap"))).filter(F.col("overlap") >= F.ceil((F.col("na") + F.col("nb") - F.col("overlap")) * t - 1e-9))
-    return pairs.select("a", "b", "overlap", "similarity"), members
+    named = pairs.join(reps.select(F.col("id").alias("a"), F.col("rep").alias("ra")), "a").join(reps.select(F.col("id").alias("b"), F.col("rep").alias("rb")), "b")
+    return named.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"), "overlap", "similarity"), members
 
 
 def expand(pairs: DataFrame, members: DataFrame, key: str) -> DataFrame:
