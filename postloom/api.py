@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import UTC, datetime
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from postloom.functions import mail as rules
 from postloom.functions import text, vectors
-from postloom.operators import entities, extract, filters, ledger, search, threads
+from postloom.functions.remote import context_prompt
+from postloom.operators import cache, entities, extract, filters, ledger, search, threads
 from postloom.session import cut
 from postloom.sources import mail
 from postloom.store import ReadOnlyError, Store
@@ -21,7 +23,7 @@ class Engine:
     """One store and the operators over it; every read returns a DataFrame.
 
     ``embed`` maps a text column to a vector column (``model`` names it), ``context`` maps a
-    chunk frame to a context column, ``parsers`` maps a mime type to a function from bytes to
+    chunk frame to a context column or is a ``ModelContext``, ``parsers`` maps a mime type to a function from bytes to
     (text, meta). All are optional; without ``embed`` search is lexical and deterministic.
     """
 
@@ -101,33 +103,61 @@ class Engine:
         c = c.select(F.concat_ws("_", F.lit("chk"), "blob_hash", "chunk_index").alias("chunk_id"), "blob_hash", "chunk_index", F.lit("message").alias("source_kind"), "message_id", F.col("a").alias("span_start"), F.col("b").alias("span_end"), F.col("body_text").substr(F.col("a") + 1, F.col("b") - F.col("a")).alias("text"), F.lit("").alias("filename"), "from_address", "rcpt", "sent_at", "subject")
         chunks = c.unionByName(self._attachment_chunks(todo, head))
         prefix = text.meta_prefix(F.col("source_kind"), F.col("from_address"), F.col("rcpt"), F.col("sent_at"), F.col("subject"), F.col("filename"))
-        chunks = chunks.withColumn("context", self.context(chunks) if self.context else prefix).withColumn("meta_json", F.to_json(F.struct(F.col("from_address").alias("from"), F.col("rcpt").alias("to"), F.col("sent_at").alias("date"), "subject", "filename")))
+        chunks = self._with_context(chunks, prefix).withColumn("meta_json", F.to_json(F.struct(F.col("from_address").alias("from"), F.col("rcpt").alias("to"), F.col("sent_at").alias("date"), "subject", "filename")))
         old = self.store.read("chunks")
         kept = old.join(todo.select("message_id"), "message_id", "left_anti")
         self.store.write("chunks", kept.unionByName(chunks.select(*old.columns)))
         if self.embed:
             self.reembed()
 
+    def _with_context(self, chunks: DataFrame, prefix) -> DataFrame:
+        """Contexts by the plain sentence, a column function, or a model behind the context cache."""
+        if not hasattr(self.context, "answer"):
+            return chunks.withColumn("context", self.context(chunks) if self.context else prefix)
+        c = self.context
+        meta = F.create_map(*[x for k, col in (("from", "from_address"), ("to", "rcpt"), ("date", "sent_at"), ("subject", "subject"), ("filename", "filename")) for x in (F.lit(k), F.col(col))])
+        chunks = cut(chunks.withColumn("fallback", prefix).withColumn("prompt", context_prompt(meta, F.col("text"))))
+        known = self.store.read("context_cache").filter((F.col("tool") == c.tool) & (F.col("tool_version") == c.version))
+        told, fresh = cache.through(chunks, known, ["chunk_id"], "context", c.answer)
+        told = cut(told)
+        self.store.append("context_cache", fresh.select("chunk_id", F.lit(c.tool).alias("tool"), F.lit(c.version).alias("tool_version"), "context", F.lit(self.now()).alias("created_at")))
+        return chunks.drop("prompt", "fallback").join(told, "chunk_id")
+
     def _attachment_chunks(self, todo: DataFrame, head: DataFrame) -> DataFrame:
-        parsers = self.parsers
-
-        def read(content, mime) -> str | None:
-            if (mime or "").startswith("text/"):
-                return bytes(content).decode("utf-8", "replace")
-            found = parsers.get(mime)
-            try:
-                return found(bytes(content))[0] if found else None
-            except Exception:  # noqa: BLE001
-                return None
-
-        def run(batches):
-            for b in batches:
-                b["text"] = [read(c, m) for c, m in zip(b["content"], b["mime"])]
-                yield b.drop(columns=["content"])
+        """Chunks of text attachments and of those a parser reads, through the parse cache.
 
+        A parser is a function from bytes to (text, meta); its ``tool`` and ``version`` attributes
+        key the cache. Empty texts are cached, failures are not. Erased blobs are never read.
+        """
+        parsers = {m: (f, getattr(f, "tool", getattr(f, "__name__", "parser")), getattr(f, "version", "1")) for m, f in self.parsers.items()}
         a = self.store.read("attachments").join(todo.select("message_id"), "message_id", "left_semi")
         live = a.join(self.store.read("blobs").filter("not tombstoned").select(F.col("hash").alias("blob_hash"), "content"), "blob_hash")
-        t = live.select("message_id", "blob_hash", "filename", "mime", "content").mapInPandas(run, "message_id string, blob_hash string, filename string, mime string, text string").filter("text <> ''")
+        plain = live.filter("mime like 'text/%'").select("message_id", "blob_hash", "filename", F.expr("try_validate_utf8(cast(content as string))").alias("good"), "content")
+        lossy = F.pandas_udf(lambda v: v.map(lambda b: bytes(b).decode("utf-8", "replace")), "string")
+        t = plain.select("message_id", "blob_hash", "filename", F.coalesce("good", lossy("content")).alias("text"))
+        if parsers:
+            tool = F.create_map(*[F.lit(x) for m, (_, n, v) in parsers.items() for x in (m, f"{n}\u0001{v}")])
+            items = live.filter(~F.col("mime").like("text/%")).withColumn("_tv", tool[F.col("mime")]).filter("_tv is not null")
+            items = items.withColumn("tool", F.split("_tv", "\u0001")[0]).withColumn("tool_version", F.split("_tv", "\u0001")[1])
+
+            def read(batches):
+                for b in batches:
+                    done = []
+                    for h, m, tool_, v, c in zip(b["blob_hash"], b["mime"], b["tool"], b["tool_version"], b["content"]):
+                        try:
+                            done.append((h, tool_, v, parsers[m][0](bytes(c))[0]))
+                        except Exception:  # noqa: BLE001
+                            continue
+                    yield pd.DataFrame(done, columns=["blob_hash", "tool", "tool_version", "text"])
+
+            keys = ["blob_hash", "tool", "tool_version"]
+            compute = lambda miss: miss.dropDuplicates(keys).select("blob_hash", "mime", "tool", "tool_version", "content").mapInPandas(read, "blob_hash string, tool string, tool_version string, text string")
+            texts, fresh = cache.through(items, self.store.read("parse_cache"), keys, "text", compute)
+            texts = cut(texts)
+            if fresh.limit(1).count():
+                self.store.append("parse_cache", fresh.withColumn("created_at", F.lit(self.now())))
+            t = t.unionByName(items.select("message_id", "filename", *keys).join(texts, keys).select("message_id", "blob_hash", "filename", "text"))
+        t = t.filter("text <> ''")
         s = t.select("message_id", "blob_hash", "filename", "text", F.inline(rules.chunk_spans_of("text")))
         cid = F.concat_ws("_", F.lit("chk"), "blob_hash", F.concat(F.lit("m"), F.substring(F.sha2("message_id", 256), 1, 12)), "chunk_index")
         return s.join(head.select("message_id", "subject", "from_address", "sent_at", "rcpt"), "message_id").select(cid.alias("chunk_id"), "blob_hash", "chunk_index", F.lit("attachment").alias("source_kind"), "message_id", "span_start", "span_end", F.col("text").substr(F.col("span_start") + 1, F.col("span_end") - F.col("span_start")).alias("text"), "filename", "from_address", "rcpt", "sent_at", "subject")

@@ -164,3 +164,40 @@ def test_streaming_folder_equals_batch(spark, tmp_path):
     f.eml_dir(str(box))
     get = lambda x: sorted(tuple(r) for r in x.store.read("chunks").select("chunk_id", "text", "context").collect())
     assert get(e) == get(f) and len(get(e)) == 2
+
+
+def test_caches_model_context_and_parsers(spark, tmp_path):
+    import io
+
+    from postloom.functions.remote import HttpEmbedder, ModelContext
+    from postloom.server import serve
+
+    pdf = b"%PDF-1.4\nstream\nBT (Invoice total) Tj (500) Tj ET\nendstream\n"
+    mime = "application/pdf"
+    mailed = b"Message-ID: <p@x>\nFrom: a@b.example\nDate: Fri, 05 Jan 2024 10:00:00 +0000\nMIME-Version: 1.0\nContent-Type: multipart/mixed; boundary=q\n\n--q\nContent-Type: text/plain\n\nSee the file please.\n--q\nContent-Type: " + mime.encode() + b"\nContent-Disposition: attachment; filename=a.pdf\n\n" + pdf + b"\n--q--\n"
+    calls = tmp_path / "calls"
+
+    def complete(prompt):
+        with calls.open("a") as f:
+            f.write("x")
+        return "  A   note about  a file. " if "See the file" in prompt else ""
+
+    e = Engine(spark, str(tmp_path / "s"), context=ModelContext(complete))
+    e.eml_bytes(mailed)
+    got = {r["source_kind"]: r for r in e.store.read("chunks").collect()}
+    assert got["message"]["context"] == "A note about a file."
+    assert got["attachment"]["text"] == "Invoice total 500" and got["attachment"]["context"].startswith("Attachment a.pdf of email from a@b.example")
+    assert e.store.read("parse_cache").count() == 1 and calls.read_text() == "xx"
+    e.reindex()
+    assert calls.read_text() == "xx" and e.store.read("chunks").count() == 2
+
+    ask = [{"jsonrpc": "2.0", "id": 1, "method": "tools/list"}, {"jsonrpc": "2.0", "id": 2, "method": "tools/call", "params": {"name": "hybrid_search", "arguments": {"query": "invoice", "k": 2}}}, {"jsonrpc": "2.0", "id": 3, "method": "tools/call", "params": {"name": "fact_assert", "arguments": {}}}]
+    out = io.StringIO()
+    serve(e, False, io.StringIO("\n".join(map(json.dumps, ask)) + "\nnot json\n"), out)
+    a = [json.loads(x) for x in out.getvalue().splitlines()]
+    assert len(a[0]["result"]["tools"]) == 8 and "chk_" in a[1]["result"]["content"][0]["text"] and a[2]["error"]["code"] == -32601 and a[3]["error"]["code"] == -32700
+
+    h = HttpEmbedder("http://127.0.0.1:9", "m", 3, retries=2, sleep=(waits := []).append)
+    with pytest.raises(RuntimeError, match="3 attempts"):
+        h.embed(["a"])
+    assert waits == [0.25, 0.5] and h.wait(0, "7") == 7 and h.wait(20, None) == 30 and h.wait(1, "soon") == 0.5
