@@ -10,7 +10,10 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 def spark():
     from postloom.session import local_session
 
-    s = local_session(4, partitions=4, memory="4g")
+    s = local_session(4, partitions=2, memory="4g")
+    # tiny tables: compiling and re-planning would take most of the time
+    s.conf.set("spark.sql.adaptive.enabled", "false")
+    s.conf.set("spark.sql.codegen.wholeStage", "false")
     s.sparkContext.setLogLevel("ERROR")
     return s
 
