@@ -40,11 +40,11 @@ def near_pairs(texts: DataFrame, key: str, text: str, size: int = 5, threshold:
     of a key count once.
     """
     t = float(threshold)
-    docs = texts.filter(F.col(key).isNotNull()).select(key, words(F.col(text)).alias("w")).filter(F.size("w") >= max(min_words, size))
+    docs = texts.filter(F.col(key).isNotNull()).select(F.col(key).alias("_key"), words(F.col(text)).alias("w")).filter(F.size("w") >= max(min_words, size))
     # 16-byte ids of the different word sequences stand for the texts until the pairs are known
-    hashed = cut(docs.select(key, F.unhex(F.md5(F.array_join("w", " "))).alias("id"), shingles(F.col("w"), size).alias("s")))
-    reps = hashed.groupBy("id").agg(F.min(key).alias("rep"))
-    members = hashed.select(key, "id").distinct().join(reps, "id").select(key, "rep")
+    hashed = cut(docs.select("_key", F.unhex(F.md5(F.array_join("w", " "))).alias("id"), shingles(F.col("w"), size).alias("s")))
+    reps = hashed.groupBy("id").agg(F.min("_key").alias("rep"))
+    members = hashed.select("_key", "id").distinct().join(reps, "id").select(F.col("_key").alias(key), "rep")
     rows = cut(hashed.groupBy("id").agg(F.any_value("s").alias("s")).select("id", "s", F.size("s").alias("n")))
     cells = rows.select("id", F.explode("s").alias("h"))
     count = cells.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1")

@@ -93,5 +93,18 @@ s AS (SELECT DISTINCT chunk_id, w[i] || ' ' || w[i+1] || ' ' || w[i+2] AS g FROM
 n AS (SELECT chunk_id, count(*) AS n FROM s GROUP BY chunk_id),
 o AS (SELECT a.chunk_id AS chunk_a, b.chunk_id AS chunk_b, count(*) AS o FROM s a JOIN s b ON a.g = b.g AND a.chunk_id < b.chunk_id GROUP BY ALL)
 SELECT chunk_a, chunk_b FROM o JOIN n x ON x.chunk_id = chunk_a JOIN n y ON y.chunk_id = chunk_b WHERE o >= 0.6 * (x.n + y.n - o) - 1e-9
+""",
+    "p7_groups": r"""
+WITH RECURSIVE d AS (SELECT DISTINCT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents WHERE text IS NOT NULL),
+k AS (SELECT doc_id, w, min(doc_id) OVER (PARTITION BY w) AS rep FROM d WHERE len(w) >= 5),
+s AS (SELECT DISTINCT rep, array_to_string(w[i:i+4], ' ') AS g FROM (SELECT rep, w, unnest(generate_series(1, len(w) - 4)) AS i FROM k WHERE doc_id = rep)),
+n AS (SELECT rep, count(*) AS n FROM s GROUP BY rep),
+o AS (SELECT a.rep AS a, b.rep AS b, count(*) AS o FROM s a JOIN s b ON a.g = b.g AND a.rep < b.rep GROUP BY ALL),
+p AS (SELECT a, b FROM o JOIN n x ON x.rep = a JOIN n y ON y.rep = b WHERE o >= 0.8 * (x.n + y.n - o) - 1e-9),
+e AS (SELECT a, b FROM p UNION SELECT b, a FROM p),
+walk AS (SELECT DISTINCT a AS id, a AS seen FROM e UNION SELECT walk.id, e.b FROM walk JOIN e ON walk.seen = e.a),
+c AS (SELECT id, min(seen) AS component FROM walk GROUP BY id),
+l AS (SELECT a AS id, count(*) AS links FROM e GROUP BY a)
+SELECT doc_id, coalesce(component, rep) AS class_id, coalesce(links, 0) AS links FROM k LEFT JOIN c ON c.id = rep LEFT JOIN l ON l.id = rep
 """,
 }

@@ -157,6 +157,9 @@ def test_near_pairs_match_brute_force(rows, size, threshold):
 
 
 def test_near_pairs_of_nothing(rows):
+    twice = rows([(1, "a b c d e f", 5), (2, "a b c d e f", 6), (1, "a b c d e f", 5)], "id int, w string, s int")
+    p, m = neardup.near_pairs(twice, "id", "w")
+    assert {tuple(r) for r in neardup.expand(p, m, "id").collect()} == {(1, 2)}
     p, m = neardup.near_pairs(rows([], "k int, text string"), "k", "text")
     assert p.count() == 0 and m.count() == 0
 
