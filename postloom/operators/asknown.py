@@ -61,17 +61,19 @@ def attributes_at(events: DataFrame, holdings: DataFrame, key: str, at: str, hol
     the latest start wins (an open start is earliest, remaining ties go to the smallest holder).
     Events join the snapshot of the period before them and replay only the changes up to their own
     instant; nothing that begins later is ever seen. Events with NULL key or time have no holder.
+    All columns of the events come out; one already named like ``holder`` is replaced.
     """
-    timed = events.filter(F.col(key).isNotNull() & F.col(at).isNotNull()).withColumn("period", period_of(F.col(at)))
-    keyed = timed.withColumnRenamed(key, "key") if key != "key" else timed
+    # events travel as one struct, so none of their columns can clash with those used here
+    keyed = events.select(F.struct(*[F.col(c) for c in events.columns]).alias("event"), F.col(key).alias("key"), F.col(at).alias("at")).filter("key is not null and at is not null").withColumn("period", period_of(F.col("at")))
     wanted = keyed.select("key", "period").distinct()
-    states = period_states(holdings, wanted).withColumn("_kp", F.struct("key", "period")).select("_kp", "snapshot", "changes")
-    joined = salted_lookup(keyed.withColumn("_kp", F.concat_ws("\u0001", "key", F.col("period").cast("string"))), states.withColumn("_kp", F.concat_ws("\u0001", F.col("_kp.key"), F.col("_kp.period").cast("string"))), "_kp", "inner")
-    replay = F.filter(F.col("changes"), lambda c: c["opened"] <= F.col(at))
-    alive = F.filter(F.concat(F.col("snapshot"), replay), lambda h: h["closed"].isNull() | (h["closed"] > F.col(at)))
+    place = F.concat_ws("\u0001", F.col("key").cast("string"), F.col("period").cast("string"))
+    states = period_states(holdings, wanted).select(place.alias("place"), "snapshot", "changes")
+    joined = salted_lookup(keyed.select("event", "at", place.alias("place")), states, "place", "inner")
+    replay = F.filter(F.col("changes"), lambda c: c["opened"] <= F.col("at"))
+    alive = F.filter(F.concat(F.col("snapshot"), replay), lambda h: h["closed"].isNull() | (h["closed"] > F.col("at")))
     ranked = F.array_sort(F.transform(alive, lambda h: F.struct((-F.unix_micros(h["start"])).alias("s"), h["holder"].alias("holder"))))
-    out = joined.withColumn(holder, F.try_element_at(ranked, F.lit(1))["holder"]).filter(F.col(holder).isNotNull()).drop("_kp", "snapshot", "changes", "period")
-    return out.withColumnRenamed("key", key) if key != "key" else out
+    found = joined.withColumn("found", F.try_element_at(ranked, F.lit(1))["holder"]).filter("found is not null")
+    return found.select(*[F.col("event")[c].alias(c) for c in events.columns if c != holder], F.col("found").alias(holder))
 
 
 def instant(c):

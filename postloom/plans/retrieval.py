@@ -229,7 +229,7 @@ def facts_as_of(s: SparkSession, d: str) -> DataFrame:
 def facts_history(s: SparkSession, d: str) -> DataFrame:
     """All beliefs ever held, with the time each was given up."""
     log = _log(s, d).withColumn("seq", F.row_number().over(Window.partitionBy("entity", "relation").orderBy("seq")))
-    return ledger.belief_history(log)
+    return ledger.belief_history(log).drop("value")
 
 
 def facts_backfill(s: SparkSession, d: str) -> DataFrame:

@@ -84,6 +84,17 @@ SELECT message_id, 'Email from ' || coalesce(from_address, '') || ' to ' || coal
     "facts_current": f"WITH {_FACT} SELECT entity, relation, valid_from, valid_to FROM cur",
     "facts_backfill": f"WITH {_FACT} SELECT entity, relation, valid_from, valid_to FROM cur",
     "facts_as_of": f"WITH {_FACT} SELECT entity, relation, day, valid_from FROM cur, unnest(['2023-07-01', '2024-06-30', '2025-03-15']) AS d(day) WHERE valid_from <= day AND (valid_to IS NULL OR day < valid_to)",
+    "facts_history": f"""WITH {_FACT},
+q AS (SELECT entity, relation, valid_from AS vf, created_at AS t, row_number() OVER (PARTITION BY entity, relation ORDER BY created_at, fact_id) AS i FROM f WHERE valid_from IS NOT NULL),
+g AS (SELECT a.entity, a.relation, a.vf, a.i, min(b.i) AS gone FROM q a LEFT JOIN q b ON a.entity = b.entity AND a.relation = b.relation AND a.vf = b.vf AND b.i > a.i GROUP BY ALL),
+p AS (SELECT a.*, b.i AS j, b.vf AS bvf, b.t AS bt, min(b.vf) OVER (PARTITION BY a.entity, a.relation, a.i ORDER BY b.i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before
+  FROM g a JOIN q b ON a.entity = b.entity AND a.relation = b.relation AND b.vf > a.vf),
+s0 AS (SELECT g.entity, g.relation, g.vf, g.i, g.gone, g.i AS at_, (SELECT min(p.bvf) FROM p WHERE p.entity = g.entity AND p.relation = g.relation AND p.i = g.i AND p.j < g.i) AS vt FROM g),
+s1 AS (SELECT entity, relation, vf, i, gone, j AS at_, bvf AS vt FROM p WHERE j > i AND (gone IS NULL OR j < gone) AND (before IS NULL OR bvf < before)),
+a AS (SELECT * FROM s0 UNION ALL SELECT * FROM s1),
+n AS (SELECT *, coalesce(lead(at_) OVER (PARTITION BY entity, relation, i ORDER BY at_), gone) AS ends FROM a)
+SELECT n.entity, n.relation, n.vf AS valid_from, n.vt AS valid_to, x.t AS created_at, y.t AS expired_at FROM n
+JOIN q x ON x.entity = n.entity AND x.relation = n.relation AND x.i = n.at_ LEFT JOIN q y ON y.entity = n.entity AND y.relation = n.relation AND y.i = n.ends""",
     "facts_json_value": r"""SELECT relation, CASE WHEN v LIKE '"%' THEN 'string' WHEN regexp_matches(v, '^-?[0-9.]+$') THEN 'number' ELSE 'other' END AS kind, count(*) AS n
 FROM (SELECT DISTINCT fact_id, relation, regexp_replace(value_json, '\s+', '', 'g') AS v FROM facts) GROUP BY ALL""",
     "resolve_windowed": f"""WITH {_M}, {_ADDR}, q AS (SELECT DISTINCT lower(from_address) AS address, sent_at AS day FROM m WHERE sent_at IS NOT NULL)

@@ -66,6 +66,14 @@ def test_senders_never_see_later_holders(rows):
     assert asknown.senders_at(m.limit(0), people).count() == 0 and asknown.senders_at(m, people.limit(0)).count() == 0
 
 
+def test_attributes_keep_event_columns_whatever_their_names(rows):
+    t = "timestamp'2024-01-10 00:00:00'"
+    events = rows([("a", 1, 2, 3, 4)], "k string, period int, snapshot int, holder int, event int").selectExpr("*", f"{t} as at")
+    held = rows([("a", "P")], "key string, holder string").selectExpr("*", "cast(null as timestamp) as valid_from", "cast(null as timestamp) as valid_to")
+    got = asknown.attributes_at(events, held, "k", "at").first().asDict()
+    assert (got["k"], got["period"], got["snapshot"], got["event"], got["holder"]) == ("a", 1, 2, 4, "P")
+
+
 def brute_tree(parent):
     out = {}
     for v in parent:
