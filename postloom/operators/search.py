@@ -87,8 +87,9 @@ def vector_topk(queries: DataFrame, rows: DataFrame, key: str, limit: int = CAND
     rb, qb = max(1, -(-n_rows // row_block)), max(1, -(-n_queries // query_block))
     if blocks:
         rb = max(rb, blocks)
-    left = rows.select(F.col(key).alias("k"), F.col("vector").alias("v"), F.pmod(F.xxhash64(key), F.lit(rb)).alias("rb"), F.explode(F.sequence(F.lit(0), F.lit(qb - 1))).alias("qb"))
-    right = queries.select(F.col("query_id").alias("q"), F.col("vector").alias("u"), F.pmod(F.xxhash64("query_id"), F.lit(qb)).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(rb - 1))).alias("rb"))
+    # both sides number their blocks with one type: groups of another type hash elsewhere
+    left = rows.select(F.col(key).alias("k"), F.col("vector").alias("v"), F.pmod(F.xxhash64(key), F.lit(rb)).cast("int").alias("rb"), F.explode(F.sequence(F.lit(0), F.lit(qb - 1))).alias("qb"))
+    right = queries.select(F.col("query_id").alias("q"), F.col("vector").alias("u"), F.pmod(F.xxhash64("query_id"), F.lit(qb)).cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(rb - 1))).alias("rb"))
     kt, qt = dict(rows.dtypes)[key], dict(queries.dtypes)["query_id"]
 
     def unit(vs: list) -> np.ndarray:

@@ -53,16 +53,13 @@ def cut(df: DataFrame, watch: Observation | None = None, *metrics) -> DataFrame:
     out = df.observe(watch, *metrics) if watch is not None else df
     out.write.parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
-    _written[id(table)] = path
+    table.__dict__["_written_to"] = path
     return table
 
 
-_written: dict[int, str] = {}
-
-
 def release(table: DataFrame) -> None:
-    """Delete the files of a table written by ``cut`` that nothing reads any more."""
-    path = _written.pop(id(table), None)
+    """Delete the files of a table written by ``cut`` that nothing reads any more; else do nothing."""
+    path = table.__dict__.pop("_written_to", None)
     if path:
         jvm = table.sparkSession.sparkContext._jvm
         where = jvm.org.apache.hadoop.fs.Path(path)
