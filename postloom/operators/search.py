@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from postloom.functions.text import dedupe_key, jaccard, shingles, tokens
 from postloom.operators.components import components
+from postloom.session import cut
 
 K1, B, CANDIDATES, RRF_K = 1.2, 0.75, 50, 60
 
@@ -162,7 +163,10 @@ def duplicate_pairs(hits: DataFrame, rows: DataFrame, key: str, threshold: float
 
     Hits per query are bounded by the candidate lists, so pairs are compared within a query.
     """
-    t = hits.select("query_id", key).join(rows.select(key, dedupe_key("text").alias("norm"), shingles(tokens("text")).alias("sh")), key)
+    # shingles once per hit text, as hashes, which compare faster than strings
+    wanted = rows.join(hits.select(key).distinct(), key, "left_semi")
+    said = wanted.select(key, F.xxhash64(dedupe_key("text")).alias("norm"), F.transform(shingles(tokens("text")), lambda x: F.xxhash64(x)).alias("sh"))
+    t = cut(hits.select("query_id", key).join(said, key))
     a = t.select("query_id", F.col(key).alias("a"), F.col("norm").alias("na"), F.col("sh").alias("sa"))
     b = t.select("query_id", F.col(key).alias("b"), F.col("norm").alias("nb"), F.col("sh").alias("sb"))
     # sizes rule most pairs out before sets are compared
