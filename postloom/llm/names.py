@@ -187,7 +187,28 @@ def compare(a: str, b: str, near: bool) -> int:
     return _same_person(p, q, near) if p[0] == "person" else _same_firm(p, q, near)
 
 
-PROFILE = "struct<kind:string,words:array<string>,whole:boolean,ident:string>"
+def compare_far(a: str, b: str, same: bool) -> int:
+    """``compare`` of persons used with different addresses, for callers that ask for a unique partner.
+
+    Within a domain (``same``) the rule is that of one address; across domains (or without an
+    address) family names are at least 0.9 alike, those of short forms equal, and given names
+    at least 0.9 alike, equal or a nickname.
+    """
+    p, q = parse(a), parse(b)
+    if p[0] != "person" or q[0] != "person":
+        return 0
+    grade = _same_person(p, q, True)
+    return grade if not grade or same or _strict(p, q) else 0
+
+
+def _strict(p: tuple, q: tuple) -> bool:
+    if len(p[1]) < 2 or len(q[1]) < 2:
+        return bool(set(p[1]) & set(q[1]))
+    alike = lambda x, y: x == y or NICKNAMES.get(x, x) == NICKNAMES.get(y, y) or min(len(x), len(y)) >= 4 and lcs_ratio(x, y) >= 0.9
+    return any(lcs_ratio(p[1][f], q[1][k]) >= 0.9 and alike(p[1][g], q[1][h]) for g, f in ((0, -1), (-1, 0)) for h, k in ((0, -1), (-1, 0)))
+
+
+PROFILE = "struct<kind:string,words:array<string>,initials:array<string>,heads:array<array<string>>,whole:boolean,ident:string>"
 
 
 def _profile(names: pd.Series) -> pd.DataFrame:
@@ -195,14 +216,20 @@ def _profile(names: pd.Series) -> pd.DataFrame:
     for n in names:
         kind, words, initials = parse(n or "")
         whole = len(words) >= 2 if kind == "person" else bool(initials) and len(words) >= 2
-        rows.append((kind, list(words), whole, (kind + ":" + " ".join(sorted(words))) if whole else None))
-    return pd.DataFrame(rows, columns=["kind", "words", "whole", "ident"])
+        # per word the first letters of the others, long and short forms alike
+        heads = [sorted({y[0] for j, w in enumerate(words) if j != i for y in (w, NICKNAMES.get(w, w))} | {y[0] for y in initials}) for i in range(len(words))]
+        rows.append((kind, list(words), list(initials), heads, whole, (kind + ":" + " ".join(sorted(words))) if whole else None))
+    return pd.DataFrame(rows, columns=["kind", "words", "initials", "heads", "whole", "ident"])
 
 
 def _verdict(a: pd.Series, b: pd.Series, near: pd.Series) -> pd.Series:
     return pd.Series([compare(x, y, bool(n)) for x, y, n in zip(a, b, near)], index=a.index, dtype="int32")
 
 
+def _far_verdict(a: pd.Series, b: pd.Series, same: pd.Series) -> pd.Series:
+    return pd.Series([compare_far(x, y, bool(n)) for x, y, n in zip(a, b, same)], index=a.index, dtype="int32")
+
+
 def mentions(messages: DataFrame, recipients: DataFrame) -> DataFrame:
     """``(name, address, real)``: each spelling with each address it was used with.
 
@@ -258,13 +285,78 @@ def links(rows: DataFrame, least: int = 4, common: int = 24) -> DataFrame:
     return graded.select("a", "b", "grade", F.col("whole_a").alias("wa"), F.col("whole_b").alias("wb"))
 
 
+def split(keyed: DataFrame, common: int) -> DataFrame:
+    """``(block, id)``: blocks of more than ``common`` ids in parts, each joined with every other."""
+    sized = keyed.join(keyed.groupBy("block").agg(F.ceil(F.count("*") / common).alias("k")), "block")
+    own = F.pmod(F.xxhash64("id", F.lit("part")), F.col("k"))
+    cut_up = sized.select("block", "id", own.alias("h"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("i"))
+    return cut_up.select(F.xxhash64("block", F.least("h", "i"), F.greatest("h", "i")).alias("block"), "id")
+
+
+def far_blocks(units: DataFrame, least: int, common: int) -> DataFrame:
+    """``(block, id)`` of persons over all addresses: suffixes, refined by further letters.
+
+    A suffix that more than ``common`` of the units share is refined by the first letter of another
+    word (or an initial), and then, where still too common, by the domain; the last is split and
+    its parts are joined, so that no pair of a domain is lost to the size of a block.
+    """
+    parts = units.select("id", F.xxhash64("domain").alias("d"), F.explode(F.arrays_zip("words", "heads")).alias("x")).select("id", "d", F.col("x.words").alias("w"), F.col("x.heads").alias("heads"))
+    n = F.length("w")
+    tails = parts.select("id", "d", "heads", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(n - (least - 1), F.lit(1))), lambda i: F.xxhash64(F.col("w").substr(i, n)))).alias("block"))
+    marked = tails.join(tails.groupBy("block").agg((F.count("*") > common).alias("many")), "block")
+    more = marked.filter("many").select("id", "d", "block", F.explode("heads").alias("l")).select("id", "d", F.xxhash64("block", "l").alias("block")).distinct()
+    again = more.join(more.groupBy("block").agg((F.count("*") > common).alias("many")), "block")
+    last = split(again.filter("many").select("id", F.xxhash64("block", "d").alias("block")).distinct(), common)
+    return marked.filter("not many").select("block", "id").unionByName(again.filter("not many").select("block", "id")).unionByName(last).distinct()
+
+
+def far_links(units: DataFrame, least: int = 4, common: int = 24) -> DataFrame:
+    """``(a, b, same)``: entities (or, for short forms, units) that name the same over addresses.
+
+    Units are (id, name, words, heads, domain, entity), ``entity`` NULL for a short form, which comes
+    as ``a``; ``same`` says that both are of one domain.
+    """
+    b = far_blocks(units, least, common)
+    pairs = b.select("block", F.col("id").alias("a")).join(b.select("block", F.col("id").alias("b")), "block").filter("a < b").select("a", "b").distinct()
+    slim = units.select("id", "name", "domain", "entity")
+    left, right = (slim.select(*[F.col(c).alias(f"{c}_{x}") for c in slim.columns]).withColumnRenamed(f"id_{x}", x) for x in "ab")
+    same = (F.col("domain_a") == F.col("domain_b")) & (F.col("domain_a") != "")
+    told = pairs.join(left, "a").join(right, "b").filter("(entity_a is not null or entity_b is not null) and not entity_a <=> entity_b").withColumn("same", same)
+    graded = told.withColumn("grade", F.pandas_udf(_far_verdict, "int")("name_a", "name_b", "same"))
+    whole = F.col("entity_a").isNotNull() & F.col("entity_b").isNotNull()
+    kept = graded.filter((F.col("grade") > 0) & (~whole | (F.col("grade") == 2)))
+    return kept.select(
+        F.when(whole, F.col("entity_a")).when(F.col("entity_a").isNull(), F.col("a")).otherwise(F.col("b")).alias("a"),
+        F.when(F.col("entity_b").isNull(), F.col("entity_a")).otherwise(F.col("entity_b")).alias("b"),
+        whole.alias("whole"),
+        "same",
+    ).distinct()
+
+
+def merged(edges: DataFrame) -> DataFrame:
+    """``(entity, root)`` of entities joined with others: two that are near have the same neighbours.
+
+    Closed neighbourhoods are equal only where everything one fits the other fits too, so a name
+    that fits two different persons joins with neither. Being equal is an equivalence, so the
+    least member is the root of its class.
+    """
+    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    closed = both.unionByName(both.select("a", F.col("a").alias("b")).distinct())
+    sign = closed.groupBy("a").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("b")).alias("x"))
+    known = both.join(sign, "a").join(sign.select(F.col("a").alias("b"), F.col("n").alias("m"), F.col("x").alias("y")), "b").filter("n = m and x = y")
+    return known.groupBy(F.col("a").alias("entity")).agg(F.min("b").alias("o")).select("entity", F.least("entity", "o").alias("root"))
+
+
 def entities(messages: DataFrame, recipients: DataFrame) -> DataFrame:
     """``(name, entity)``: every spelling with the entities it names (a short form may name several).
 
     Whole names linked to each other form an entity (connected components); whole names equal
     but for order, case, accents and remarks are one entity wherever they occur, linked through
     their common key rather than pairwise. A short form (an initial, a firm without its trade)
-    belongs to each entity it fits at its address, but joins none of them to another.
+    belongs to each entity it fits at its address, but joins none of them to another. Persons
+    are compared over addresses too: whole names there join where each is the only partner of the
+    other (``merged``), and a short form that fits none at its address belongs to the only entity
+    it fits in its domain, or, fitting none there, anywhere.
     """
     rows = mentions(messages, recipients).withColumn("p", F.pandas_udf(_profile, PROFILE)("name"))
     rows = cut(
@@ -274,14 +366,25 @@ def entities(messages: DataFrame, recipients: DataFrame) -> DataFrame:
     keyed = rows.filter("ident is not null").select(F.col("id").alias("a"), F.unhex(F.md5("ident")).alias("b"))
     strong = found.filter("grade = 2 and wa and wb").select("a", "b").unionByName(keyed)
     comp = cut(components(strong))
-    member = rows.join(comp.withColumnRenamed("node", "id"), "id").select("id", "name", "real", F.col("component").alias("entity"))
     short = found.filter("not (wa and wb)")
     ways = short.select(F.col("a").alias("id"), F.col("b").alias("o"), F.col("wa").alias("w")).unionByName(short.select(F.col("b").alias("id"), F.col("a").alias("o"), F.col("wb").alias("w"))).filter("not w")
     fitted = ways.join(comp.withColumnRenamed("node", "o"), "o").select("id", F.col("component").alias("entity")).distinct()
     alone = ways.join(fitted, "id", "left_anti").select("id", F.greatest("id", "o").alias("x"), F.least("id", "o").alias("y"))
     lonely = components(alone, "x", "y").select(F.col("node").alias("id"), F.col("component").alias("entity"))
-    weak = fitted.unionByName(lonely.join(fitted, "id", "left_anti")).join(rows.select("id", "name", "real"), "id").select("id", "name", "real", "entity")
-    return member.unionByName(weak).filter("real").select("name", "entity").distinct()
+    # a unit stands for all mentions of the same words in one domain
+    of = rows.filter("kind = 'person' and (whole or size(initials) > 0)").withColumn("unit", F.unhex(F.md5(F.concat_ws("\u0001", F.array_join("words", " "), F.array_join("initials", " "), "domain"))))
+    of = of.join(comp.select(F.col("node").alias("id"), F.col("component").alias("entity")), "id", "left").join(fitted.select("id").distinct(), "id", "left_anti")
+    units = cut(of.groupBy(F.col("unit").alias("id")).agg(*[F.min(c).alias(c) for c in ("name", "words", "heads", "domain", "entity")]))
+    far = cut(far_links(units))
+    roots = cut(merged(far.filter("whole")))
+    fits = far.filter("not whole").join(roots.withColumnRenamed("entity", "b"), "b", "left").select("a", F.coalesce("root", "b").alias("e"), "same")
+    here = F.when(F.col("same"), F.col("e"))
+    only = fits.groupBy(F.col("a").alias("unit")).agg(F.min(here).alias("h"), F.max(here).alias("i"), F.min("e").alias("e"), F.max("e").alias("f")).filter("h = i or (h is null and e = f)")
+    distant = of.filter("entity is null").select("id", "unit").join(only.select("unit", F.coalesce("h", "e").alias("entity")), "unit").select("id", "entity")
+    reached = comp.withColumnRenamed("node", "id").select("id", F.col("component").alias("entity")).unionByName(fitted)
+    placed = reached.join(roots, "entity", "left").select("id", F.coalesce("root", "entity").alias("entity")).unionByName(distant)
+    placed = placed.unionByName(lonely.join(fitted, "id", "left_anti"))
+    return placed.join(rows.select("id", "name", "real"), "id").filter("real").select("name", "entity").distinct()
 
 
 def spelling_pairs(messages: DataFrame, recipients: DataFrame) -> DataFrame:
