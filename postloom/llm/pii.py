@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postloom.llm.names import NICKNAMES, TRADES, fold
+from postloom.session import cut
 
 KINDS = ("name", "email", "phone", "id_number", "street_address")
 FOUND = "array<struct<kind:string,span_start:int,span_end:int>>"
@@ -362,28 +363,56 @@ _SMALL = re.compile(r"\b[a-zà-öø-ÿ]{2,}\b")
 _ANY = re.compile(r"[a-zà-öø-ÿ]{2,}")
 
 
+def _beside_given(text: str, low: str, known: frozenset[str]) -> set[str]:
+    """Words of a text in the place of a family name: after a given name, title or initial, or turned before one."""
+    out = set()
+    for m in _INITIAL.finditer(text):
+        out.update(_ANY.findall(m.group().lower()))
+    before, end = "", 0
+    for m in _ANY.finditer(low):
+        w, gap = m.group(), low[end : m.start()]
+        if before and len(gap) < 8 and "\n" not in gap and len(gap.strip(" .,-")) <= 1:
+            if before in known and w not in known and "," not in gap:
+                out.add(w)
+            elif w in known and before not in known and (gap == ", " or text[end - len(before) : end].isupper() and not text[m.start() : m.end()].isupper()):
+                out.add(before)
+        before, end = w, m.end()
+    return out
+
+
 def common_words(documents: DataFrame, share: float = 0.003, low_share: float = 0.0006, most: int = 20_000) -> list[str]:
-    """Ordinary words: in a share of all documents, or written small in a smaller share of them.
+    """Ordinary words: in a share of all texts, or written small in a smaller share of them.
 
-    Counts cover every document; at most ``most`` words (those in most documents) reach the driver.
+    Texts are counted once however many copies there are, and three texts are the least evidence. A
+    word mostly written with a capital that stands beside a given name, title or initial in half of
+    its texts is a family name, however frequent. Counts cover every document; at most ``most``
+    words (those in most texts) reach the driver.
     """
-    n = documents.count()
+    known = frozenset(w for w in Lexicon([], []).given | _TITLES)
 
     def tally(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
         for batch in batches:
             small: Counter = Counter()
             every: Counter = Counter()
+            named: Counter = Counter()
             for t in batch["text"]:
+                low = t.lower()
+                words = set(_ANY.findall(low))
                 small.update(set(_SMALL.findall(t)))
-                every.update(set(_ANY.findall(t.lower())))
-            rows = [(w, True, c) for w, c in small.items()] + [(w, False, c) for w, c in every.items()]
-            yield pd.DataFrame(rows, columns=["w", "small", "df"])
+                every.update(words)
+                if len(low) == len(t) and (not known.isdisjoint(words) or _INITIAL.search(t)):
+                    named.update(_beside_given(t, low, known))
+            counts = {w: (c, small[w], named[w]) for w, c in every.items()} | {"": (len(batch), 0, 0)}
+            yield pd.DataFrame([(w, *c) for w, c in counts.items()], columns=["w", "df", "small", "named"])
 
     # one row per word and batch: counted before anything is shuffled
-    words = documents.filter("text is not null").select("text").mapInPandas(tally, "w string, small boolean, df bigint").groupBy("w", "small").agg(F.sum("df").alias("df"))
-    kept = words.filter((F.col("df") >= max(3.0, share * n)) | (F.col("small") & (F.col("df") >= max(3.0, low_share * n))))
-    top = kept.groupBy("w").agg(F.max("df").alias("df")).orderBy(F.desc("df"), "w").limit(most)
-    return [r[0] for r in top.collect()]
+    texts = documents.filter("text is not null").select("text").distinct()
+    words = cut(texts.mapInPandas(tally, "w string, df bigint, small bigint, named bigint").groupBy("w").agg(*[F.sum(c).alias(c) for c in ("df", "small", "named")]))
+    n = words.filter("w = ''").agg(F.max("df")).first()[0] or 0
+    often = (F.col("df") >= max(3.0, share * n)) | (F.col("small") >= max(3.0, low_share * n))
+    family = (F.col("small") < 0.5 * F.col("df")) & (F.col("named") >= 0.5 * F.col("df"))
+    top = words.filter("w <> ''").filter(often & ~family).orderBy(F.desc("df"), "w").limit(most)
+    return [r["w"] for r in top.select("w").collect()]
 
 
 def fitted(documents: DataFrame, sample: int = 1500) -> tuple[Lexicon, list[float]]:

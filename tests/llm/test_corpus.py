@@ -295,3 +295,14 @@ def test_spellings_meet_over_addresses(rows):
     m += [(f"{g} Korezu", f"k{i}@krufa.example") for i, g in enumerate("Abram Bodo Cyril Dunja Egon Fleur Gwen Hedda Ilka Jorge Kuno Lothar Moritz Nadja Otmar Pavel Quirin Rosa Silke Tilda Ulf Veit Wenzel Xenia Yann Zora Adele Bruno".split())] + [("Y. Korezu", "accounts@krufa.example")]
     got = {tuple(x) for x in names.spelling_pairs(rows(m, "from_name string, from_address string"), rows([], "name string, address string")).collect()}
     assert got == {("Sam Krufachen", "Samantha Krufachen"), ("D Fidripa", "Daniel Fidripa"), ("Fnederick Jutheze", "Frederick Jutheze"), ("Tony Zudazol", "Zudazol, Anthony"), ("Y. Korezu", "Yann Korezu")}
+
+
+def test_frequent_family_names_stay_candidates(rows):
+    filler = ["The goods came today and the driver left. Rechnung folgt.", "Please send the goods again. Rechnung liegt bei."]
+    data = [(i, "Please ask for Anna Kibrothon about the goods. Thanks.") for i in range(40)]  # copies
+    data += [(100 + i, f"{filler[i % 2]} Line {i}. Attn: Mr Zudazol, room {i}; J. Zudazol and Karl Zudazol signed.") for i in range(60)]
+    ordinary = set(pii.common_words(rows(data, "doc_id bigint, text string")))
+    assert {"goods", "the", "rechnung"} <= ordinary and ordinary.isdisjoint({"kibrothon", "zudazol"})
+    got = pii.mentions(rows(data, "doc_id bigint, text string")).filter("kind = 'name'").collect()
+    found = {(r["doc_id"], dict(data)[r["doc_id"]][r["span_start"] : r["span_end"]]) for r in got}
+    assert {(i, "Anna Kibrothon") for i in range(40)} <= found and {(100 + i, "Karl Zudazol") for i in range(60)} <= found
