@@ -254,21 +254,26 @@ def mentions(messages: DataFrame, recipients: DataFrame) -> DataFrame:
 def blocks(rows: DataFrame, least: int, common: int) -> DataFrame:
     """``(block, id)``: suffixes of the words of each mention, refined where too common.
 
-    Rows are (id, address, domain, words). A suffix of at least ``least`` letters that more than
-    ``common`` mentions share is refined with the domain and, where that is still too common, with
-    the address; the last refinement is never discarded. Words also block by address and first
-    letter (the empty suffix, refined at once), for slips of the key near the end of a word.
+    Rows are (id, address, domain, kind, words, whole, initials). A suffix of at least ``least``
+    letters that more than ``common`` mentions share is refined with the domain and, where that is
+    still too common, with the address for persons, whose other addresses ``far_blocks`` covers; the
+    last refinement is never discarded. Firms of a domain are judged whatever their address, so
+    there the block of the domain is split into parts that are all joined, one mention for each
+    reading of a whole name. Words also block by address and first letter (the empty suffix, refined at
+    once), for slips of the key near the end of a word.
     """
     # hashes keep the shuffles small; should two keys collide, a block holds a few pairs more
-    parts = rows.select("id", F.xxhash64("address").alias("address"), F.xxhash64("domain").alias("domain"), F.explode("words").alias("w"))
+    firm = (F.col("kind") == "firm") & (F.col("domain") != "")
+    parts = rows.select("id", F.xxhash64("address").alias("address"), F.xxhash64("domain").alias("domain"), firm.alias("firm"), F.when(F.col("whole"), F.xxhash64("words", "initials")).otherwise(F.xxhash64("id")).alias("reading"), F.explode("words").alias("w"))
     n = F.length("w")
-    tails = parts.select("id", "address", "domain", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(n - (least - 1), F.lit(1))), lambda i: F.xxhash64(F.col("w").substr(i, n)))).alias("s"))
+    tails = parts.select("id", "address", "domain", "firm", "reading", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(n - (least - 1), F.lit(1))), lambda i: F.xxhash64(F.col("w").substr(i, n)))).alias("s"))
     by_s = tails.groupBy("s").agg((F.count("*") > common).alias("many_s"))
     by_d = tails.groupBy("s", "domain").agg((F.count("*") > common).alias("many_d"))
     marked = tails.join(by_s, "s").join(by_d, ["s", "domain"])
     block = F.when(~F.col("many_s"), F.col("s")).when(~F.col("many_d"), F.xxhash64("s", "domain")).otherwise(F.xxhash64("s", F.lit("a"), "address"))
+    firms = marked.filter("firm and many_s and many_d").groupBy(F.xxhash64("s", "domain", F.lit("f")).alias("block"), "reading").agg(F.min("id").alias("id")).select("block", "id")
     first = parts.select(F.xxhash64(F.lit("i"), F.substring("w", 1, 1), "address").alias("block"), "id")
-    return marked.select(block.alias("block"), "id").unionByName(first).distinct()
+    return marked.select(block.alias("block"), "id").unionByName(first).unionByName(split(firms, common)).distinct()
 
 
 def links(rows: DataFrame, least: int = 4, common: int = 24) -> DataFrame:

@@ -306,3 +306,12 @@ def test_frequent_family_names_stay_candidates(rows):
     got = pii.mentions(rows(data, "doc_id bigint, text string")).filter("kind = 'name'").collect()
     found = {(r["doc_id"], dict(data)[r["doc_id"]][r["span_start"] : r["span_end"]]) for r in got}
     assert {(i, "Anna Kibrothon") for i in range(40)} <= found and {(100 + i, "Karl Zudazol") for i in range(60)} <= found
+
+
+def test_firm_spellings_of_a_large_domain_meet_over_addresses(rows):
+    # one firm without a hyphen in its domain: more spellings than a block holds, one at each address
+    cores = ["Tekogal"] + ["Tekogal"[:i] + x + "Tekogal"[i + 1 :] for i in range(1, 7) for x in "xyzwq"]
+    m = [(f"{c} Packaging LLC", f"b{i}@tekogal.example") for i, c in enumerate(cores)] + [("Tekogal Packaging, L.L.C.", "c@tekogal.example"), ("Vimanor Packaging LLC", "d@tekogal.example"), ("accounts @ tekogal", "e@tekogal.example"), ("sales @ tekogal", "f@tekogal.example")]
+    got = {tuple(x) for x in names.spelling_pairs(rows(m, "from_name string, from_address string"), rows([], "name string, address string")).collect()}
+    same = sorted({n for n, _ in m} - {"Vimanor Packaging LLC"})
+    assert got == {(a, b) for a in same for b in same if a < b}
