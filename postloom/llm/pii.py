@@ -143,6 +143,8 @@ def candidates(text: str, lex: Lexicon) -> list[tuple[str, int, int, str]]:
     for a, _ in numbers:
         s = a - 1 if a and text[a - 1] in "+(" else a
         m = _PHONE.match(text, s) if s >= reached else None
+        if not m and s < a and a >= reached:  # a bracket around the number is not part of it
+            s, m = a, _PHONE.match(text, a)
         if m:
             reached = m.end()
             if not inside(s, reached):

@@ -315,3 +315,8 @@ def test_firm_spellings_of_a_large_domain_meet_over_addresses(rows):
     got = {tuple(x) for x in names.spelling_pairs(rows(m, "from_name string, from_address string"), rows([], "name string, address string")).collect()}
     same = sorted({n for n, _ in m} - {"Vimanor Packaging LLC"})
     assert got == {(a, b) for a in same for b in same if a < b}
+
+
+def test_phone_numbers_in_brackets():
+    for text, want in (("Call us (030 1234567) now", "030 1234567"), ("Call us (555-123-4567) now", "555-123-4567"), ("Call us (030) 123-4567 now", "(030) 123-4567")):
+        assert [text[a:b] for k, a, b, _ in pii.candidates(text, pii.Lexicon([], [])) if k == "phone"] == [want]
