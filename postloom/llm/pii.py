@@ -382,13 +382,13 @@ def _beside_given(text: str, low: str, known: frozenset[str]) -> set[str]:
     return out
 
 
-def common_words(documents: DataFrame, share: float = 0.003, low_share: float = 0.0006, most: int = 20_000) -> list[str]:
+def common_words(documents: DataFrame, share: float = 0.003, low_share: float = 0.0006) -> list[str]:
     """Ordinary words: in a share of all texts, or written small in a smaller share of them.
 
     Texts are counted once however many copies there are, and three texts are the least evidence. A
     word mostly written with a capital that stands beside a given name, title or initial in half of
-    its texts is a family name, however frequent. Counts cover every document; at most ``most``
-    words (those in most texts) reach the driver.
+    its texts is a family name, however frequent. Counts cover every document; the shares bound the
+    list (a text of k words adds to k shares of 1 / ``low_share`` texts), so no word is left out.
     """
     known = frozenset(w for w in Lexicon([], []).given | _TITLES)
 
@@ -413,8 +413,7 @@ def common_words(documents: DataFrame, share: float = 0.003, low_share: float =
     n = words.filter("w = ''").agg(F.max("df")).first()[0] or 0
     often = (F.col("df") >= max(3.0, share * n)) | (F.col("small") >= max(3.0, low_share * n))
     family = (F.col("small") < 0.5 * F.col("df")) & (F.col("named") >= 0.5 * F.col("df"))
-    top = words.filter("w <> ''").filter(often & ~family).orderBy(F.desc("df"), "w").limit(most)
-    return [r["w"] for r in top.select("w").collect()]
+    return [r["w"] for r in words.filter("w <> ''").filter(often & ~family).select("w").collect()]
 
 
 def fitted(documents: DataFrame, sample: int = 1500) -> tuple[Lexicon, list[float]]:

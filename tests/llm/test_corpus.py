@@ -320,3 +320,9 @@ def test_firm_spellings_of_a_large_domain_meet_over_addresses(rows):
 def test_phone_numbers_in_brackets():
     for text, want in (("Call us (030 1234567) now", "030 1234567"), ("Call us (555-123-4567) now", "555-123-4567"), ("Call us (030) 123-4567 now", "(030) 123-4567")):
         assert [text[a:b] for k, a, b, _ in pii.candidates(text, pii.Lexicon([], [])) if k == "phone"] == [want]
+
+
+def test_no_ordinary_word_is_left_out(rows):
+    words = {"".join(chr(97 + i // 26**k % 26) for k in range(4)) for i in range(20_050)}
+    got = pii.common_words(rows([(i, f"{' '.join(sorted(words))} {i}") for i in range(3)], "doc_id bigint, text string"))
+    assert set(got) == words
