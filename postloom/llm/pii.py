@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postloom.llm.names import NICKNAMES, TRADES, fold
+from postloom.llm.sample import sampled
 from postloom.session import cut
 
 KINDS = ("name", "email", "phone", "id_number", "street_address")
@@ -279,32 +280,39 @@ def features(text: str, kind: str, a: int, b: int, shape: str, v: list[int]) ->
     return [zlib.crc32(n.encode()) % _WIDTH for n in names]
 
 
-def reliabilities(v: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, np.ndarray, float, np.ndarray]:
+def reliabilities(v: np.ndarray, rounds: int = 30, times: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, float, np.ndarray]:
     """(true positive rates, false positive rates, prior, posteriors) by EM over votes.
 
     A vote of 0 is a third outcome with its own rates, so an abstention can tell something too.
+    Row i of the votes stands for ``times[i]`` candidates (1 by default).
     """
-    n, k = v.shape
+    k = v.shape[1]
+    times = np.ones(len(v)) if times is None else times
+    n = times.sum()
     score = v.sum(1) + 2.0 * v[:, 4]
     post = np.where(score > 1, 0.95, np.where(score < 0, 0.05, 0.6))
     rates = np.zeros((2, k, 3))
     prior = 0.5
     for _ in range(rounds):
-        prior = float(np.clip((post.sum() + 2) / (n + 4), 0.05, 0.98))
-        for c, w in enumerate((1 - post, post)):
+        prior = float(np.clip(((post * times).sum() + 2) / (n + 4), 0.05, 0.98))
+        for c, w in enumerate(((1 - post) * times, post * times)):
             for x in (-1, 0, 1):
                 # a vote against is known to be stronger evidence than its absence
                 rates[c, :, x + 1] = ((v == x) * w[:, None]).sum(0) + (4.0 if (c == 1) == (x == 1) and x else 0.5)
             rates[c] /= rates[c].sum(1, keepdims=True)
-        log = np.log([1 - prior, prior])[None, :].repeat(n, 0)
+        log = np.log([1 - prior, prior])[None, :].repeat(len(v), 0)
         for j in range(k):
             log += np.log(rates[:, j, :][:, v[:, j] + 1]).T
         post = 1 / (1 + np.exp(np.clip(log[:, 0] - log[:, 1], -30, 30)))
     return rates[1], rates[0], prior, post
 
 
-def train(texts: list[str], lex: Lexicon, steps: int = 300) -> np.ndarray:
-    """Weights of the span classifier, from the labelers' aggregated votes on sample texts."""
+def train(texts: list[str], lex: Lexicon, steps: int = 300, patterns: dict[tuple, int] | None = None) -> np.ndarray:
+    """Weights of the span classifier, from the labelers' aggregated votes on sample texts.
+
+    ``patterns`` counts (kind, votes) over the whole corpus for the estimate of the labelers; without
+    it the sample itself is counted.
+    """
     rows, active, target = [], [], []
     for t in texts:
         for c in candidates(t, lex):
@@ -314,10 +322,16 @@ def train(texts: list[str], lex: Lexicon, steps: int = 300) -> np.ndarray:
     if not rows:
         return np.zeros(_WIDTH + 1)
     target = np.zeros(len(rows))
+    patterns = patterns or Counter((kind, *v) for kind, v in rows)
     for kind in KINDS:
         at = [i for i, r in enumerate(rows) if r[0] == kind]
         if at:
-            target[at] = reliabilities(np.array([rows[i][1] for i in at]))[3]
+            seen = sorted(p for p in patterns if p[0] == kind)
+            times = np.array([patterns[p] for p in seen], dtype=float)
+            # weighed as the sample is: the prior counts keep their strength whatever the size of the corpus
+            times *= min(1.0, len(at) / times.sum())
+            post = dict(zip(seen, reliabilities(np.array([p[1:] for p in seen]), times=times)[3]))
+            target[at] = [post[(kind, *rows[i][1])] for i in at]
     x = np.zeros((len(rows), _WIDTH + 1), dtype=np.float32)
     for i, f in enumerate(active):
         x[i, f] = 1
@@ -416,11 +430,38 @@ def common_words(documents: DataFrame, share: float = 0.003, low_share: float =
     return [r["w"] for r in words.filter("w <> ''").filter(often & ~family).select("w").collect()]
 
 
+def vote_patterns(documents: DataFrame, lex: Lexicon) -> dict[tuple, int]:
+    """How often each (kind, votes) occurs over all documents; the patterns are few."""
+
+    def tally(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
+        for batch in batches:
+            seen = Counter((c[0], *votes(t, *c, lex)) for t in batch["text"] for c in candidates(t, lex))
+            yield pd.DataFrame([(p[0], list(p[1:]), n) for p, n in seen.items()], columns=["kind", "v", "n"])
+
+    found = documents.filter("text is not null").select("text").mapInPandas(tally, "kind string, v array<int>, n bigint")
+    return {(r["kind"], *r["v"]): r["n"] for r in found.groupBy("kind", "v").agg(F.sum("n").alias("n")).collect()}
+
+
+def _having(texts: DataFrame, kind: str, lex: Lexicon) -> DataFrame:
+    """The texts with a candidate of a kind."""
+    return texts.filter(F.pandas_udf(lambda s: pd.Series([any(c[0] == kind for c in candidates(t, lex)) for t in s], dtype=bool), "boolean")("text"))
+
+
 def fitted(documents: DataFrame, sample: int = 1500) -> tuple[Lexicon, list[float]]:
-    """Lexicon over all documents and a classifier fitted on the first ``sample`` of them."""
+    """Lexicon and labelers' rates over all documents, a classifier fitted on ``sample`` texts of least hash.
+
+    A kind with few candidates among them adds up to 30 texts of its own.
+    """
     lex = Lexicon([], common_words(documents))
-    texts = [r[0] for r in documents.filter("text is not null and length(text) between 1 and 20000").select("text").limit(sample).collect()]
-    return lex, train(texts, lex).tolist()
+    texts = [r[0] for r in sampled(documents.filter("text is not null and length(text) between 1 and 20000").select("text"), sample)]
+    patterns = vote_patterns(documents, lex)
+    total: Counter = Counter()
+    for p, n in patterns.items():
+        total[p[0]] += n
+    drawn = Counter(c[0] for t in texts for c in candidates(t, lex))
+    for kind in [k for k in KINDS if drawn[k] < min(30, total[k])]:  # too rare for the sample: texts of its own
+        texts += [r[0] for r in sampled(_having(documents.filter("text is not null and length(text) between 1 and 20000").select("text"), kind, lex), 30)]
+    return lex, train(list(dict.fromkeys(texts)), lex, patterns=patterns).tolist()
 
 
 def mentions(documents: DataFrame, sample: int = 1500, key: str = "doc_id") -> DataFrame:

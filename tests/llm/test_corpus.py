@@ -326,3 +326,17 @@ def test_no_ordinary_word_is_left_out(rows):
     words = {"".join(chr(97 + i // 26**k % 26) for k in range(4)) for i in range(20_050)}
     got = pii.common_words(rows([(i, f"{' '.join(sorted(words))} {i}") for i in range(3)], "doc_id bigint, text string"))
     assert set(got) == words
+
+
+def test_fits_do_not_depend_on_the_order_of_rows(rows):
+    # sorted by kind: the first rows hold no e-mail
+    data = [(i, f"Please ask for Anna Kibrothon in room {i}.") for i in range(40)] + [(100 + i, f"Write to bo{i}@office.example today.") for i in range(40)]
+    one, two = (pii.fitted(rows(d, "doc_id bigint, text string"), 30) for d in (data, data[::-1]))
+    assert one[1] == two[1]
+    found = pii.mentions(rows(data, "doc_id bigint, text string"), 30).filter("kind = 'email'")
+    assert found.count() == 40
+    # a kind too rare for the sample still gets weights
+    rare = data[:40] + [(i, f"Filler number one of {i} boxes, Anna Kibrothon signed.") for i in range(200, 900)] + data[40:41]
+    assert pii.mentions(rows(rare, "doc_id bigint, text string"), 5).filter("kind = 'email'").count() == 1
+    counted = pii.vote_patterns(rows(data, "doc_id bigint, text string"), one[0])
+    assert sum(n for p, n in counted.items() if p[0] == "email") == 40
