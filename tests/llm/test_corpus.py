@@ -340,3 +340,14 @@ def test_fits_do_not_depend_on_the_order_of_rows(rows):
     assert pii.mentions(rows(rare, "doc_id bigint, text string"), 5).filter("kind = 'email'").count() == 1
     counted = pii.vote_patterns(rows(data, "doc_id bigint, text string"), one[0])
     assert sum(n for p, n in counted.items() if p[0] == "email") == 40
+
+
+def test_fresh_text_keeps_what_quoted_lines_leave(rows, monkeypatch):
+    body = "Hello there you.\n\nThanks,\nBob"
+    used = []
+    monkeypatch.setattr(fresh, "fit_lengths", lambda sample, **k: used.append(list(sample)) or fresh.WEIGHTS)
+    df = rows([("a", body, "Bob")], "message_id string, body_text string, from_name string")
+    gone = {r["line_no"] for r in fresh.quoted_lines(df).collect()}
+    text = fresh.fresh_text(df).first()["text"]
+    assert text == "\n".join(x for k, x in enumerate(body.split("\n")) if k not in gone).strip("\n")
+    assert used == [[(body, "Bob")]] * 2
