@@ -74,12 +74,12 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     """Mentions of personal information in every document."""
-    return pii.mentions(_table(spark, d, "documents"))
+    return pii.mentions(_table(spark, d, "documents"), given=_table(spark, d, "people").select("name"))
 
 
 def p10_masked(spark: SparkSession, d: str) -> DataFrame:
     """Every document with typed placeholders."""
-    return pii.masked(_table(spark, d, "documents")).select("doc_id", "text")
+    return pii.masked(_table(spark, d, "documents"), given=_table(spark, d, "people").select("name")).select("doc_id", "text")
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_fresh, p5_found, p7_found, p7_groups, p8_containers, p9_drawn, p9_shares, p10_found, p10_masked)}

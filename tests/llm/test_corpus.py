@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from postloom.llm import fresh, mixing, names, neardup, packing, pieces, pii
+from postloom.llm import fresh, mixing, names, neardup, packing, pieces
 
 # ---- splitting ---------------------------------------------------------------------------------
 
@@ -231,52 +231,7 @@ def test_mixing_reaches_shares_within_repeats(rows):
     assert mixing.draw(rows([], "doc_id bigint, source string, text string"), t)[0].count() == 0
 
 
-# ---- personal information ----------------------------------------------------------------------
-
-TEXTS = [
-    ("Please call Anna Kibrothon at +44 1632 960 960 or write to anna.k@mail.example today.", [("name", "Anna Kibrothon"), ("phone", "+44 1632 960 960"), ("email", "anna.k@mail.example")]),
-    ("Attn: Kibrothon, Tony\nShip to: Unit 7, 12b Alder Close\nCustomer id: 940-23-1569", [("name", "Kibrothon, Tony"), ("street_address", "Unit 7, 12b Alder Close"), ("id_number", "940-23-1569")]),
-    ("Write to bo [at] office [dot] example or bo at mail dot office dot example if it failed.", [("email", "bo [at] office [dot] example"), ("email", "bo at mail dot office dot example")]),
-    ("Part no. 483-76-48988 and batch 21092528 go to Dock 4 with firmware 7.16.130.43.", []),
-    ("Herr Vazuhan hat aus Lindenweg 88 angerufen. Merci, 124B, rue du Vieux Port.", [("name", "Vazuhan"), ("street_address", "Lindenweg 88"), ("street_address", "124B, rue du Vieux Port")]),
-    ("Victoria racks and Grace frames hold 942 door closers.", []),
-]
-
-
-def test_personal_information_found_and_replaced():
-    lex = pii.Lexicon([], "please call at or write to today the and part no batch go with if it failed hat aus merci hold door closers racks frames angerufen attn ship customer".split())
-    w = pii.train([t for t, _ in TEXTS] * 30, lex)
-    for t, want in TEXTS:
-        got = pii.find(t, lex, w)
-        assert [(k, t[a:b]) for k, a, b in got] == want
-        masked = pii.replace(t, got)
-        # an exact round trip: putting the spans back gives the text
-        for k, a, b in got:
-            masked = masked.replace(f"[{k.upper()}]", t[a:b], 1)
-        assert masked == t
-    assert pii.find(None, lex, w) == [] and pii.find("", lex, w) == [] and pii.replace(None, []) is None
-
-
-def test_reliabilities_find_the_noisy_labeler():
-    rng = np.random.default_rng(0)
-    truth = rng.random(4000) < 0.5
-    flip = lambda p: np.where(rng.random(4000) < p, ~truth, truth) * 2 - 1
-    v = np.stack([flip(0.05), flip(0.1), flip(0.5), flip(0.1), np.zeros(4000), np.zeros(4000)], 1).astype(int)
-    tpr, fpr, _, post = pii.reliabilities(v)
-    assert ((post > 0.5) == truth).mean() > 0.95
-    assert tpr[0, 2] > 0.9 and abs(tpr[2, 2] - 0.5) < 0.1
-
-
-def test_mentions_frame(rows):
-    schema = "doc_id bigint, text string, kind string"
-    data = [(i, t, "mail") for i, (t, _) in enumerate(TEXTS * 10)] + [(900, None, "x"), (901, "", "x"), (0, TEXTS[0][0], "mail")]
-    df = rows(data, schema)
-    got = pii.mentions(df)
-    assert got.columns == ["doc_id", "kind", "span_start", "span_end"] and got.filter("doc_id >= 900").count() == 0
-    assert got.count() == got.distinct().count() > 0
-    assert pii.mentions(rows([], schema)).count() == 0
-    out = {r["doc_id"]: r["text"] for r in pii.masked(df).collect()}
-    assert out[900] is None and out[901] == "" and "anna.k@mail.example" not in out[0]
+# ---- tokens and later cases ---------------------------------------------------------------------
 
 
 def test_token_counts_agree_between_files():
@@ -297,17 +252,6 @@ def test_spellings_meet_over_addresses(rows):
     assert got == {("Sam Krufachen", "Samantha Krufachen"), ("D Fidripa", "Daniel Fidripa"), ("Fnederick Jutheze", "Frederick Jutheze"), ("Tony Zudazol", "Zudazol, Anthony"), ("Y. Korezu", "Yann Korezu")}
 
 
-def test_frequent_family_names_stay_candidates(rows):
-    filler = ["The goods came today and the driver left. Rechnung folgt.", "Please send the goods again. Rechnung liegt bei."]
-    data = [(i, "Please ask for Anna Kibrothon about the goods. Thanks.") for i in range(40)]  # copies
-    data += [(100 + i, f"{filler[i % 2]} Line {i}. Attn: Mr Zudazol, room {i}; J. Zudazol and Karl Zudazol signed.") for i in range(60)]
-    ordinary = set(pii.common_words(rows(data, "doc_id bigint, text string")))
-    assert {"goods", "the", "rechnung"} <= ordinary and ordinary.isdisjoint({"kibrothon", "zudazol"})
-    got = pii.mentions(rows(data, "doc_id bigint, text string")).filter("kind = 'name'").collect()
-    found = {(r["doc_id"], dict(data)[r["doc_id"]][r["span_start"] : r["span_end"]]) for r in got}
-    assert {(i, "Anna Kibrothon") for i in range(40)} <= found and {(100 + i, "Karl Zudazol") for i in range(60)} <= found
-
-
 def test_firm_spellings_of_a_large_domain_meet_over_addresses(rows):
     # one firm without a hyphen in its domain: more spellings than a block holds, one at each address
     cores = ["Tekogal"] + ["Tekogal"[:i] + x + "Tekogal"[i + 1 :] for i in range(1, 7) for x in "xyzwq"]
@@ -317,31 +261,6 @@ def test_firm_spellings_of_a_large_domain_meet_over_addresses(rows):
     assert got == {(a, b) for a in same for b in same if a < b}
 
 
-def test_phone_numbers_in_brackets():
-    for text, want in (("Call us (030 1234567) now", "030 1234567"), ("Call us (555-123-4567) now", "555-123-4567"), ("Call us (030) 123-4567 now", "(030) 123-4567")):
-        assert [text[a:b] for k, a, b, _ in pii.candidates(text, pii.Lexicon([], [])) if k == "phone"] == [want]
-
-
-def test_no_ordinary_word_is_left_out(rows):
-    words = {"".join(chr(97 + i // 26**k % 26) for k in range(4)) for i in range(20_050)}
-    got = pii.common_words(rows([(i, f"{' '.join(sorted(words))} {i}") for i in range(3)], "doc_id bigint, text string"))
-    assert set(got) == words
-
-
-def test_fits_do_not_depend_on_the_order_of_rows(rows):
-    # sorted by kind: the first rows hold no e-mail
-    data = [(i, f"Please ask for Anna Kibrothon in room {i}.") for i in range(40)] + [(100 + i, f"Write to bo{i}@office.example today.") for i in range(40)]
-    one, two = (pii.fitted(rows(d, "doc_id bigint, text string"), 30) for d in (data, data[::-1]))
-    assert one[1] == two[1]
-    found = pii.mentions(rows(data, "doc_id bigint, text string"), 30).filter("kind = 'email'")
-    assert found.count() == 40
-    # a kind too rare for the sample still gets weights
-    rare = data[:40] + [(i, f"Filler number one of {i} boxes, Anna Kibrothon signed.") for i in range(200, 900)] + data[40:41]
-    assert pii.mentions(rows(rare, "doc_id bigint, text string"), 5).filter("kind = 'email'").count() == 1
-    counted = pii.vote_patterns(rows(data, "doc_id bigint, text string"), one[0])
-    assert sum(n for p, n in counted.items() if p[0] == "email") == 40
-
-
 def test_fresh_text_keeps_what_quoted_lines_leave(rows, monkeypatch):
     body = "Hello there you.\n\nThanks,\nBob"
     used = []
