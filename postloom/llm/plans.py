@@ -10,7 +10,7 @@ from postloom.llm.names import spelling_pairs
 from postloom.llm.neardup import expand, groups, near_pairs
 from postloom.llm import pii
 from postloom.llm.mixing import draw
-from postloom.llm.packing import pack
+from postloom.llm.packing import covered, pack
 from postloom.llm.pieces import message_pieces
 from postloom.session import cut
 
@@ -62,6 +62,11 @@ def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     return pack(_table(spark, d, "documents"))
 
 
+def p8_cover(spark: SparkSession, d: str) -> DataFrame:
+    """Every document with whether its containers keep to the rules."""
+    return covered(pack(_table(spark, d, "documents"))).select("doc_id", "sound")
+
+
 def p9_drawn(spark: SparkSession, d: str) -> DataFrame:
     """Drawn documents with their repeats."""
     return draw(_table(spark, d, "documents"), _table(spark, d, "mix_targets"))[0]
@@ -82,9 +87,10 @@ def p10_masked(spark: SparkSession, d: str) -> DataFrame:
     return pii.masked(_table(spark, d, "documents"), given=_table(spark, d, "people").select("name")).select("doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_fresh, p5_found, p7_found, p7_groups, p8_containers, p9_drawn, p9_shares, p10_found, p10_masked)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_fresh, p5_found, p7_found, p7_groups, p8_containers, p8_cover, p9_drawn, p9_shares, p10_found, p10_masked)}
 
 SQL = {
+    "p8_cover": "SELECT DISTINCT doc_id, true AS sound FROM documents WHERE doc_id IS NOT NULL",
     "p1_found": "SELECT DISTINCT message_id FROM messages WHERE length(body_text) > 1200",
     "p7_found": r"""
 WITH d AS (SELECT DISTINCT chunk_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM chunks),

@@ -193,7 +193,7 @@ def test_pack_keeps_texts_whole(rows):
     rnd = random.Random(3)
     data = [(i, " ".join(["word"] * rnd.choice([1, 50, 300, 700])), "s") for i in range(120)] + [(500, "word " * 5000, "s"), (501, "", "s"), (502, None, "s"), (503, "   ", "s"), (0, None, "s")]
     for group in (12_000_000, 20_000):
-        got = packing.pack(rows(data, "doc_id bigint, text string, used string"), group_tokens=group, fan_in=2).collect()
+        got = packing.pack(rows(data, "doc_id bigint, text string, used string"), group_tokens=group).collect()
         where: dict = {}
         for r in got:
             assert 0 <= r["used"] <= 2048 and r["used"] + r["free"] == 2048
@@ -201,11 +201,35 @@ def test_pack_keeps_texts_whole(rows):
                 where.setdefault(d, []).append(p)
         assert set(where) == {d for d, _, _ in data}
         assert all(len(v) == 1 for d, v in where.items() if d != 500) and sorted(where[500]) == [0, 1, 2]
-        assert sum(r["used"] for r in got) / (2048 * len(got)) > 0.85
+        filled = [r for r in got if r["used"]]  # texts without tokens have a container of their own
+        assert sum(r["used"] for r in filled) / (2048 * len(filled)) > 0.85
     assert len({r["container_id"] for r in got}) == len(got)
     assert packing.pack(rows([], "doc_id bigint, text string")).count() == 0
 
 
+def test_pack_of_texts_that_fill_nothing_stays_in_bounds(rows):
+    # all sizes above half the capacity: every text is alone, and no task holds more than a group
+    data = [(i, " ".join(["word"] * (1030 + i % 900))) for i in range(300)] + [(None, "word")] + [(1000 + i, "") for i in range(95)]
+    got = packing.pack(rows(data, "doc_id bigint, text string"), group_tokens=40_000, empty_rows=20)
+    done = got.collect()
+    sizes: dict = {}
+    for r in done:
+        if r["used"]:
+            assert r["container_id"].startswith("c0-") and len(r["doc_ids"]) == 1
+            sizes[r["container_id"].split("-")[1]] = sizes.get(r["container_id"].split("-")[1], 0) + r["used"]
+        else:
+            assert len(r["doc_ids"]) <= 45
+    assert max(sizes.values()) <= 80_000 and sum(len(r["doc_ids"]) for r in done if not r["used"]) == 95
+    assert packing.covered(got).filter("sound").count() == 395
+
+
+def test_pack_many_small_rows_are_parted_by_number(rows):
+    data = [(i, "word") for i in range(3000)]
+    got = packing.pack(rows(data, "doc_id bigint, text string"), capacity=64, group_rows=500).collect()
+    assert sum(r["used"] for r in got) == 3000 and len(got) <= 3000 // 64 + 2
+    assert any(r["container_id"].startswith("c1-") for r in got)
+
+
 # ---- mixing ------------------------------------------------------------------------------------
 
 
