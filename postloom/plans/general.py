@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postloom.operators.asknown import senders_at
-from postloom.operators.hierarchy import paths, reply_tree
+from postloom.operators.hierarchy import descendants, paths, reply_tree
 from postloom.operators.history import fact_history
 from postloom.session import cut
 from postloom.sources.tables import table
@@ -28,12 +28,18 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_paths(spark: SparkSession, d: str) -> DataFrame:
-    """Path from the root, number of descendants and the interval that holds them."""
+    """Path from the root and number of descendants of every message."""
     tree = cut(reply_tree(table(spark, d, "messages")))
     return tree.join(paths(tree), "id").select("message_id", F.array_join("path", " ").alias("path"), (F.coalesce("size", F.lit(1)) - 1).alias("n_descendants"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p4_found, p6_found, p6_paths)}
+def p6_descendants(spark: SparkSession, d: str) -> DataFrame:
+    """Every message with each message below it in its tree."""
+    tree = cut(reply_tree(table(spark, d, "messages")))
+    return descendants(tree)
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p4_found, p6_found, p6_paths, p6_descendants)}
 
 _LINKS = r"""
 m AS (SELECT DISTINCT message_id, in_reply_to, references_json FROM messages WHERE message_id IS NOT NULL),
@@ -83,5 +89,10 @@ pairs AS (SELECT unnest(string_split(path, ' ')) AS anc FROM down),
 cnt AS (SELECT anc AS id, count(*) - 1 AS n FROM pairs GROUP BY anc)
 SELECT link.message_id, coalesce(down.path, '') AS path, coalesce(cnt.n, 0) AS n_descendants
 FROM link LEFT JOIN down USING (id) LEFT JOIN cnt USING (id)
+""",
+    "p6_descendants": f"""
+WITH RECURSIVE {_LINKS},
+pairs AS (SELECT id, unnest(string_split(path, ' ')) AS ancestor FROM down)
+SELECT ancestor, id FROM pairs WHERE ancestor <> id
 """,
 }

@@ -88,13 +88,13 @@ def brute_tree(parent):
     return out
 
 
-@pytest.mark.parametrize("seed,n", [(1, 60), (2, 200)])
-def test_hierarchy_matches_brute_force(rows, seed, n):
+@pytest.mark.parametrize("seed,n,tree_rows", [(1, 60, 100_000), (2, 200, 100_000), (2, 200, 10)])
+def test_hierarchy_matches_brute_force(rows, seed, n, tree_rows):
     rnd = random.Random(seed)
     ids = [f"n{i:03d}" for i in range(n)]
     parent = {v: (None if rnd.random() < 0.1 else ids[rnd.randrange(n if rnd.random() < 0.05 else max(1, i))] if rnd.random() < 0.6 else ids[max(0, i - 1)]) for i, v in enumerate(ids)}
     links = rows(list(parent.items()), "id string, parent string")
-    tree = hierarchy.decompose(links).cache()
+    tree = hierarchy.decompose(links, tree_rows).cache()
     want = brute_tree(parent)
     got = {r["id"]: r for r in tree.collect()}
     assert {k: (r["root"], r["depth"]) for k, r in got.items()} == {k: v[:2] for k, v in want.items()}
