@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from collections.abc import Iterable, Iterator
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import Column
@@ -12,9 +15,19 @@ FRAGMENTS = "array<struct<n:int,kind:string,span_start:int,span_end:int,text:str
 SPANS = "array<struct<chunk_index:int,span_start:int,span_end:int>>"
 CHUNK_CHARS = 1200
 # The lines that start a signature, introduce a quote and sign off.
-_DASH = re.compile(r"-- ?")
-_WROTE = re.compile(r"On .+ wrote:")
-_BYE = re.compile(r"(?:Best regards|Regards|Thanks|Kind regards|Best|Cheers),?")
+_DASH = r"-- ?"
+_WROTE = r"On [^\n]+ wrote:"
+_BYE = r"(?:Best regards|Regards|Thanks|Kind regards|Best|Cheers),?"
+
+_SP = r"[^\S\n]*"  # white space within a line
+_END = r"(?=\n|\Z)"
+_QUOTE = rf"(?:>[^\n]*|{_SP}{_WROTE}{_SP}){_END}"
+_SIGNED = re.compile(rf"^{_DASH}\r?{_END}", re.M)
+# the last sign-off of a text and at most four lines below it, short ones that quote nothing
+_CLOSED = re.compile(rf"^{_SP}{_BYE}{_SP}(?:\n(?!>|{_SP}{_BYE}{_SP}{_END}){_SP}(?:\S(?:[^\n]{{0,78}}\S)?)?{_SP}){{0,4}}\s*\Z", re.M)
+_RUN = re.compile(rf"^(?:(?P<quote>{_QUOTE}(?:\n(?:{_QUOTE}|{_SP}{_END}))*)|(?P<new>(?!{_QUOTE}){_SP}\S[^\n]*(?:\n(?!{_QUOTE})[^\n]*)*))", re.M)
+_GAP = re.compile(r"\n[ \t]*\n+")
+_CORE = re.compile(r"\S(?:[\s\S]*\S)?")
 
 
 def fragments(body: str | None) -> list[tuple[int, str, int, int, str]]:
@@ -23,49 +36,26 @@ def fragments(body: str | None) -> list[tuple[int, str, int, int, str]]:
     A ``--`` line starts the signature; else a sign-off followed by at most four short lines at
     the end does. Lines starting with ``>`` and ``On ... wrote:`` are quotes; blank lines take the
     kind of the line before; runs of blanks only are left out.
+
+    One pattern finds where the signature begins, another tiles what is above it with runs.
     """
-    if not body:
+    if not body or not body.strip():
         return []
-    lines, at = [], 0
-    for raw in body.split("\n"):
-        text = raw[:-1] if raw.endswith("\r") else raw
-        lines.append((at, at + len(text), text))
-        at += len(raw) + 1
-    if len(lines) > 1 and lines[-1][0] == len(body):
-        lines.pop()
-    sig = next((i for i, (_, _, t) in enumerate(lines) if _DASH.fullmatch(t)), len(lines))
-    bye, last = len(lines), sig - 1
-    while last >= 0 and not lines[last][2].strip():
-        last -= 1
-    for j in range(last, max(-1, last - 5), -1):
-        if _BYE.fullmatch(lines[j][2].strip()):
-            if all(len(t.strip()) <= 80 and not t.startswith(">") for _, _, t in lines[j + 1 : last + 1]):
-                bye = j
-            break
-    kinds: list[str | None] = []
-    for i, (_, _, t) in enumerate(lines):
-        if i >= sig or i >= bye:
-            kinds.append("signature")
-        elif t.startswith(">") or _WROTE.fullmatch(t.strip()):
-            kinds.append("quote")
-        else:
-            kinds.append("new" if t.strip() else None)
-    first = next((k for k in kinds if k), None)
-    if first is None:
-        return []
-    filled, prev = [], first
-    for k in kinds:
-        prev = k or prev
-        filled.append(prev)
-    out, i = [], 0
-    while i < len(lines):
-        j = i
-        while j + 1 < len(lines) and filled[j + 1] == filled[i]:
-            j += 1
-        a, b = lines[i][0], lines[j][1]
-        if body[a:b].strip():
-            out.append((len(out), filled[i], a, b, body[a:b]))
-        i = j + 1
+    end = len(body) - body.endswith("\n")
+    dash = _SIGNED.search(body)
+    bound = dash.start() if dash else len(body)
+    closed = _CLOSED.search(body[:bound])
+    below = closed.start() if closed else bound if dash else end + 1
+    above = body[: max(0, below - 1)]
+    runs = [(m.lastgroup, m.start(), m.end()) for m in _RUN.finditer(above)]
+    if closed or dash:
+        runs.append(("signature", below, end))
+    # blank lines at the top go with the first run
+    runs[0] = (runs[0][0], 0, runs[0][2])
+    out = []
+    for n, (kind, a, b) in enumerate(runs):
+        b -= body[a:b].endswith("\r")
+        out.append((n, kind, a, b, body[a:b]))
     return out
 
 
@@ -76,49 +66,27 @@ def chunk_spans(text: str | None, most: int = CHUNK_CHARS) -> list[tuple[int, in
     """
     if not text:
         return []
+    gaps = [m.span() for m in _GAP.finditer(text)]
+    edges = zip([0, *(b for _, b in gaps)], [*(a for a, _ in gaps), len(text)])
+    whole = [m.span() for a, b in edges if (m := _CORE.search(text, a, b))]
+    return [span for long, some in groupby(whole, key=lambda p: p[1] - p[0] > most) for span in (_cut_up(text, some, most) if long else _filled(list(some), most))]
+
 
-    def trim(a: int, b: int) -> tuple[int, int]:
-        while a < b and text[a].isspace():
-            a += 1
-        while b > a and text[b - 1].isspace():
-            b -= 1
-        return a, b
-
-    paragraphs, start = [], 0
-    for m in re.finditer(r"\n[ \t]*\n+", text):
-        paragraphs.append(trim(start, m.start()))
-        start = m.end()
-    paragraphs.append(trim(start, len(text)))
-    out: list[tuple[int, int]] = []
-    cur: tuple[int, int] | None = None
+def _filled(paragraphs: list[tuple[int, int]], most: int) -> Iterator[tuple[int, int]]:
+    """Each chunk reaches as far as the last paragraph that ends within the limit."""
+    ends = [b for _, b in paragraphs]
+    i = 0
+    while i < len(ends):
+        start = paragraphs[i][0]
+        i = bisect_right(ends, start + most, i)
+        yield start, ends[i - 1]
+
+
+def _cut_up(text: str, paragraphs: Iterable[tuple[int, int]], most: int) -> Iterator[tuple[int, int]]:
+    piece = re.compile(rf"\s*((?=\S)(?:[\s\S]{{1,{most}}}\Z|[\s\S]{{1,{most - 1}}}(?=[ \n\t])|[\s\S]{{1,{most}}}))")
     for a, b in paragraphs:
-        if b <= a:
-            continue
-        if b - a > most:
-            if cur:
-                out.append(cur)
-                cur = None
-            while a < b:
-                e = min(a + most, b)
-                if e < b:
-                    ws = max(text.rfind(c, a, e) for c in " \n\t")
-                    if ws > a:
-                        e = ws
-                p = trim(a, e)
-                if p[1] > p[0]:
-                    out.append(p)
-                a = e
-                while a < b and text[a].isspace():
-                    a += 1
-        elif cur and b - cur[0] <= most:
-            cur = (cur[0], b)
-        else:
-            if cur:
-                out.append(cur)
-            cur = (a, b)
-    if cur:
-        out.append(cur)
-    return out
+        for m in piece.finditer(text[a:b]):
+            yield a + m.start(1), a + m.start(1) + len(m.group(1).rstrip())
 
 
 def fragments_of(body: Column | str) -> Column:
