@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 from datetime import UTC, datetime
 
@@ -13,28 +14,34 @@ from postloom.functions import mail as rules
 from postloom.functions import text, vectors
 from postloom.functions.remote import context_prompt
 from postloom.operators import cache, entities, extract, filters, ledger, search, threads
-from postloom.session import cut
+from postloom.operators.skew import running_sum
+from postloom.session import cut, scratch
 from postloom.sources import mail
 from postloom.store import ReadOnlyError, Store
 
 
-
 class Engine:
     """One store and the operators over it; every read returns a DataFrame.
 
     ``embed`` maps a text column to a vector column (``model`` names it), ``context`` maps a
     chunk frame to a context column or is a ``ModelContext``, ``parsers`` maps a mime type to a function from bytes to
     (text, meta). All are optional; without ``embed`` search is lexical and deterministic.
+    ``on_progress`` hears the step of an ingest and its number of messages, ``on_error`` each file set
+    aside, ``on_reject`` each proposal that is refused (rows come to the driver one partition at a time).
     """
 
-    def __init__(self, spark: SparkSession, root: str, readonly: bool = False, embed: Callable | None = None, model: str = "hash-64", context: Callable | None = None, parsers: dict | None = None, clock: Callable[[], str] | None = None):
+    def __init__(self, spark: SparkSession, root: str, readonly: bool = False, embed: Callable | None = None, model: str = "hash-64", context: Callable | None = None, parsers: dict | None = None, clock: Callable[[], str] | None = None, on_progress: Callable[[str, int], None] | None = None, on_error: Callable[[dict], None] | None = None, on_reject: Callable[[dict], None] | None = None):
         self.spark, self.store, self.embed, self.model, self.context = spark, Store(spark, root, readonly), embed, model, context
         self.parsers = {"application/pdf": mail.pdf_text} | (parsers or {})
+        self.on_progress, self.on_error, self.on_reject = on_progress, on_error, on_reject
         self.now = clock or (lambda: datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%S.000Z"))
 
     # ---- ingest -----------------------------------------------------------------------------
     def eml_bytes(self, *messages: bytes) -> dict:
-        return self._ingest(self.spark.createDataFrame([(bytearray(m), i) for i, m in enumerate(messages)], "content binary, ord bigint"))
+        return self._ingest(self.spark.createDataFrame([(bytearray(m), f"{i:012d}", len(m)) for i, m in enumerate(messages)], "content binary, ord string, length bigint"))
+
+    def eml_file(self, path: str) -> dict:
+        return self._ingest(mail.single(self.spark, path))
 
     def eml_dir(self, path: str) -> dict:
         return self._ingest(mail.folder(self.spark, path))
@@ -42,49 +49,92 @@ class Engine:
     def mbox_file(self, path: str) -> dict:
         return self._ingest(mail.mbox(self.spark, path))
 
+    def _tell(self, step: str, n: int) -> None:
+        if self.on_progress:
+            self.on_progress(step, n)
+
     def _ingest(self, raw: DataFrame) -> dict:
         """Store new messages, set bad ones aside, rethread and index; the same bytes change nothing."""
         if self.store.readonly:
             raise ReadOnlyError("the store is read-only")
+        with scratch():
+            return self._store_mail(raw)
+
+    def _store_mail(self, raw: DataFrame) -> dict:
         at = self.now()
         p = cut(mail.parsed(raw))
         good, bad = p.filter("error is null"), p.filter("error is not null")
+        self._tell("parsed", p.count())
         known = self.store.read("messages").select("message_id", "blob_hash")
-        last = Window.partitionBy("message_id").orderBy(F.desc("ord"))
-        fresh = cut(good.join(known, ["message_id", "blob_hash"], "left_anti").withColumn("_r", F.row_number().over(last)).filter("_r = 1").drop("_r"))
+        # of several versions of a message the last by path counts
+        last = good.join(known, ["message_id", "blob_hash"], "left_anti").groupBy("message_id").agg(F.max("ord").alias("ord"))
+        fresh = cut(good.join(last, ["message_id", "ord"], "left_semi").dropDuplicates(["message_id"]))
         n_fresh = fresh.count()
         body = F.when((F.col("body_text") == "") & F.col("html").isNotNull(), text.html_text("html")).otherwise(F.col("body_text"))
         if n_fresh:
+            ids = fresh.select("message_id")
             atts = fresh.select("message_id", F.inline("attachments"))
             blobs = fresh.select(F.col("blob_hash").alias("hash"), "size", F.lit("message/rfc822").alias("mime"), "content").unionByName(atts.select(F.sha2("content", 256).alias("hash"), F.length("content").cast("bigint").alias("size"), "mime", "content"))
-            blobs = blobs.dropDuplicates(["hash"]).withColumn("created_at", F.lit(at)).withColumn("tombstoned", F.lit(False))
-            self.store.append("blobs", blobs.join(self.store.read("blobs").select("hash"), "hash", "left_anti"))
+            self._put_blobs(blobs, at)
             self.store.merge("blob_sources", fresh.select(F.col("blob_hash").alias("hash"), "message_id", F.lit(-1).alias("att_index"), F.lit("message").alias("kind"), F.lit("").alias("filename")).unionByName(atts.select(F.sha2("content", 256).alias("hash"), "message_id", "att_index", F.lit("attachment").alias("kind"), "filename")), ["message_id", "att_index"])
             self.store.merge("messages", fresh.select("message_id", "blob_hash", F.lit(None).cast("string").alias("thread_id"), "subject", "from_name", "from_address", "sent_at", "in_reply_to", F.to_json("refs").alias("references_json"), body.alias("body_text")), ["message_id"])
             self._replace("message_recipients", fresh, fresh.select("message_id", F.inline("recipients")))
             self._replace("attachments", fresh, atts.select("message_id", "att_index", "filename", "mime", F.sha2("content", 256).alias("blob_hash")))
-            self.rethread()
-            self.index(fresh.select("message_id"))
+            self._tell("stored", n_fresh)
+            self.rethread(ids)
+            self._tell("threaded", n_fresh)
+            self.index(ids)
+            self._tell("indexed", n_fresh)
         errors = bad.select(F.lit(at).alias("at"), "blob_hash", F.col("error").alias("reason"), F.substring("detail", 1, 500).alias("detail"))
         once = errors.filter("blob_hash is not null").dropDuplicates(["blob_hash", "reason"]).join(self.store.read("ingest_errors").select("blob_hash", "reason"), ["blob_hash", "reason"], "left_anti")
         n_bad = bad.count()
         if n_bad:
-            self.store.append("ingest_errors", once.unionByName(errors.filter("blob_hash is null")))
-            kept = bad.filter("content is not null").select(F.col("blob_hash").alias("hash"), "size", F.lit("application/octet-stream").alias("mime"), F.lit(at).alias("created_at"), F.lit(False).alias("tombstoned"), "content").dropDuplicates(["hash"])
-            self.store.append("blobs", kept.join(self.store.read("blobs").select("hash"), "hash", "left_anti"))
+            told = cut(once.unionByName(errors.filter("blob_hash is null")))
+            self.store.append("ingest_errors", told)
+            self._put_blobs(bad.filter("content is not null").select(F.col("blob_hash").alias("hash"), "size", F.lit("application/octet-stream").alias("mime"), "content"), at)
+            for r in told.toLocalIterator() if self.on_error else ():
+                self.on_error(r.asDict())
         return {"seen": p.count(), "fresh": n_fresh, "errors": n_bad}
 
+    def _put_blobs(self, blobs: DataFrame, at: str) -> None:
+        """Add the blobs whose hash is new."""
+        new = blobs.dropDuplicates(["hash"]).withColumn("created_at", F.lit(at)).withColumn("tombstoned", F.lit(False))
+        self.store.append("blobs", new.join(self.store.read("blobs").select("hash"), "hash", "left_anti"))
+
+    def put_blob(self, data: bytes, mime: str = "application/octet-stream") -> str:
+        """Store bytes under their SHA-256 and return it; known bytes change nothing."""
+        if self.store.readonly:
+            raise ReadOnlyError("the store is read-only")
+        hash_ = hashlib.sha256(data).hexdigest()
+        self._put_blobs(self.spark.createDataFrame([(hash_, len(data), mime, bytearray(data))], "hash string, size bigint, mime string, content binary"), self.now())
+        return hash_
+
+    def has_blob(self, hash_: str) -> bool:
+        """True if the bytes are stored and not erased."""
+        return bool(self.store.read("blobs").filter((F.col("hash") == hash_) & ~F.col("tombstoned")).select("hash").limit(1).count())
+
     def _replace(self, name: str, scope: DataFrame, rows: DataFrame) -> None:
-        old = self.store.read(name).join(scope.select("message_id").distinct(), "message_id", "left_anti")
-        self.store.write(name, old.unionByName(rows.select(*old.columns)))
+        self.store.merge(name, rows, ["message_id"], scope)
 
     # ---- derived tables ---------------------------------------------------------------------
-    def rethread(self) -> None:
-        """Threads from the stored set; the result does not depend on the order of arrival."""
-        m = self.store.read("messages")
-        a = cut(threads.assign(m))
-        self.store.write("messages", m.drop("thread_id").join(a.select("message_id", "thread_id"), "message_id"))
-        self.store.write("threads", threads.thread_rows(a))
+    def rethread(self, fresh: DataFrame | None = None) -> None:
+        """Threads from the stored set; the result does not depend on the order of arrival.
+
+        With ``fresh`` (column ``message_id``) only the messages those may touch are read and written,
+        with the same result.
+        """
+        with scratch():
+            m = self.store.read("messages")
+            if fresh is not None:
+                m = cut(m.join(threads.affected(m, fresh), "message_id", "left_semi"))
+            a = cut(threads.assign(m))
+            old = cut(m.select("thread_id").filter("thread_id is not null").unionByName(a.select("thread_id")).distinct())
+            moved = m.join(a.select("message_id", F.col("thread_id").alias("_t")), "message_id").filter("not thread_id <=> _t").drop("thread_id").withColumnRenamed("_t", "thread_id")
+            self.store.merge("messages", cut(moved), ["message_id"])
+            if fresh is None:
+                self.store.write("threads", threads.thread_rows(a))
+            else:
+                self.store.merge("threads", threads.thread_rows(a), ["thread_id"], old)
 
     def index(self, ids: DataFrame | None = None) -> None:
         """Fragments, chunks and vectors of the given messages (all by default)."""
@@ -104,9 +154,7 @@ class Engine:
         chunks = c.unionByName(self._attachment_chunks(todo, head))
         prefix = text.meta_prefix(F.col("source_kind"), F.col("from_address"), F.col("rcpt"), F.col("sent_at"), F.col("subject"), F.col("filename"))
         chunks = self._with_context(chunks, prefix).withColumn("meta_json", F.to_json(F.struct(F.col("from_address").alias("from"), F.col("rcpt").alias("to"), F.col("sent_at").alias("date"), "subject", "filename")))
-        old = self.store.read("chunks")
-        kept = old.join(todo.select("message_id"), "message_id", "left_anti")
-        self.store.write("chunks", kept.unionByName(chunks.select(*old.columns)))
+        self._replace("chunks", todo, cut(chunks.select(*self.store.empty("chunks").columns)))
         if self.embed:
             self.reembed()
 
@@ -182,23 +230,26 @@ class Engine:
         return n
 
     def tombstone(self, hash_: str, reason: str) -> None:
-        """Erase a blob and all that derives from it; the audit log keeps that it happened."""
-        blobs = self.store.read("blobs")
-        if not blobs.filter(F.col("hash") == hash_).count():
+        """Erase a blob and all that derives from it; the audit log keeps that it happened.
+
+        The rows leave the current tables, and parts and manifests that held them are deleted.
+        """
+        blob = self.store.read("blobs").filter(F.col("hash") == hash_)
+        if not blob.select("hash").limit(1).count():
             raise KeyError(hash_)
-        gone = self.store.read("chunks").filter(F.col("blob_hash") == hash_).select("chunk_id")
-        gone = cut(gone)
-        for name in ("embeddings", "context_cache"):
-            self.store.write(name, self.store.read(name).join(gone, "chunk_id", "left_anti"), erase=True)
-        self.store.write("chunks", self.store.read("chunks").filter(F.col("blob_hash") != hash_), erase=True)
-        self.store.write("parse_cache", self.store.read("parse_cache").filter(F.col("blob_hash") != hash_), erase=True)
-        m = self.store.read("messages")
-        ids = cut(m.filter(F.col("blob_hash") == hash_).select("message_id"))
-        self.store.write("fragments", self.store.read("fragments").join(ids, "message_id", "left_anti"), erase=True)
-        self.store.write("messages", m.withColumn("body_text", F.when(F.col("blob_hash") == hash_, "").otherwise(F.col("body_text"))), erase=True)
-        here = F.col("hash") == hash_
-        self.store.write("blobs", blobs.withColumn("content", F.when(~here, F.col("content"))).withColumn("tombstoned", F.col("tombstoned") | here), erase=True)
-        self.store.append("audit_log", self.spark.createDataFrame([(self.now(), "tombstone", hash_, reason)], "at string, action string, subject string, detail string"))
+        with scratch():
+            c = cut(self.store.read("chunks").filter(F.col("blob_hash") == hash_).select("chunk_id", "message_id"))
+            for name in ("embeddings", "context_cache"):
+                self.store.merge(name, None, ["chunk_id"], c, erase=True)
+            left = self.store.read("chunks").join(c.select("message_id").distinct(), "message_id", "left_semi").filter(F.col("blob_hash") != hash_)
+            self.store.merge("chunks", cut(left), ["message_id"], c, erase=True)
+            one = self.spark.createDataFrame([(hash_,)], "blob_hash string")
+            self.store.merge("parse_cache", None, ["blob_hash"], one, erase=True)
+            m = self.store.read("messages").filter(F.col("blob_hash") == hash_)
+            self.store.merge("fragments", None, ["message_id"], m, erase=True)
+            self.store.merge("messages", cut(m.withColumn("body_text", F.lit(""))), ["message_id"], erase=True)
+            self.store.merge("blobs", cut(blob.withColumn("content", F.lit(None).cast("binary")).withColumn("tombstoned", F.lit(True))), ["hash"], erase=True)
+            self.store.append("audit_log", self.spark.createDataFrame([(self.now(), "tombstone", hash_, reason)], "at string, action string, subject string, detail string"))
 
     def get_blob(self, hash_: str) -> bytes | None:
         r = self.store.read("blobs").filter((F.col("hash") == hash_) & ~F.col("tombstoned")).select("content").first()
@@ -255,15 +306,23 @@ class Engine:
         rows = [(base + i + 1, f["entity"], f["relation"], f["value_json"], f["valid_from"], f.get("created_at") or self.now(), f.get("source_chunk"), f.get("source_message")) for i, f in enumerate(facts)]
         self.store.append("facts", self.spark.createDataFrame(rows, old.schema))
 
+    def _append_facts(self, new: DataFrame) -> None:
+        """Append assertions in order of their start, numbered over range partitions."""
+        base = self.store.read("facts").agg(F.max("seq")).first()[0] or 0
+        order = [F.asc("valid_from"), F.asc("entity"), F.asc("relation"), F.asc("value_json")]
+        numbered = running_sum(new.withColumn("_one", F.lit(1).cast("long")), [], order, "_one", "seq").withColumn("seq", F.col("seq") + base)
+        self.store.append("facts", numbered.withColumn("created_at", F.lit(self.now())).withColumn("source_message", F.lit(None).cast("string")))
+
     def backfill(self, facts: list[dict]) -> None:
         self.assert_facts(sorted(facts, key=lambda f: f["valid_from"]))
 
     def _log(self) -> DataFrame:
         return self.store.read("facts").withColumnRenamed("value_json", "value")
 
-    def _beliefs(self) -> DataFrame:
-        b = ledger.belief_history(self._log()).withColumnRenamed("value", "value_json")
-        return b.withColumn("fact_id", F.xxhash64(*b.columns)).withColumn("source_chunk", F.lit(None).cast("string")).withColumn("source_message", F.lit(None).cast("string"))
+    def _beliefs(self, log: DataFrame | None = None) -> DataFrame:
+        """Every belief with its id and where it comes from."""
+        b = ledger.belief_history(self._log() if log is None else log, ["source_chunk", "source_message"]).withColumnRenamed("value", "value_json")
+        return b.withColumn("fact_id", F.xxhash64(*b.columns))
 
     def fact_as_of(self, entity: str, relation: str, day: str) -> DataFrame:
         q = self.spark.createDataFrame([(entity, relation, day)], "entity string, relation string, day string")
@@ -271,7 +330,7 @@ class Engine:
 
     def fact_history(self, entity: str, relation: str) -> DataFrame:
         mine = self._log().filter((F.col("entity") == entity) & (F.col("relation") == relation))
-        return ledger.belief_history(mine).orderBy("created_at", "valid_from")
+        return self._beliefs(mine).withColumnRenamed("value_json", "value").orderBy("created_at", "valid_from")
 
     # ---- entities ---------------------------------------------------------------------------
     def add_party(self, party_id: str, name: str, kind: str, notes: str = "") -> None:
@@ -311,8 +370,9 @@ class Engine:
             self.add_party(s["new_party"]["partyId"], s["new_party"]["name"], s["new_party"]["kind"])
         for m in s["mappings"]:
             if not m["fromDate"] and not m["toDate"]:
-                old = self.store.read("party_addresses")
-                self.store.write("party_addresses", old.filter(~((F.col("address") == m["address"]) & (F.col("party_id") == m["partyId"]) & F.col("from_date").isNull())))
+                open_ones = self.store.read("party_addresses").filter(F.col("address") == m["address"])
+                kept = cut(open_ones.filter(~((F.col("party_id") == m["partyId"]) & F.col("from_date").isNull())))
+                self.store.merge("party_addresses", kept, ["address"], open_ones)
             self.map_address(m["address"], m["partyId"], m["person"], m["fromDate"], m["toDate"])
         self.store.append("party_suggestion_decisions", row)
 
@@ -341,16 +401,14 @@ class Engine:
         ok = judged.filter("reason is null").select("thread_id", F.col("p.entity").alias("entity"), F.col("p.relation").alias("relation"), F.to_json(F.struct(F.col("p.value").alias("v"))).alias("v"), F.col("p.validFrom").alias("valid_from"), F.col("p.sourceChunk").alias("source_chunk"))
         ok = ok.withColumn("value_json", F.regexp_extract("v", r'^\{"v":(.*)\}$', 1)).drop("v")
         new = cut(ok.join(self.store.read("facts").select("entity", "relation", "valid_from", "value_json"), ["entity", "relation", "valid_from", "value_json"], "left_anti").dropDuplicates(["entity", "relation", "valid_from", "value_json"]))
-        rows = [r.asDict() for r in new.collect()]  # bounded by the proposals of this run
-        if rows:
-            self.assert_facts(sorted(rows, key=lambda r: r["valid_from"]))
+        self._append_facts(new)
         bad = judged.filter("reason is not null and reason <> 'none'")
         at = F.lit(self.now())
+        for r in bad.select("thread_id", "reason", F.col("p.raw").alias("payload")).toLocalIterator() if self.on_reject else ():
+            self.on_reject(r.asDict())
         self.store.append("fact_extract_rejects", bad.select(at.alias("at"), "thread_id", F.lit(version).alias("tool_version"), "reason", F.col("p.raw").alias("payload_json")))
         tally = judged.groupBy("thread_id", "thread_hash").agg(F.count("p").alias("proposed"), F.count(F.when(F.col("reason").isNotNull() & (F.col("reason") != "none"), 1)).alias("rejected"))
         tally = cut(tally.join(new.groupBy("thread_id").agg(F.count("*").alias("asserted")), "thread_id", "left").withColumn("asserted", F.coalesce("asserted", F.lit(0))).withColumn("tool_version", F.lit(version)).withColumn("at", at))
         self.store.append("fact_extract_runs", tally)
         t = tally.agg(F.count("*"), F.sum("proposed"), F.sum("asserted"), F.sum("rejected")).first()
         return {"threads": t[0], "skipped": asked.count() - t[0], "proposed": t[1] or 0, "asserted": t[2] or 0, "rejected": t[3] or 0}
-
-

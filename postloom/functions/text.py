@@ -79,10 +79,10 @@ def model_context(reply: Column, fallback: Column) -> Column:
 def html_text(c: Column | str) -> Column:
     """Visible text of HTML: no script, style or comment, block ends as line breaks.
 
-    The entities &amp; &lt; &gt; &quot; &apos; &nbsp; and numeric ones are decoded, others kept.
+    The entities &amp; &lt; &gt; &quot; &apos; &nbsp; (in any case) and numeric ones are decoded, others kept.
     """
     t = F.regexp_replace(c, r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", "")
-    t = F.regexp_replace(t, r"(?i)<br\s*/?>|</(p|div|tr|li|h[1-6]|table|blockquote)\s*>", "\n")
+    t = F.regexp_replace(t, r"(?i)<\s*(br|/\s*(p|div|tr|li|h[1-6]|table|blockquote))\b[^>]*>", "\n")
     t = F.regexp_replace(t, r"<[^>]+>", "")
     coded = F.array_distinct(F.regexp_extract_all(t, F.lit(r"&#(?:x[0-9a-fA-F]{1,6}|[0-9]{1,7});"), F.lit(0)))
 
@@ -95,7 +95,7 @@ def html_text(c: Column | str) -> Column:
 
     t = F.aggregate(coded, t, lambda acc, x: F.replace(acc, x, char(x)))
     for name, value in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
-        t = F.replace(t, F.lit(name), F.lit(value))
+        t = F.regexp_replace(t, f"(?i){name}", value)
     t = F.regexp_replace(t, r"[ \t ]+", " ")
     t = F.regexp_replace(F.regexp_replace(t, r" *\n *", "\n"), r"\n{3,}", "\n\n")
     return F.regexp_replace(t, r"^\s+|\s+$", "")

@@ -9,7 +9,7 @@ from postloom.functions.text import mime_prefix
 
 # Columns each table shows to callers.
 EXPOSED = {
-    "messages": ["message_id", "thread_id", "subject", "from_name", "from_address", "sent_at", "in_reply_to"],
+    "messages": ["message_id", "thread_id", "subject", "from_name", "from_address", "sent_at", "blob_hash"],
     "threads": ["thread_id", "subject", "first_at", "last_at"],
     "documents": ["doc_id", "kind", "root_id", "version", "supersedes", "party_id", "issued_date", "fields_json"],
     "facts": ["fact_id", "entity", "relation", "value_json", "valid_from", "valid_to", "created_at", "expired_at", "source_chunk", "source_message"],

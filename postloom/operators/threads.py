@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from postloom.functions.text import bare_subject, subject_key
 from postloom.operators.components import components
 from postloom.operators.skew import salted_lookup
+from postloom.session import cut
 
 
 def thread_id(root: Column) -> Column:
@@ -58,7 +59,7 @@ def containers(rows: Iterable[tuple[str, list[str], str | None]]) -> dict[str, s
     return out
 
 
-def _roots(_key, rows: pd.DataFrame) -> pd.DataFrame:
+def _roots(_key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     rows = rows.sort_values("message_id", key=lambda s: s.map(lambda x: x.encode("utf-16-be")))
     roots = containers((m, list(r), i) for m, r, i in zip(rows["message_id"], rows["refs"], rows["in_reply_to"]))
     return pd.DataFrame({"message_id": list(roots), "root": list(roots.values())})
@@ -106,6 +107,29 @@ def assign(messages: DataFrame) -> DataFrame:
     return found.select("message_id", root.alias("root"), thread_id(root).alias("thread_id"), "subject", "sent_at")
 
 
+def affected(messages: DataFrame, fresh: DataFrame) -> DataFrame:
+    """``(message_id,)``: the messages whose thread the messages ``fresh`` may change.
+
+    The smallest set with them that is closed under shared links (an id of its own, a parent, a
+    reference) and equal subjects: groups are made of links and joined by subjects only, so ``assign``
+    over it gives what it would give over all messages. Grown from the fresh ones outwards, in as many rounds
+    as the longest way through it.
+    """
+    h = headers(messages)
+    ids = F.array_union(F.array_union(F.array("message_id"), "refs"), F.filter(F.array("in_reply_to"), lambda x: x.isNotNull() & (x != "")))
+    key = subject_key("subject")
+    tags = h.select("message_id", F.explode(F.concat(F.transform(ids, lambda x: F.concat(F.lit("i"), x)), F.when(key != "", F.array(F.concat(F.lit("s"), key))).otherwise(F.array().cast("array<string>")))).alias("tag"))
+    tags = cut(tags)
+    seen = cut(fresh.select("message_id").distinct())
+    front = seen
+    while True:
+        reach = tags.join(front, "message_id", "left_semi").select("tag").distinct()
+        front = cut(tags.join(reach, "tag", "left_semi").select("message_id").distinct().join(seen, "message_id", "left_anti"))
+        if not front.limit(1).count():
+            return seen
+        seen = cut(seen.unionByName(front))
+
+
 def thread_rows(assigned: DataFrame) -> DataFrame:
     """``(thread_id, subject, first_at, last_at, messages)`` of assigned messages."""
     when = F.struct(F.coalesce("sent_at", F.lit("￿")), F.col("message_id"))

@@ -29,7 +29,7 @@ _FACT = r"""f AS (SELECT DISTINCT fact_id, created_at, upper(trim(entity)) AS en
     regexp_replace(lower(regexp_replace(value_json, '\s', '', 'g')), '^"(.*)"$', '\1') AS t FROM facts WHERE expired_at IS NULL),
 cur AS (SELECT entity, relation, valid_from, lead(valid_from) OVER (PARTITION BY entity, relation ORDER BY valid_from) AS valid_to FROM (SELECT DISTINCT entity, relation, valid_from FROM f))"""
 _SUBJ = r"trim(regexp_replace(trim(subject), '^((re|fwd?|fw)\s*:\s*)+', '', 'i'))"
-_EXPOSED = "message_id, thread_id, subject, from_name, from_address, sent_at, in_reply_to"
+_EXPOSED = "message_id, thread_id, subject, from_name, from_address, sent_at, blob_hash"
 _REFS = """e AS (SELECT message_id AS a, unnest(list_concat(CASE WHEN json_valid(references_json) THEN from_json(references_json, '["VARCHAR"]') ELSE [] END, [in_reply_to])) AS b FROM m),
 g AS (SELECT a, b FROM e WHERE b IS NOT NULL AND b <> '' AND a <> b UNION SELECT b, a FROM e WHERE b IS NOT NULL AND b <> '' AND a <> b),
 selfs AS (SELECT a FROM e WHERE b IS NOT NULL AND b <> '')"""

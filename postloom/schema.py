@@ -26,6 +26,12 @@ TABLES = {
     "fact_extract_rejects": "at string, thread_id string, tool_version string, reason string, payload_json string",
     "party_suggestion_decisions": "suggestion_id string, status string, decided_at string",
 }
+#: The column whose hash tells the bucket of a row.
+BUCKET_KEYS = {
+    "blobs": "hash", "blob_sources": "message_id", "messages": "message_id", "message_recipients": "message_id", "attachments": "message_id", "threads": "thread_id", "fragments": "message_id", "documents": "doc_id", "chunks": "message_id",
+    "embeddings": "chunk_id", "facts": "entity", "parties": "party_id", "party_addresses": "address", "audit_log": "subject", "ingest_errors": "blob_hash", "parse_cache": "blob_hash", "context_cache": "chunk_id",
+    "fact_extract_runs": "thread_id", "fact_extract_rejects": "thread_id", "party_suggestion_decisions": "suggestion_id",
+}
 DERIVED = ["embeddings", "chunks", "fragments", "threads", "context_cache"]
 
 #: Steps from one schema version to the next; each maps a store to nothing and only adds.

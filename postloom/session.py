@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 
@@ -36,6 +38,8 @@ def shared_folder(spark: SparkSession) -> str:
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if base is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="postloom-")
         atexit.register(shutil.rmtree, base, True)
         sc.setCheckpointDir(base)
@@ -54,9 +58,27 @@ def cut(df: DataFrame, watch: Observation | None = None, *metrics) -> DataFrame:
     out.write.parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table.__dict__["_written_to"] = path
+    for held in _open:
+        held.append(table)
     return table
 
 
+_open: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Delete the tables that ``cut`` writes within, at the end: for work whose result is stored elsewhere."""
+    held: list[DataFrame] = []
+    _open.append(held)
+    try:
+        yield
+    finally:
+        _open[:] = [x for x in _open if x is not held]
+        for table in held:
+            release(table)
+
+
 def release(table: DataFrame) -> None:
     """Delete the files of a table written by ``cut`` that nothing reads any more; else do nothing."""
     path = table.__dict__.pop("_written_to", None)

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 OVERSIZE = 64 * 1024 * 1024
 PARSED = (
     "blob_hash string, size bigint, content binary, error string, detail string, message_id string, subject string, from_name string, from_address string, sent_at string, in_reply_to string, refs array<string>, "
-    "body_text string, html string, recipients array<struct<name:string,address:string,kind:string>>, attachments array<struct<att_index:int,filename:string,mime:string,content:binary>>, ord bigint"
+    "body_text string, html string, recipients array<struct<name:string,address:string,kind:string>>, attachments array<struct<att_index:int,filename:string,mime:string,content:binary>>, ord string"
 )
 _FIELDS = "blob_hash size content error detail message_id subject from_name from_address sent_at in_reply_to refs body_text html recipients attachments ord".split()
 _POSTMARK = re.compile(rb"^From \S+ +(?:Mon|Tue|Wed|Thu|Fri|Sat|Sun) [A-Z][a-z]{2} +\d{1,2} \d{2}:\d{2}(?::\d{2})?(?: \S+)? \d{4}\s*$")
@@ -61,12 +61,16 @@ def iso(raw: str | None) -> str | None:
         return None
 
 
+def _oversize(size: int) -> dict:
+    return dict.fromkeys(_FIELDS) | {"size": size, "error": "oversize", "detail": f"{size} bytes", "refs": [], "body_text": "", "recipients": [], "attachments": []}
+
+
 def parse(data: bytes) -> dict:
     """Fields of one message; ``error`` is oversize, parse_error or degenerate, else None."""
     row: dict = dict.fromkeys(("error", "detail", "message_id", "subject", "from_name", "from_address", "sent_at", "in_reply_to", "html"), None)
     row |= {"blob_hash": hashlib.sha256(data).hexdigest(), "size": len(data), "content": data, "refs": [], "body_text": "", "recipients": [], "attachments": []}
     if len(data) > OVERSIZE:
-        return row | {"error": "oversize", "detail": f"{len(data)} bytes", "blob_hash": None, "content": None}
+        return _oversize(len(data))
     try:
         m = email.message_from_bytes(data, policy=email.policy.default)
         ids = id_list(m["Message-ID"])
@@ -99,30 +103,44 @@ def parse(data: bytes) -> dict:
 
 
 def parsed(raw: DataFrame) -> DataFrame:
-    """Parsed rows of (content, ord); files that are no mail come out with an error."""
+    """Parsed rows of (content, ord, length); files that are no mail come out with an error.
+
+    Rows without content are files found too large before they were read, of ``length`` bytes.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame([parse(bytes(c)) | {"ord": o} for c, o in zip(b["content"], b["ord"])], columns=_FIELDS)
+            out = [(parse(bytes(c)) if c is not None else _oversize(int(n))) | {"ord": o} for c, o, n in zip(b["content"], b["ord"], b["length"])]
+            yield pd.DataFrame(out, columns=_FIELDS)
 
-    return raw.select("content", "ord").mapInPandas(run, PARSED)
+    return raw.select("content", "ord", "length").mapInPandas(run, PARSED)
+
+
+def gated(files: DataFrame) -> DataFrame:
+    """(content, ord, length) of a listing of files, ordered by path; of those above the size limit nothing is read."""
+    small = files.filter(F.col("length") <= OVERSIZE).select("content", F.col("path").alias("ord"), "length")
+    return small.unionByName(files.filter(F.col("length") > OVERSIZE).select(F.lit(None).cast("binary").alias("content"), F.col("path").alias("ord"), "length"))
 
 
 def folder(spark: SparkSession, path: str) -> DataFrame:
-    """(content, ord) of every .eml below a folder, ordered by path."""
-    f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).filter(F.lower("path").endswith(".eml"))
-    return f.select("content", F.xxhash64("path").alias("ord"))
+    """(content, ord, length) of every .eml below a folder, ordered by path."""
+    return gated(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).filter(F.lower("path").endswith(".eml")))
+
+
+def single(spark: SparkSession, path: str) -> DataFrame:
+    """(content, ord, length) of one file."""
+    return gated(spark.read.format("binaryFile").load(path))
 
 
 def mbox(spark: SparkSession, path: str) -> DataFrame:
-    """(content, ord) of every message of an mbox file."""
+    """(content, ord, length) of every message of an mbox file or of all files of a folder, in order of path and place."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(x, i) for c in b["content"] for i, x in enumerate(split_mbox(bytes(c)))]
-            yield pd.DataFrame(rows, columns=["content", "ord"])
+            rows = [(x, f"{p}#{i:012d}", len(x)) for c, p in zip(b["content"], b["path"]) for i, x in enumerate(split_mbox(bytes(c)))]
+            yield pd.DataFrame(rows, columns=["content", "ord", "length"])
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "content binary, ord bigint")
+    return spark.read.format("binaryFile").load(path).select("content", "path").mapInPandas(run, "content binary, ord string, length bigint")
 
 
 def pdf_text(data: bytes) -> tuple[str, dict]:

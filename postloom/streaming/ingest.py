@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from postloom.sources.mail import gated
+
 SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 
 
@@ -14,7 +16,7 @@ def watch(engine, folder: str, checkpoint: str, available_now: bool = True) -> S
     files = engine.spark.readStream.format("binaryFile").schema(SCHEMA).option("recursiveFileLookup", "true").load(folder).filter(F.lower("path").endswith(".eml"))
 
     def put(batch: DataFrame, _id: int) -> None:
-        engine._ingest(batch.select("content", F.xxhash64("path").alias("ord")))
+        engine._ingest(gated(batch))
 
     w = files.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
     return (w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")).start()

@@ -96,7 +96,9 @@ def test_facts_and_entities(engine):
     engine.backfill([{"entity": "acme", "relation": "terms", "value_json": '"NET 45"', "valid_from": "2024-03-01", "source_message": "a@x.example"}, {"entity": "acme", "relation": "terms", "value_json": '"NET 30"', "valid_from": "2024-01-05", "source_message": "a@x.example"}])
     assert engine.fact_as_of("acme", "terms", "2024-02-01").first()["value"] == '"NET 30"'
     assert engine.fact_as_of("acme", "terms", "2024-03-01").first()["valid_to"] is None
-    assert engine.fact_history("acme", "terms").count() == 3
+    told = engine.fact_history("acme", "terms").collect()
+    assert len(told) == 3 and {r["source_message"] for r in told} == {"a@x.example"} and len({r["fact_id"] for r in told}) == 3
+    assert engine.sql_filter("facts", [{"column": "source_message", "op": "=", "value": "a@x.example"}]).count() == 3
     with pytest.raises(ValueError):
         engine.assert_facts([{"entity": "x", "relation": "r", "value_json": "1", "valid_from": "2024-01-01"}])
     s = engine.suggest_parties().collect()
@@ -135,7 +137,9 @@ def test_reindex_readonly_and_tombstone(engine, spark):
         ro.eml_bytes(A)
     h = engine.store.read("messages").filter("message_id = 'a@x.example'").first()["blob_hash"]
     engine.tombstone(h, "asked")
-    assert engine.get_blob(h) is None
+    assert engine.get_blob(h) is None and not engine.has_blob(h)
+    kept = engine.put_blob(b"bytes")
+    assert engine.has_blob(kept) and engine.get_blob(kept) == b"bytes" and engine.put_blob(b"bytes") == kept
     assert engine.store.read("chunks").filter(f"blob_hash = '{h}'").count() == 0
     assert engine.store.read("audit_log").count() == 1
     with pytest.raises(KeyError):
@@ -158,12 +162,15 @@ def test_streaming_folder_equals_batch(spark, tmp_path):
     box.mkdir()
     (box / "a.eml").write_bytes(A)
     (box / "c.EML").write_bytes(C)
-    e = Engine(spark, str(tmp_path / "s"))
+    (box / "z.eml").write_bytes(b"Subject: x\n\n \n")
+    steps, bad = [], []
+    e = Engine(spark, str(tmp_path / "s"), on_progress=lambda *x: steps.append(x), on_error=bad.append)
     watch(e, str(box), str(tmp_path / "ck")).awaitTermination()
     f = Engine(spark, str(tmp_path / "t"))
     f.eml_dir(str(box))
     get = lambda x: sorted(tuple(r) for r in x.store.read("chunks").select("chunk_id", "text", "context").collect())
     assert get(e) == get(f) and len(get(e)) == 2
+    assert steps == [("parsed", 3), ("stored", 2), ("threaded", 2), ("indexed", 2)] and [r["reason"] for r in bad] == ["degenerate"]
 
 
 def test_caches_model_context_and_parsers(spark, tmp_path):
