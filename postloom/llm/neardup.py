@@ -20,7 +20,7 @@ def shingles(w: Column, size: int) -> Column:
     return F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice(w, i, size), " "))))
 
 
-def near_pairs(texts: DataFrame, key: str, text: str, size: int = 5, threshold: float = 0.8, min_words: int = 1) -> tuple[DataFrame, DataFrame]:
+def near_pairs(texts: DataFrame, key: str, text: str, size: int = 5, threshold: float = 0.8, min_words: int = 1, part: int = 2_000) -> tuple[DataFrame, DataFrame]:
     """(pairs, members) of near-duplicate texts.
 
     ``pairs`` is (a, b, overlap, similarity) between class representatives with a < b and Jaccard
@@ -32,20 +32,21 @@ def near_pairs(texts: DataFrame, key: str, text: str, size: int = 5, threshold:
     only those columns kept per row that a pair above the threshold must share: the
     n - ceil(t n) + 1 globally rarest. Partial overlap counts of a pair are added up map-side and
     a pair is dropped when its count plus what may follow stays below the overlap its two sizes
-    ask for, or when the sizes alone rule it out. What is left is counted in full. Shingles that
-    occur once never enter the product. As a text has ``size`` + ``min_words`` words or more, no
-    shingle holds more than its reciprocal share of the incidence rows.
+    ask for, or when the sizes alone rule it out. The count of the few that are left is completed from
+    their two rows. Shingles that occur once never enter the product. The rows of a shingle that more
+    than ``part`` texts share are parted, and each two parts meet in a task of their own, so a
+    sequence in every text holds no task up.
 
     NULL or short texts (fewer words than ``min_words`` or ``size``) take no part. Repeated rows
     of a key count once.
     """
     t = float(threshold)
     docs = texts.filter(F.col(key).isNotNull()).select(F.col(key).alias("_key"), words(F.col(text)).alias("w")).filter(F.size("w") >= max(min_words, size))
-    # 16-byte ids of the different word sequences stand for the texts until the pairs are known
-    hashed = cut(docs.select("_key", F.unhex(F.md5(F.array_join("w", " "))).alias("id"), shingles(F.col("w"), size).alias("s")))
-    reps = hashed.groupBy("id").agg(F.min("_key").alias("rep"))
-    members = hashed.select("_key", "id").distinct().join(reps, "id").select(F.col("_key").alias(key), "rep")
-    rows = cut(hashed.groupBy("id").agg(F.any_value("s").alias("s")).select("id", "s", F.size("s").alias("n")))
+    hashed = cut(docs.select("_key", F.unhex(F.md5(F.array_join("w", " "))).alias("text"), shingles(F.col("w"), size).alias("s")))
+    # numbers of 8 bytes stand for the different texts until the pairs are known; writing fixes them
+    rows = cut(hashed.groupBy("text").agg(F.min("_key").alias("rep"), F.any_value("s").alias("s")).select(F.monotonically_increasing_id().alias("id"), "text", "rep", "s", F.size("s").alias("n")))
+    reps = rows.select("id", "rep")
+    members = hashed.select("_key", "text").distinct().join(rows.select("text", "rep"), "text").select(F.col("_key").alias(key), "rep")
     cells = rows.select("id", F.explode("s").alias("h"))
     count = cells.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1")
     shared = cells.join(count, "h")
@@ -55,14 +56,17 @@ def near_pairs(texts: DataFrame, key: str, text: str, size: int = 5, threshold:
     single = F.col("n") - F.size("c")
     prefix = cut(
         ranked.select("id", "n", F.posexplode(F.slice("c", 1, F.greatest(keep - single, F.lit(0)).cast("int"))).alias("p", "x"), single.alias("single")).select(
-            F.col("x.h").alias("h"), "id", "n", (F.col("p") + F.col("single")).alias("p")
+            F.col("x.h").alias("h"), "id", "n", (F.col("p") + F.col("single")).alias("p"), F.ceil(F.col("x.df") / part).cast("int").alias("k")
         )
     )
-    left = prefix.select("h", F.col("id").alias("a"), F.col("n").alias("na"), F.col("p").alias("pa"))
-    right = prefix.select("h", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("p").alias("pb"))
+    # a row meets its own part and each other one once
+    own = F.when(F.col("k") > 1, F.pmod(F.xxhash64("id"), F.col("k"))).otherwise(0).cast("int")
+    placed = prefix.withColumn("own", own).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select("h", F.least("own", "i").alias("lo"), F.greatest("own", "i").alias("hi"), "id", "n", "p", "own")
+    left, right = (placed.select("h", "lo", "hi", F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("p").alias(f"p{x}"), F.col("own").alias(f"o{x}")) for x in "ab")
     need = F.ceil((F.col("na") + F.col("nb")) * (t / (1 + t)) - 1e-9)
     room = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
-    products = left.join(right, "h").filter((F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.ceil(F.greatest("na", "nb") * t - 1e-9)) & (room >= need - F.least("pa", "pb")))
+    once = (F.col("oa") != F.col("ob")) | (F.col("lo") == F.col("hi"))
+    products = left.join(right, ["h", "lo", "hi"]).filter((F.col("a") < F.col("b")) & once & (F.least("na", "nb") >= F.ceil(F.greatest("na", "nb") * t - 1e-9)) & (room >= need - F.least("pa", "pb")))
     sums = products.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("o"), F.min(room).alias("rest"))
     found = sums.filter(F.col("o") + F.col("rest") - 1 >= need).select("a", "b", "na", "nb")
     full = found.join(rows.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(rows.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")

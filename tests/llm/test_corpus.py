@@ -156,6 +156,23 @@ def test_near_pairs_match_brute_force(rows, size, threshold):
     assert set(g) == set(sh) and all(g[a]["cluster"] == g[b]["cluster"] for a, b in want)
 
 
+def test_near_pairs_of_a_sequence_in_every_text(rows):
+    # every text has the same long tail: its shingles are parted, and no pair is lost or counted twice
+    rnd = random.Random(4)
+    tail = " ".join(f"t{i}" for i in range(12))
+    data = [(f"d{i:02d}", f"{' '.join(rnd.choice('abcdefgh') for _ in range(rnd.choice([3, 6, 9])))} {tail}") for i in range(40)]
+    sets = {k: {tuple(w[i : i + 3]) for i in range(len(w) - 2)} for k, t in data for w in [t.split()]}
+    first: dict = {}
+    for k, t in data:
+        first.setdefault(t, k)
+    reps = sorted(first.values())
+    want = {(a, b, len(sets[a] & sets[b])) for a in reps for b in reps if a < b and len(sets[a] & sets[b]) >= 0.6 * len(sets[a] | sets[b]) - 1e-9}
+    for part in (4, 2_000):
+        pairs, _ = neardup.near_pairs(rows(data, "k string, t string"), "k", "t", size=3, threshold=0.6, part=part)
+        got = [(r["a"], r["b"], r["overlap"]) for r in pairs.collect()]
+        assert len(got) == len(want) and set(got) == want
+
+
 def test_near_pairs_of_nothing(rows):
     twice = rows([(1, "a b c d e f", 5), (2, "a b c d e f", 6), (1, "a b c d e f", 5)], "id int, w string, s int")
     p, m = neardup.near_pairs(twice, "id", "w")
