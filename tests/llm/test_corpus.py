@@ -302,6 +302,21 @@ def test_firm_spellings_of_a_large_domain_meet_over_addresses(rows):
     assert got == {(a, b) for a in same for b in same if a < b}
 
 
+def test_long_spans_and_notices_in_other_words():
+    gone = lambda b: fresh.not_new(b, None)
+    top = "Hello,\nthe crates came.\n\n"
+    assert gone(top + "If this reached you in error, kindly delete it and notify the writer.") == [3]
+    assert gone(top + "-- \n" + "\n".join(f"Line {i} words" for i in range(15))) == list(range(3, 19))
+    stars = top + "*****\n" + "\n\n".join(f"Paragraph {i} of it says that nothing here is binding for the writer." for i in range(30)) + "\n*****"
+    assert len(gone(stars)) == 32
+    assert gone(top + "Please delete the third line of the order and the crates of last week.") == []
+
+
+def test_very_long_bodies_of_short_lines_are_decoded():
+    assert fresh.not_new("\n".join(f"item {i}" for i in range(5000)), None) == []
+    assert len(fresh.not_new("\n\n".join(f"tel +44 1632 960 {i:03d}" for i in range(600)), None)) >= 0
+
+
 def test_fresh_text_keeps_what_quoted_lines_leave(rows, monkeypatch):
     body = "Hello there you.\n\nThanks,\nBob"
     used = []
