@@ -67,9 +67,9 @@ def boundaries(text: str) -> tuple[list[int], list[int]]:
 
 
 def _plan(text: str, at: list[int], strength: list[int], k: int, limit: int, overlap: int):
-    """Cuts and piece starts for k pieces, and the weakest cut; None if a limit fails."""
+    """Spans of k pieces, each cut at the strongest pause near its target; None if a limit fails."""
     n = len(text)
-    spans, start, cut_before, weakest = [], 0, 0, 9
+    spans, start, cut_before = [], 0, 0
     reach = max(1, int(0.45 * n / k))
     for j in range(1, k):
         target = n * j // k
@@ -86,17 +86,16 @@ def _plan(text: str, at: list[int], strength: list[int], k: int, limit: int, ove
             if best:
                 break
         if best is None:  # no pause anywhere in reach: between characters
-            found, best = _whole(text, min(hi, max(lo, target)), max(cut_before, start)), (0, 0)
+            found = _whole(text, min(hi, max(lo, target)), max(cut_before, start))
             if found > start + limit or found <= cut_before:
                 return None
         spans.append((start, found))
-        weakest = min(weakest, best[0])
         start = _overlap_start(text, at, strength, found, overlap, start)
         cut_before = found
     if n - start > limit:
         return None
     spans.append((start, n))
-    return spans, weakest
+    return spans
 
 
 def _overlap_start(text: str, at: list[int], strength: list[int], cut_at: int, overlap: int, before: int) -> int:
@@ -128,17 +127,11 @@ def split(text: str | None, limit: int = 1200, overlap: int = 120) -> list[tuple
         return [(0, n)]
     at, strength = boundaries(text)
     k = -(-(n - overlap) // (limit - overlap))
-    first = None
-    tried = 0
     while True:
         got = _plan(text, at, strength, k, limit, overlap)
         if got:
-            if first is None or got[1] > first[1]:
-                first = got
-            tried += 1
-            if first[1] >= 3 or tried > 2 or not at:
-                return first[0]
-        k += 1 if got else max(1, k // 50)
+            return got
+        k += 1
 
 
 def split_udf(limit: int = 1200, overlap: int = 120):
@@ -151,6 +144,19 @@ def split_udf(limit: int = 1200, overlap: int = 120):
     return pieces.asNondeterministic()
 
 
+def covers(messages: DataFrame, pieces: DataFrame, limit: int = 1200, overlap: int = 120) -> DataFrame:
+    """``(message_id, pieces, sound)`` of the pieces of each message, for checks.
+
+    ``sound`` says that they are numbered from 0, that each keeps to the limit, and that the first
+    begins and the last ends the body, with no gap between two and no overlap beyond ``overlap``.
+    """
+    body = messages.filter("body_text <> ''").groupBy("message_id").agg(F.max(F.length("body_text")).alias("n"))
+    s = pieces.groupBy("message_id").agg(F.array_sort(F.collect_list(F.struct("chunk_index", "span_start", "span_end"))).alias("s"))
+    near = F.zip_with(F.slice("s", 1, F.size("s") - 1), F.slice("s", 2, F.size("s")), lambda a, b: (a["span_start"] < b["span_start"]) & (b["span_start"] <= a["span_end"]) & (a["span_end"] < b["span_end"]) & (a["span_end"] - b["span_start"] <= overlap) & (b["chunk_index"] == a["chunk_index"] + 1))
+    whole = (F.get("s", F.lit(0))["chunk_index"] == 0) & (F.get("s", F.lit(0))["span_start"] == 0) & (F.element_at("s", -1)["span_end"] == F.col("n")) & F.forall("s", lambda x: (x["span_end"] - x["span_start"]).between(1, limit))
+    return body.join(s, "message_id").select("message_id", F.size("s").alias("pieces"), (whole & F.forall(near, lambda x: x)).alias("sound"))
+
+
 def message_pieces(messages: DataFrame, limit: int = 1200, overlap: int = 120) -> DataFrame:
     """``(message_id, chunk_index, span_start, span_end)`` of all messages.
 

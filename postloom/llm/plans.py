@@ -11,7 +11,7 @@ from postloom.llm.neardup import expand, groups, near_pairs
 from postloom.llm import pii
 from postloom.llm.mixing import draw
 from postloom.llm.packing import covered, pack
-from postloom.llm.pieces import message_pieces
+from postloom.llm.pieces import covers, message_pieces
 from postloom.session import cut
 
 
@@ -29,6 +29,21 @@ def p1_pieces(spark: SparkSession, d: str) -> DataFrame:
     return message_pieces(_table(spark, d, "messages"))
 
 
+def p1_cover(spark: SparkSession, d: str) -> DataFrame:
+    """Messages with a body, and whether their pieces keep to the rules."""
+    m = _table(spark, d, "messages")
+    return covers(m, message_pieces(m)).select("message_id", "sound")
+
+
+def p9_allowed(spark: SparkSession, d: str) -> DataFrame:
+    """Drawn documents: whether each is one of its source and used no more than allowed."""
+    drawn = draw(_table(spark, d, "documents"), _table(spark, d, "mix_targets"))[0]
+    docs = _table(spark, d, "documents").select("doc_id", F.col("source").alias("own")).distinct()
+    cap = _table(spark, d, "mix_targets").groupBy("source").agg(F.min("max_repeats").alias("cap"))
+    seen = drawn.join(docs, "doc_id").join(cap, "source").withColumn("sound", (F.col("own") == F.col("source")) & F.col("repeats").between(1, F.col("cap")) & (F.col("tokens") > 0))
+    return seen.groupBy("source").agg(F.min("sound").alias("sound"), (F.count("*") == F.countDistinct("doc_id")).alias("once"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """Lines the sender of a message did not newly write."""
     return quoted_lines(_table(spark, d, "messages"))
@@ -87,9 +102,11 @@ def p10_masked(spark: SparkSession, d: str) -> DataFrame:
     return pii.masked(_table(spark, d, "documents"), given=_table(spark, d, "people").select("name")).select("doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_fresh, p5_found, p7_found, p7_groups, p8_containers, p8_cover, p9_drawn, p9_shares, p10_found, p10_masked)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p1_cover, p2_found, p2_fresh, p5_found, p7_found, p7_groups, p8_containers, p8_cover, p9_drawn, p9_allowed, p9_shares, p10_found, p10_masked)}
 
 SQL = {
+    "p1_cover": "SELECT DISTINCT message_id, true AS sound FROM messages WHERE body_text <> ''",
+    "p9_allowed": "SELECT DISTINCT source, true AS sound, true AS once FROM documents JOIN mix_targets USING (source) WHERE target_share > 0 AND max_repeats > 0 AND trim(text) <> ''",
     "p8_cover": "SELECT DISTINCT doc_id, true AS sound FROM documents WHERE doc_id IS NOT NULL",
     "p1_found": "SELECT DISTINCT message_id FROM messages WHERE length(body_text) > 1200",
     "p7_found": r"""
