@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 from functools import lru_cache
 
 import pandas as pd
@@ -29,14 +30,7 @@ NICKNAMES = {
 }
 # Legal forms of firms, written without dots and blanks between initials.
 LEGAL = frozenset("llc ltd inc co gmbh limited incorporated company corp corporation plc ag kg bv nv sa srl sarl spa mbh gesellschaft oy ab".split())
-# Words that name a trade; with one of them a string of words is a firm.
-TRADES = (
-    "textiles logistics timber electrical fabrication freight ceramics instruments tooling properties castings wholesale chemicals foods packaging "
-    "trading industries services holdings supplies systems engineering construction consulting partners group plastics metals machinery transport shipping "
-    "printing furniture pharma energy solutions technologies works mills farms bank insurance estates tools goods materials products"
-).split()
 TITLES = frozenset("mr mrs ms miss dr prof sir herr frau monsieur madame mme mlle senor senora sr sra don dona ing dipl the".split())
-_TRADES = frozenset(TRADES)
 
 
 def fold(s: str) -> str:
@@ -64,15 +58,15 @@ def lcs_ratio(a: str, b: str) -> float:
 
 
 @lru_cache(maxsize=50_000)
-def _is_trade(w: str, dotted: bool, first: bool = False) -> bool:
+def _is_trade(w: str, dotted: bool, first: bool, trades: frozenset[str]) -> bool:
     """True for a trade word; after the first word also for one with a slip or cut short by a dot."""
-    if w in _TRADES:
+    if w in trades:
         return True
     if first or len(w) < 3:
         return False
     if dotted:
-        return any(_short_of(w, t) for t in TRADES)
-    return len(w) >= 5 and any(len(t) >= 5 and lcs_ratio(w, t) >= 0.88 for t in TRADES)
+        return any(_short_of(w, t) for t in trades)
+    return len(w) >= 5 and any(len(t) >= 5 and lcs_ratio(w, t) >= 0.88 for t in trades)
 
 
 def _short_of(short: str, word: str) -> bool:
@@ -84,10 +78,10 @@ def _short_of(short: str, word: str) -> bool:
 
 
 @lru_cache(maxsize=200_000)
-def parse(name: str) -> tuple[str, tuple[str, ...], tuple[str, ...]]:
+def parse(name: str, trades: frozenset[str] = frozenset()) -> tuple[str, tuple[str, ...], tuple[str, ...]]:
     """(kind, full words, initials) of a typed name; kind is person, firm or none.
 
-    Titles, quotes, remarks in brackets or after a dash, legal forms and case are left out.
+    A legal form, or a word of ``trades`` after the first, makes a firm of it. Titles, quotes, remarks in brackets or after a dash, legal forms and case are left out.
     """
     s = re.sub(r"\([^)]*\)|\[[^\]]*\]", " ", name)
     box = re.fullmatch(r"\s*([\w .-]+?)\s+@\s+([\w-]+)\s*", s)
@@ -103,8 +97,9 @@ def parse(name: str) -> tuple[str, tuple[str, ...], tuple[str, ...]]:
     core = [(w, d) for w, d in words if w not in LEGAL]
     firm = len(core) < len(words) and len(words) > 1 and any(w in LEGAL and w not in ("co", "sa", "ab", "ag") or w == "co" and i == len(words) - 1 for i, (w, _) in enumerate(words) if i)
     core = [(w, d) for w, d in core if w not in TITLES or len(core) == 1]
-    if firm or (len(core) > 1 and any(_is_trade(w, d, i == 0) for i, (w, d) in enumerate(core))):
-        trade = next((w for i, (w, d) in enumerate(core) if _is_trade(w, d, i == 0)), "")
+    if firm or (len(core) > 1 and any(_is_trade(w, d, i == 0, trades) for i, (w, d) in enumerate(core))):
+        # the word before a legal form is the trade where no known one is there
+        trade = next((w for i, (w, d) in enumerate(core) if _is_trade(w, d, i == 0, trades)), core[-1][0] if len(core) > 1 else "")
         rest = tuple(w for w, _ in core if w != trade)
         return "firm", (*rest, *((trade,) if trade else ())), ("trade",) if trade else ()
     # without a legal form or trade: words of one letter are initials, a dotted short word an abbreviation
@@ -175,26 +170,26 @@ def _same_firm(a: tuple, b: tuple, near: bool) -> int:
     return 1
 
 
-def compare(a: str, b: str, near: bool) -> int:
+def compare(a: str, b: str, near: bool, trades: frozenset[str] = frozenset()) -> int:
     """How surely two spellings name the same: 2 both whole, 1 one is short, 0 not.
 
     ``near`` says that they were used with the same address (firms: the same domain); only then
     may they differ in more than order, case, accents and remarks.
     """
-    p, q = parse(a), parse(b)
+    p, q = parse(a, trades), parse(b, trades)
     if p[0] != q[0] or p[0] == "none":
         return 0
     return _same_person(p, q, near) if p[0] == "person" else _same_firm(p, q, near)
 
 
-def compare_far(a: str, b: str, same: bool) -> int:
+def compare_far(a: str, b: str, same: bool, trades: frozenset[str] = frozenset()) -> int:
     """``compare`` of persons used with different addresses, for callers that ask for a unique partner.
 
     Within a domain (``same``) the rule is that of one address; across domains (or without an
     address) family names are at least 0.9 alike, those of short forms equal, and given names
     at least 0.9 alike, equal or a nickname.
     """
-    p, q = parse(a), parse(b)
+    p, q = parse(a, trades), parse(b, trades)
     if p[0] != "person" or q[0] != "person":
         return 0
     grade = _same_person(p, q, True)
@@ -208,26 +203,52 @@ def _strict(p: tuple, q: tuple) -> bool:
     return any(lcs_ratio(p[1][f], q[1][k]) >= 0.9 and alike(p[1][g], q[1][h]) for g, f in ((0, -1), (-1, 0)) for h, k in ((0, -1), (-1, 0)))
 
 
+PART = 400
 PROFILE = "struct<kind:string,words:array<string>,initials:array<string>,heads:array<array<string>>,whole:boolean,ident:string>"
 
 
-def _profile(names: pd.Series) -> pd.DataFrame:
-    rows = []
-    for n in names:
-        kind, words, initials = parse(n or "")
-        whole = len(words) >= 2 if kind == "person" else bool(initials) and len(words) >= 2
-        # per word the first letters of the others, long and short forms alike
-        heads = [sorted({y[0] for j, w in enumerate(words) if j != i for y in (w, NICKNAMES.get(w, w))} | {y[0] for y in initials}) for i in range(len(words))]
-        rows.append((kind, list(words), list(initials), heads, whole, (kind + ":" + " ".join(sorted(words))) if whole else None))
-    return pd.DataFrame(rows, columns=["kind", "words", "initials", "heads", "whole", "ident"])
+def _profile(trades: frozenset[str]) -> Callable:
+    def run(names: pd.Series) -> pd.DataFrame:
+        rows = []
+        for n in names:
+            kind, words, initials = parse(n or "", trades)
+            whole = len(words) >= 2 if kind == "person" else bool(initials) and len(words) >= 2
+            # per word the first letters of the others, long and short forms alike
+            heads = [sorted({y[0] for j, w in enumerate(words) if j != i for y in (w, NICKNAMES.get(w, w))} | {y[0] for y in initials}) for i in range(len(words))]
+            rows.append((kind, list(words), list(initials), heads, whole, (kind + ":" + " ".join(sorted(words))) if whole else None))
+        return pd.DataFrame(rows, columns=["kind", "words", "initials", "heads", "whole", "ident"])
 
+    return F.pandas_udf(run, PROFILE)
 
-def _verdict(a: pd.Series, b: pd.Series, near: pd.Series) -> pd.Series:
-    return pd.Series([compare(x, y, bool(n)) for x, y, n in zip(a, b, near)], index=a.index, dtype="int32")
 
+def _judge(rule: Callable, trades: frozenset[str]) -> Callable:
+    def run(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
+        return pd.Series([rule(x, y, bool(n), trades) for x, y, n in zip(a, b, c)], index=a.index, dtype="int32")
 
-def _far_verdict(a: pd.Series, b: pd.Series, same: pd.Series) -> pd.Series:
-    return pd.Series([compare_far(x, y, bool(n)) for x, y, n in zip(a, b, same)], index=a.index, dtype="int32")
+    return F.pandas_udf(run, "int")
+
+
+def trade_words(used: DataFrame, share: float = 0.0001) -> frozenset[str]:
+    """Words that name a trade, learnt from the firms among the spellings (columns ``name``, ``address``).
+
+    Such a word stands directly before a legal form behind another word, or ends a hyphened domain, with two
+    different words before it at least, and in a share of all firms, which bounds the list.
+    """
+
+    def run(names: pd.Series) -> pd.DataFrame:
+        out = []
+        for n in names:
+            kind, words, _ = parse(n or "")
+            out.append((" ".join(words[:-1]), words[-1]) if kind == "firm" and len(words) > 1 and "@" not in n else (None, None))
+        return pd.DataFrame(out, columns=["head", "trade"])
+
+    named = used.select("name").distinct().select(F.pandas_udf(run, "struct<head:string,trade:string>")("name").alias("x")).select("x.*")
+    parts = r"@([a-z]{3,})-([a-z]{3,})\.[a-z.]+$"
+    boxed = used.select("address").distinct().select(F.regexp_extract("address", parts, 1).alias("head"), F.regexp_extract("address", parts, 2).alias("trade"))
+    rows = named.unionByName(boxed).filter("trade is not null and length(trade) > 3 and head <> ''").distinct()
+    count = cut(rows.groupBy("trade").agg(F.count("*").alias("n")).filter("n > 1"))
+    firms = count.agg(F.sum("n")).first()[0] or 0
+    return frozenset(r[0] for r in count.filter(F.col("n") >= share * firms).select("trade").collect())
 
 
 def mentions(messages: DataFrame, recipients: DataFrame) -> DataFrame:
@@ -270,13 +291,15 @@ def blocks(rows: DataFrame, least: int, common: int) -> DataFrame:
     by_s = tails.groupBy("s").agg((F.count("*") > common).alias("many_s"))
     by_d = tails.groupBy("s", "domain").agg((F.count("*") > common).alias("many_d"))
     marked = tails.join(by_s, "s").join(by_d, ["s", "domain"])
-    block = F.when(~F.col("many_s"), F.col("s")).when(~F.col("many_d"), F.xxhash64("s", "domain")).otherwise(F.xxhash64("s", F.lit("a"), "address"))
+    block = F.when(~F.col("many_s"), F.col("s")).otherwise(F.xxhash64("s", "domain"))
+    boxes = marked.filter("many_s and many_d").select(F.xxhash64("s", F.lit("a"), "address").alias("block"), "id")
     firms = marked.filter("firm and many_s and many_d").groupBy(F.xxhash64("s", "domain", F.lit("f")).alias("block"), "reading").agg(F.min("id").alias("id")).select("block", "id")
     first = parts.select(F.xxhash64(F.lit("i"), F.substring("w", 1, 1), "address").alias("block"), "id")
-    return marked.select(block.alias("block"), "id").unionByName(first).unionByName(split(firms, common)).distinct()
+    small = marked.filter("not many_s or not many_d").select(block.alias("block"), "id")
+    return small.unionByName(split(boxes.unionByName(first).distinct(), PART)).unionByName(split(firms, common)).distinct()
 
 
-def links(rows: DataFrame, least: int = 4, common: int = 24) -> DataFrame:
+def links(rows: DataFrame, least: int = 4, common: int = 24, trades: frozenset[str] = frozenset()) -> DataFrame:
     """``(a, b, grade)`` between mention ids that name the same, by comparing pairs within blocks."""
     b = blocks(rows, least, common)
     slim = rows.select("id", "name", "address", "domain", "kind", "ident", "whole")
@@ -286,7 +309,7 @@ def links(rows: DataFrame, least: int = 4, common: int = 24) -> DataFrame:
     right = slim.select(*[F.col(c).alias(f"{c}_b") for c in slim.columns]).withColumnRenamed("id_b", "b")
     near = ((F.col("address_a") == F.col("address_b")) & (F.col("address_a") != "")) | ((F.col("kind_a") == "firm") & (F.col("domain_a") == F.col("domain_b")) & (F.col("domain_a") != ""))
     told = pairs.join(left, "a").join(right, "b").withColumn("near", near).filter((F.col("kind_a") == F.col("kind_b")) & (F.col("near") | (F.col("ident_a") == F.col("ident_b"))))
-    graded = told.withColumn("grade", F.pandas_udf(_verdict, "int")("name_a", "name_b", "near")).filter("grade > 0")
+    graded = told.withColumn("grade", _judge(compare, trades)("name_a", "name_b", "near")).filter("grade > 0")
     return graded.select("a", "b", "grade", F.col("whole_a").alias("wa"), F.col("whole_b").alias("wb"))
 
 
@@ -315,7 +338,7 @@ def far_blocks(units: DataFrame, least: int, common: int) -> DataFrame:
     return marked.filter("not many").select("block", "id").unionByName(again.filter("not many").select("block", "id")).unionByName(last).distinct()
 
 
-def far_links(units: DataFrame, least: int = 4, common: int = 24) -> DataFrame:
+def far_links(units: DataFrame, least: int = 4, common: int = 24, trades: frozenset[str] = frozenset()) -> DataFrame:
     """``(a, b, same)``: entities (or, for short forms, units) that name the same over addresses.
 
     Units are (id, name, words, heads, domain, entity), ``entity`` NULL for a short form, which comes
@@ -327,7 +350,7 @@ def far_links(units: DataFrame, least: int = 4, common: int = 24) -> DataFrame:
     left, right = (slim.select(*[F.col(c).alias(f"{c}_{x}") for c in slim.columns]).withColumnRenamed(f"id_{x}", x) for x in "ab")
     same = (F.col("domain_a") == F.col("domain_b")) & (F.col("domain_a") != "")
     told = pairs.join(left, "a").join(right, "b").filter("(entity_a is not null or entity_b is not null) and not entity_a <=> entity_b").withColumn("same", same)
-    graded = told.withColumn("grade", F.pandas_udf(_far_verdict, "int")("name_a", "name_b", "same"))
+    graded = told.withColumn("grade", _judge(compare_far, trades)("name_a", "name_b", "same"))
     whole = F.col("entity_a").isNotNull() & F.col("entity_b").isNotNull()
     kept = graded.filter((F.col("grade") > 0) & (~whole | (F.col("grade") == 2)))
     return kept.select(
@@ -363,11 +386,13 @@ def entities(messages: DataFrame, recipients: DataFrame) -> DataFrame:
     other (``merged``), and a short form that fits none at its address belongs to the only entity
     it fits in its domain, or, fitting none there, anywhere.
     """
-    rows = mentions(messages, recipients).withColumn("p", F.pandas_udf(_profile, PROFILE)("name"))
+    said = mentions(messages, recipients)
+    trades = trade_words(said)
+    rows = said.withColumn("p", _profile(trades)("name"))
     rows = cut(
         rows.select("name", "address", "real", F.regexp_extract("address", "@(.+)$", 1).alias("domain"), "p.*", F.unhex(F.md5(F.concat_ws("\u0001", "name", "address"))).alias("id")).filter("kind <> 'none' and size(words) > 0")
     )
-    found = cut(links(rows))
+    found = cut(links(rows, trades=trades))
     keyed = rows.filter("ident is not null").select(F.col("id").alias("a"), F.unhex(F.md5("ident")).alias("b"))
     strong = found.filter("grade = 2 and wa and wb").select("a", "b").unionByName(keyed)
     comp = cut(components(strong))
@@ -380,7 +405,7 @@ def entities(messages: DataFrame, recipients: DataFrame) -> DataFrame:
     of = rows.filter("kind = 'person' and (whole or size(initials) > 0)").withColumn("unit", F.unhex(F.md5(F.concat_ws("\u0001", F.array_join("words", " "), F.array_join("initials", " "), "domain"))))
     of = of.join(comp.select(F.col("node").alias("id"), F.col("component").alias("entity")), "id", "left").join(fitted.select("id").distinct(), "id", "left_anti")
     units = cut(of.groupBy(F.col("unit").alias("id")).agg(*[F.min(c).alias(c) for c in ("name", "words", "heads", "domain", "entity")]))
-    far = cut(far_links(units))
+    far = cut(far_links(units, trades=trades))
     roots = cut(merged(far.filter("whole")))
     fits = far.filter("not whole").join(roots.withColumnRenamed("entity", "b"), "b", "left").select("a", F.coalesce("root", "b").alias("e"), "same")
     here = F.when(F.col("same"), F.col("e"))

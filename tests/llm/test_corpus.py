@@ -109,6 +109,45 @@ def test_spellings(a, b, near, want):
     assert (names.compare(a, b, near) > 0) is want and (names.compare(b, a, near) > 0) is want
 
 
+def spelled(rnd, kind, words):
+    """A spelling of a name as people type it."""
+    w = [x.lower() for x in words]
+    slip = rnd.randrange(len(w))
+    if kind == "slip" and len(w[slip]) > 4:
+        k = rnd.randrange(1, len(w[slip]) - 1)
+        w[slip] = w[slip][:k] + rnd.choice("aeiou") + w[slip][k + 1 :]
+    out = [x.capitalize() for x in w]
+    if kind == "turned":
+        return f"{out[-1]}, {' '.join(out[:-1])}"
+    return f"{out[0][0]}. {' '.join(out[1:])}" if kind == "initial" else " ".join(out)
+
+
+def test_recall_by_class_on_names_that_stand_nowhere(rows):
+    # persons with slips at their own and at other addresses, firms of trades that no list holds
+    rnd = random.Random(11)
+    syl = "bra kel mon tiv sor dal wex pun gri hol nav zet".split()
+    word = lambda k: "".join(rnd.choice(syl) for _ in range(k))
+    persons = [(word(2), word(3)) for _ in range(25)]
+    trades = ["Bakery", "Brewing", "Dairies", "Orchards"]
+    firms = [(word(2).capitalize(), rnd.choice(trades)) for _ in range(20)]
+    data, same, far, firm = [], [], [], []
+    pair = lambda a, b: (min(a, b), max(a, b))
+    for i, p in enumerate(persons):
+        full, slip, turned, other = spelled(rnd, "", p), spelled(rnd, "slip", p), spelled(rnd, "turned", p), spelled(rnd, "slip", p)
+        data += [(full, f"p{i}@one{i}.example"), (slip, f"p{i}@one{i}.example"), (turned, f"q{i}@two{i}.example"), (other, f"r{i}@one{i}.example")]
+        same += [pair(full, slip)] if full != slip else []
+        far += [pair(full, turned)] + ([pair(full, other)] if full != other else [])
+    for i, (core, trade) in enumerate(firms):
+        a, b, c = f"{core} {trade} Ltd", f"{core} {trade}", f"{core.upper()} {trade[:4]}. Ltd"
+        data += [(a, f"info@firm{i}.example"), (b, f"sales@firm{i}.example"), (c, f"post@firm{i}.example")]
+        firm += [pair(a, b), pair(a, c)]
+    got = {tuple(x) for x in names.spelling_pairs(rows(data, "from_name string, from_address string"), rows([], "name string, address string")).collect()}
+    for want in (same, far, firm):
+        assert sum(x in got for x in want) >= 0.9 * len(want), (len(want), [x for x in want if x not in got])
+    all_true = {pair(a, b) for i in range(len(persons)) for a, _ in data[4 * i : 4 * i + 4] for b, _ in data[4 * i : 4 * i + 4]} | {pair(a, b) for i in range(len(firms)) for a, _ in data[100 + 3 * i : 103 + 3 * i] for b, _ in data[100 + 3 * i : 103 + 3 * i]}
+    assert len(got - all_true) <= 0.05 * len(got)
+
+
 def test_lcs_matches_dynamic_programming():
     rnd = random.Random(1)
     for _ in range(200):
