@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Callable
 from datetime import UTC, datetime
 
@@ -35,6 +36,8 @@ class Engine:
         self.parsers = {"application/pdf": mail.pdf_text} | (parsers or {})
         self.on_progress, self.on_error, self.on_reject = on_progress, on_error, on_reject
         self.now = clock or (lambda: datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%S.000Z"))
+        if not readonly and 0 < self.store.opened_as < 8:
+            self._index_terms(self.store.read("chunks"))
 
     # ---- ingest -----------------------------------------------------------------------------
     def eml_bytes(self, *messages: bytes) -> dict:
@@ -154,10 +157,30 @@ class Engine:
         chunks = c.unionByName(self._attachment_chunks(todo, head))
         prefix = text.meta_prefix(F.col("source_kind"), F.col("from_address"), F.col("rcpt"), F.col("sent_at"), F.col("subject"), F.col("filename"))
         chunks = self._with_context(chunks, prefix).withColumn("meta_json", F.to_json(F.struct(F.col("from_address").alias("from"), F.col("rcpt").alias("to"), F.col("sent_at").alias("date"), "subject", "filename")))
-        self._replace("chunks", todo, cut(chunks.select(*self.store.empty("chunks").columns)))
+        made = cut(chunks.select(*self.store.empty("chunks").columns))
+        self._replace("chunks", todo, made)
+        self._index_terms(made, todo)
         if self.embed:
             self.reembed()
 
+    def _index_terms(self, chunks: DataFrame, scope: DataFrame | None = None) -> None:
+        """Postings and lengths of chunks, which stand for all chunks of the messages in ``scope``.
+
+        Postings are only ever added: a row counts while ``lengths`` names its run (``gen``).
+        """
+        gen = F.lit(uuid.uuid4().hex)
+        posts, lengths = search.postings(chunks, "chunk_id", ["context", "text"], vectors.stemmed)
+        self.store.append("postings", posts.withColumn("gen", gen))
+        rows = lengths.join(chunks.select("chunk_id", "message_id"), "chunk_id").withColumn("gen", gen)
+        self.store.merge("lengths", cut(rows), ["message_id"], chunks if scope is None else scope)
+
+    def _terms(self, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(postings, lengths) for the words of the queries."""
+        lengths = self.store.read("lengths")
+        asked = queries.select(F.explode(vectors.stemmed("query")).alias("term")).distinct()
+        posts = self.store.read("postings").join(asked, "term", "left_semi").join(lengths.select("chunk_id", "gen"), ["chunk_id", "gen"], "left_semi")
+        return posts.drop("gen"), lengths.select("chunk_id", "dl")
+
     def _with_context(self, chunks: DataFrame, prefix) -> DataFrame:
         """Contexts by the plain sentence, a column function, or a model behind the context cache."""
         if not hasattr(self.context, "answer"):
@@ -212,7 +235,7 @@ class Engine:
 
     def reindex(self) -> None:
         """Rebuild every derived table from the evidence."""
-        for name in ("fragments", "chunks", "embeddings", "threads"):
+        for name in ("fragments", "chunks", "embeddings", "threads", "postings", "lengths"):
             self.store.write(name, self.store.empty(name))
         self.rethread()
         self.index()
@@ -239,7 +262,7 @@ class Engine:
             raise KeyError(hash_)
         with scratch():
             c = cut(self.store.read("chunks").filter(F.col("blob_hash") == hash_).select("chunk_id", "message_id"))
-            for name in ("embeddings", "context_cache"):
+            for name in ("embeddings", "context_cache", "postings", "lengths"):
                 self.store.merge(name, None, ["chunk_id"], c, erase=True)
             left = self.store.read("chunks").join(c.select("message_id").distinct(), "message_id", "left_semi").filter(F.col("blob_hash") != hash_)
             self.store.merge("chunks", cut(left), ["message_id"], c, erase=True)
@@ -261,7 +284,7 @@ class Engine:
         k = max(1, min(50, k))
         chunks, messages = self.store.read("chunks"), self.store.read("messages")
         allowed = filters.search_filter(chunks, messages, self.store.read("message_recipients"), self.store.read("party_addresses"), self.store.read("blobs"), **filter_) if filter_ else None
-        posts, lengths = search.postings(chunks, "chunk_id", ["context", "text"], vectors.stemmed)
+        posts, lengths = self._terms(queries)
         lists = [search.bm25(queries, posts, lengths, "chunk_id", allowed, tokenize=vectors.stemmed)]
         if self.embed:
             v = self.store.read("embeddings").filter(F.col("model") == self.model).select("chunk_id", "vector")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postloom.operators.skew import salted_lookup
+from postloom.session import cut
 
 
 def period_of(c):
@@ -21,7 +22,7 @@ def period_states(holdings: DataFrame, wanted: DataFrame) -> DataFrame:
     holdings in force when the period begins, ``changes`` those that begin later within it; both
     as struct(start, opened, closed, holder), ``start`` ordering open starts first.
 
-    A holding appears in the periods it overlaps only (clipped to the span of the events). Of
+    A holding appears in the periods it overlaps and events ask for only. Of
     holdings with the same start and end within a period only one can ever win, and of those in
     force from before the period with the same end only the latest started can; both are chosen
     by a partial aggregate, so an array is bounded by the distinct instants of a period even if
@@ -36,6 +37,7 @@ def period_states(holdings: DataFrame, wanted: DataFrame) -> DataFrame:
         .withColumn("_b", F.least(period_of(F.coalesce("valid_to", "_hi")), F.col("_hi")))
         .filter("_a <= _b")
         .withColumn("period", F.explode(F.sequence("_a", "_b", F.expr("interval 1 month"))))
+        .join(wanted, ["key", "period"], "left_semi")
     )
     before = F.col("valid_from").isNull() | (F.col("valid_from") <= F.col("period"))
     ends_in = F.when(F.col("valid_to") < F.add_months("period", 1), F.col("valid_to"))
@@ -47,8 +49,7 @@ def period_states(holdings: DataFrame, wanted: DataFrame) -> DataFrame:
         .agg(F.max(F.coalesce("valid_from", first)).alias("start"), F.min(F.struct((-F.unix_micros(F.coalesce("valid_from", first))).alias("s"), F.col("holder").alias("holder"))).alias("_best"))
         .select("key", "period", "_before", F.struct("start", "opened", "closed", F.col("_best.holder").alias("holder")).alias("h"))
     )
-    wanted_best = best.join(wanted, ["key", "period"], "left_semi")
-    return wanted_best.groupBy("key", "period").agg(
+    return best.groupBy("key", "period").agg(
         F.array_sort(F.collect_list(F.when(F.col("_before"), F.col("h")))).alias("snapshot"),
         F.array_sort(F.collect_list(F.when(~F.col("_before"), F.col("h")))).alias("changes"),
     )
@@ -65,6 +66,7 @@ def attributes_at(events: DataFrame, holdings: DataFrame, key: str, at: str, hol
     """
     # events travel as one struct, so none of their columns can clash with those used here
     keyed = events.select(F.struct(*[F.col(c) for c in events.columns]).alias("event"), F.col(key).alias("key"), F.col(at).alias("at")).filter("key is not null and at is not null").withColumn("period", period_of(F.col("at")))
+    keyed = cut(keyed)  # read for the periods asked for, for hot keys and for the join
     wanted = keyed.select("key", "period").distinct()
     place = F.concat_ws("\u0001", F.col("key").cast("string"), F.col("period").cast("string"))
     states = period_states(holdings, wanted).select(place.alias("place"), "snapshot", "changes")

@@ -15,15 +15,15 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     neighbours to its smallest one, then its smaller neighbours and itself to the smallest. The
     number of rounds is logarithmic in practice; a round is one window over the node, and edge
     tables are cut by a checkpoint. Self loops and repeated edges are harmless; NULL ends are
-    ignored. The end is decided by the sums of hashes of the edge table, two numbers per round.
+    ignored. The end is decided by the number of edges and two independent sums of 64-bit hashes of them.
     """
     e = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).filter("x is not null and y is not null")
     first = cut(e.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct())
 
     def written(t: DataFrame) -> tuple[DataFrame, tuple]:
         watch = Observation()
-        table = cut(t, watch, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v") % 1000003).alias("h"))
-        return table, (watch.get["n"], watch.get["h"])
+        table = cut(t, watch, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h"), F.bit_xor(F.xxhash64("v", "u")).alias("x"))
+        return table, (watch.get["n"], watch.get["h"], watch.get["x"])
 
     def near_least(t: DataFrame, both: bool) -> DataFrame:
         rows = t.select("u", "v")

@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from postloom.functions.text import dedupe_key, jaccard, shingles, tokens
-from postloom.operators.components import components
 from postloom.session import cut
 
 K1, B, CANDIDATES, RRF_K = 1.2, 0.75, 50, 60
@@ -55,6 +54,7 @@ def bm25(queries: DataFrame, posts: DataFrame, lengths: DataFrame, key: str, all
         .groupBy("phrase", key)
         .agg(F.count("*").alias("f"))
     )
+    hits = cut(hits)  # of the queries' terms alone; read for the frequencies and for the scores
     stats = lengths.agg(F.count("*").alias("big_n"), F.avg("dl").alias("avgdl"))  # one row
     df = hits.groupBy("phrase").agg(F.count("*").alias("df"))
     if allowed is not None and "query_id" not in allowed.columns:
@@ -174,25 +174,46 @@ def duplicate_pairs(hits: DataFrame, rows: DataFrame, key: str, threshold: float
     return a.join(b, "query_id").filter((F.col("a") < F.col("b")) & ((F.col("na") == F.col("nb")) | (sized & (jaccard(F.col("sa"), F.col("sb")) >= threshold)))).select("query_id", "a", "b")
 
 
+def _fold(threshold: float) -> Callable:
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        # the earliest first: it stands for its cluster
+        rows = rows.sort_values(["dated", "sent_at", "k"], ascending=[False, True, True], kind="stable")
+        norm, sets, score, keys = rows["norm"].tolist(), [set(x) for x in rows["sh"]], rows["score"].tolist(), rows["k"].tolist()
+        head = list(range(len(keys)))
+
+        def find(i: int) -> int:
+            while head[i] != i:
+                head[i] = i = head[head[i]]
+            return i
+
+        for i in range(len(keys)):
+            for j in range(i):
+                a, b = len(sets[i]), len(sets[j])
+                if norm[i] == norm[j] or (min(a, b) >= threshold * max(a, b) > 0 and (both := len(sets[i] & sets[j])) / (a + b - both) >= threshold):
+                    x, y = find(i), find(j)
+                    head[max(x, y)] = min(x, y)
+        groups: dict[int, list[int]] = {}
+        for i in range(len(keys)):
+            groups.setdefault(find(i), []).append(i)
+        return pd.DataFrame({"query_id": [key[0]] * len(groups), "k": [keys[g] for g in groups], "score": [max(score[i] for i in m) for m in groups.values()], "duplicates": [[keys[i] for i in m[1:]] for m in groups.values()]})
+
+    return run
+
+
 def collapse(hits: DataFrame, rows: DataFrame, key: str, limit: int = 10, threshold: float = 0.9) -> DataFrame:
     """Near copies folded: ``(query_id, key, score, rank, duplicates)``.
 
     ``hits`` is (query_id, key, score); ``rows`` also has sent_at. Clusters are transitive; the
     earliest sent (then the smallest key) stands for its cluster, takes the best score in it and
-    lists the others in order. Folding comes before the cut to ``limit``.
+    lists the others in order. Folding comes before the cut to ``limit``. A query has no more hits than
+    its candidate lists hold, so its clusters are made in one step, by the rule of ``duplicate_pairs``.
     """
-    pairs = duplicate_pairs(hits, rows, key, threshold)
-    node = lambda c: F.concat_ws("\u0001", F.col("query_id").cast("string"), F.col(c).cast("string"))
-    comp = components(pairs.select(node("a").alias("a"), node("b").alias("b")))
-    h = hits.join(rows.select(key, "sent_at"), key).withColumn("node", node(key)).join(comp, "node", "left").withColumn("cluster", F.coalesce("component", "node"))
-    order = Window.partitionBy("query_id", "cluster").orderBy(F.asc_nulls_last("sent_at"), key)
-    members = h.withColumn("place", F.row_number().over(order))
-    folded = members.groupBy("query_id", "cluster").agg(
-        F.max("score").alias("score"),
-        F.min_by(key, "place").alias(key),
-        F.transform(F.filter(F.array_sort(F.collect_list(F.struct("place", F.col(key).alias("k")))), lambda x: x["place"] > 1), lambda x: x["k"]).alias("duplicates"),
-    )
-    return ranked(folded, key, limit).select("query_id", key, "score", "rank", "duplicates")
+    wanted = rows.join(hits.select(key).distinct(), key, "left_semi")
+    said = wanted.select(key, "sent_at", F.xxhash64(dedupe_key("text")).alias("norm"), F.transform(shingles(tokens("text")), lambda x: F.xxhash64(x)).alias("sh"))
+    h = hits.join(said, key).select("query_id", F.col(key).alias("k"), "score", F.col("sent_at").isNotNull().alias("dated"), F.coalesce("sent_at", F.lit("")).alias("sent_at"), "norm", "sh")
+    kinds = dict(hits.dtypes)
+    folded = h.groupBy("query_id").applyInPandas(_fold(threshold), f"query_id {kinds['query_id']}, k {kinds[key]}, score double, duplicates array<{kinds[key]}>")
+    return ranked(folded.withColumnRenamed("k", key), key, limit).select("query_id", key, "score", "rank", "duplicates")
 
 
 def neighbours(hits: DataFrame, messages: DataFrame, reach: int = 2, chars: int = 1200) -> DataFrame:

@@ -9,6 +9,7 @@ from postloom.functions import mail, text, vectors
 from postloom.operators import entities, filters, ledger, search, threads
 from postloom.operators.components import components
 from postloom.operators.history import as_day, value_key
+from postloom.operators.skew import running_sum
 from postloom.sources.tables import table
 from postloom.session import cut
 
@@ -37,8 +38,21 @@ def _rows(s: SparkSession, d: str) -> DataFrame:
     return _chunks(s, d).select("chunk_id", "message_id", "text", "context").join(m, "message_id", "left")
 
 
+_made: dict[tuple, tuple[DataFrame, ...]] = {}
+
+
+def _index(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(postings, lengths, vectors) of the chunks of a folder: written once a session, sorted by term, and searched by every query."""
+    key = (s.sparkContext.applicationId, d)
+    if key not in _made:
+        posts, lengths = search.postings(_chunks(s, d), "chunk_id", ["context", "text"])
+        v = _chunks(s, d).select("chunk_id", vectors.hash_embed(F.concat_ws("\n", "context", "text")).alias("vector"))
+        _made[key] = (cut(posts.repartition("term").sortWithinPartitions("term")), cut(lengths), cut(v))
+    return _made[key]
+
+
 def _bm25(s: SparkSession, d: str, limit: int = search.CANDIDATES, allowed: DataFrame | None = None) -> DataFrame:
-    posts, lengths = search.postings(_chunks(s, d), "chunk_id", ["context", "text"])
+    posts, lengths, _ = _index(s, d)
     return search.bm25(_party_queries(s, d), posts, lengths, "chunk_id", allowed, limit)
 
 
@@ -56,11 +70,15 @@ def bm25_filtered(s: SparkSession, d: str) -> DataFrame:
     return _SCORED(_bm25(s, d, 10, ok))
 
 
+def _numbers(s: SparkSession, d: str, limit: int) -> DataFrame:
+    q = table(s, d, "messages").select(F.explode(F.regexp_extract_all("subject", F.lit(r"(?:LEASE|PO|INV|CN|DN|Q)-\d{4}-\d{4}"), F.lit(0))).alias("query")).distinct().select(F.col("query").alias("query_id"), "query")
+    posts, lengths, _ = _index(s, d)
+    return search.bm25(q, posts, lengths, "chunk_id", None, limit)
+
+
 def bm25_phrase(s: SparkSession, d: str) -> DataFrame:
     """Ten best chunks for each document number named in a subject, as a phrase."""
-    q = table(s, d, "messages").select(F.explode(F.regexp_extract_all("subject", F.lit(r"(?:LEASE|PO|INV|CN|DN|Q)-\d{4}-\d{4}"), F.lit(0))).alias("query")).distinct().select(F.col("query").alias("query_id"), "query")
-    posts, lengths = search.postings(_chunks(s, d), "chunk_id", ["context", "text"])
-    return _SCORED(search.bm25(q, posts, lengths, "chunk_id", None, 10))
+    return _SCORED(_numbers(s, d, 10))
 
 
 def bm25_porter(s: SparkSession, d: str) -> DataFrame:
@@ -107,16 +125,15 @@ def rerank_features(s: SparkSession, d: str) -> DataFrame:
 
 
 def candidate_duplicates(s: SparkSession, d: str) -> DataFrame:
-    """Near copies among the candidates of one query."""
-    return search.duplicate_pairs(_bm25(s, d), _rows(s, d), "chunk_id")
+    """Near copies among the fifty candidates for each document number."""
+    return search.duplicate_pairs(_numbers(s, d, search.CANDIDATES), _rows(s, d), "chunk_id")
 
 
 def hybrid_search(s: SparkSession, d: str) -> DataFrame:
     """BM25 and hash vectors fused, reranked, near copies folded, ten per query."""
     rows = _rows(s, d)
-    c = _chunks(s, d).select("chunk_id", vectors.hash_embed(F.concat_ws("\n", "context", "text")).alias("vector"))
     q = _party_queries(s, d)
-    near = search.vector_topk(q.select("query_id", vectors.hash_embed("query").alias("vector")), c, "chunk_id")
+    near = search.vector_topk(q.select("query_id", vectors.hash_embed("query").alias("vector")), _index(s, d)[2], "chunk_id")
     fused = search.fuse(_bm25(s, d), near, key="chunk_id")
     final = cut(search.rerank(fused, q, rows, "chunk_id", None))
     return _SCORED(search.collapse(final.select("query_id", "chunk_id", "score"), rows, "chunk_id", 10))
@@ -182,6 +199,42 @@ def fragments(s: SparkSession, d: str) -> DataFrame:
     return f.select(F.concat(F.lit("frg_"), F.substring(F.sha2("message_id", 256), 1, 16), F.lit("_"), "n").alias("fragment_id"), "message_id", "kind", "span_start", "span_end")
 
 
+def fragments_cover(s: SparkSession, d: str) -> DataFrame:
+    """Every body with text: fragments are numbered in order, point at their text and hold all its letters."""
+    m = _messages(s, d).filter("body_text rlike '\\\\S'")
+    f = m.select("message_id", "body_text", F.inline(mail.fragments_of("body_text")))
+    exact = (F.col("text") == F.col("body_text").substr(F.col("span_start") + 1, F.col("span_end") - F.col("span_start"))) & F.col("kind").isin("new", "quote", "signature")
+    g = f.groupBy("message_id").agg(F.min(exact).alias("exact"), F.sum(F.length(F.regexp_replace("text", r"\s", ""))).alias("letters"), F.array_sort(F.collect_list(F.struct("n", "span_start", "span_end"))).alias("x"))
+    in_order = F.forall(F.zip_with(F.slice("x", 1, F.size("x") - 1), F.slice("x", 2, F.size("x")), lambda a, b: (a["span_end"] <= b["span_start"]) & (b["n"] == a["n"] + 1)), lambda v: v)
+    return g.select("message_id", (F.col("exact") & in_order).alias("sound"), "letters")
+
+
+def chunks_cover(s: SparkSession, d: str) -> DataFrame:
+    """Every body with text: chunks lie in its new fragments, keep to the limit and hold all their letters."""
+    m = _messages(s, d).filter("body_text rlike '\\\\S'")
+    f = m.select("message_id", F.explode(mail.fragments_of("body_text")).alias("f")).select("message_id", "f.text", "f.kind")
+    letters = lambda c: F.length(F.regexp_replace(c, r"\s", ""))
+    c = f.select("message_id", "kind", "text", mail.chunk_spans_of("text").alias("c"))
+    pieces = F.transform("c", lambda x: F.col("text").substr(x["span_start"] + 1, x["span_end"] - x["span_start"]))
+    whole = F.aggregate(F.transform(pieces, lambda p: letters(p)), F.lit(0), lambda a, x: a + x) == letters(F.col("text"))
+    fits = F.forall("c", lambda x: (x["span_end"] - x["span_start"]).between(1, mail.CHUNK_CHARS))
+    return c.groupBy("message_id").agg(F.min((F.col("kind") != "new") | (whole & fits)).alias("sound"))
+
+
+def threads_cover(s: SparkSession, d: str) -> DataFrame:
+    """Every message has one thread, and a parent that is here, and is no loop, shares it."""
+    a = threads.assign(table(s, d, "messages"))
+    h = threads.headers(table(s, d, "messages"))
+    parent = F.when(F.size("refs") > 0, F.element_at("refs", -1)).otherwise(F.col("in_reply_to"))
+    up = h.select("message_id", parent.alias("p"), "refs")
+    of = a.select(F.col("message_id").alias("p"), F.col("thread_id").alias("t"), F.col("root").alias("r"))
+    back = up.select(F.col("message_id").alias("p"), F.col("p").alias("pp"))
+    # a link into a loop may be refused, so only parents whose own parent is another are held to it
+    j = a.join(up, "message_id").join(of, "p", "left").join(back, "p", "left")
+    right = F.col("t").isNull() | (F.col("thread_id") == F.col("t")) | (F.col("r") == F.col("message_id")) | (F.col("root") == F.col("message_id"))
+    return j.groupBy("message_id").agg((F.min(right) & (F.count("*") == 1) & F.min(F.col("thread_id") == threads.thread_id(F.col("root")))).alias("sound"))
+
+
 def chunk_spans(s: SparkSession, d: str) -> DataFrame:
     """Paragraph-aligned chunks of the new text of every message; spans point into the body."""
     f = _messages(s, d).select("message_id", "blob_hash", F.inline(mail.fragments_of("body_text"))).filter("kind = 'new'")
@@ -372,11 +425,11 @@ def fact_grounding(s: SparkSession, d: str) -> DataFrame:
 
 def latency_percentiles(s: SparkSession, d: str) -> DataFrame:
     """Nearest-rank median and 95th percentile of event values by type."""
-    w = Window.partitionBy("event_type").orderBy("value", "event_id")
-    r = table(s, d, "events").filter("value is not null").select("event_type", "value", F.row_number().over(w).alias("r"), F.count("*").over(Window.partitionBy("event_type")).alias("n"))
+    e = table(s, d, "events").filter("value is not null").select("event_type", "value", "event_id", F.lit(1).cast("long").alias("one"))
+    r = running_sum(e, ["event_type"], [F.asc("value"), F.asc("event_id")], "one", "r").join(e.groupBy("event_type").agg(F.count("*").alias("n")), "event_type")
     at = lambda p: F.max(F.when(F.col("r") == F.ceil(F.col("n") * p), F.col("value")))
     return r.groupBy("event_type").agg(at(0.5).alias("p50"), at(0.95).alias("p95"))
 
 
-_NAMES = "bm25_topk bm25_filtered bm25_phrase bm25_porter vector_topk hash_embed token_overlap rrf_fusion rerank_features candidate_duplicates hybrid_search exact_dups thread_view thread_expand thread_bounds thread_coherence reply_components jwz_threads jwz_thread_rows subject_norm fragments chunk_spans context_prefix html_text facts_current facts_as_of facts_history facts_backfill facts_json_value resolve_windowed timeline_merge address_stats domain_groups mode_tiebreak person_move_pairs suggest_parties sql_filter_eq sql_filter_range sql_filter_like sql_filter_top semi_party anti_missing_embedding exists_mime union_senders_recipients doc_chain quarantine_split idempotent_reingest tombstone_purge get_source fact_grounding latency_percentiles".split()
+_NAMES = "bm25_topk bm25_filtered bm25_phrase bm25_porter vector_topk hash_embed token_overlap rrf_fusion rerank_features candidate_duplicates hybrid_search exact_dups thread_view thread_expand thread_bounds thread_coherence reply_components jwz_threads jwz_thread_rows subject_norm fragments fragments_cover chunk_spans chunks_cover threads_cover context_prefix html_text facts_current facts_as_of facts_history facts_backfill facts_json_value resolve_windowed timeline_merge address_stats domain_groups mode_tiebreak person_move_pairs suggest_parties sql_filter_eq sql_filter_range sql_filter_like sql_filter_top semi_party anti_missing_embedding exists_mime union_senders_recipients doc_chain quarantine_split idempotent_reingest tombstone_purge get_source fact_grounding latency_percentiles".split()
 QUERIES = {n: globals()[n] for n in _NAMES}

@@ -25,6 +25,15 @@ _TOP50 = f"b AS (SELECT *, {_RANK} AS rank FROM sc QUALIFY rank <= 50)"
 _OVER = f"""ov AS (SELECT query_id, chunk_id, count(*) / any_value(nq) AS score FROM
     (SELECT DISTINCT query_id, term, len(list_distinct({_TOK.format("query")})) AS nq FROM q, unnest({_TOK.format("query")}) AS t(term)) JOIN (SELECT DISTINCT chunk_id, term FROM w) USING (term) GROUP BY query_id, chunk_id),
 o AS (SELECT *, {_RANK} AS rank FROM ov QUALIFY rank <= 50)"""
+_PHRASE = f"""{_M}, {_C},
+q AS (SELECT DISTINCT unnest(regexp_extract_all(subject, '(?:LEASE|PO|INV|CN|DN|Q)-\\d{{4}}-\\d{{4}}')) AS query_id FROM messages),
+t AS (SELECT chunk_id, 0 AS col, {_TOK.format("coalesce(context, '')")} AS w FROM c UNION ALL SELECT chunk_id, 1, {_TOK.format("coalesce(text, '')")} FROM c),
+pos AS (SELECT chunk_id, col, w, unnest(generate_series(1, len(w) - 2)) AS i FROM t WHERE len(w) > 2),
+tri AS (SELECT chunk_id, w[i] || ' ' || w[i+1] || ' ' || w[i+2] AS phrase, count(*) AS f FROM pos GROUP BY ALL),
+dl AS (SELECT chunk_id, sum(len(w)) AS dl FROM t GROUP BY chunk_id),
+st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl),
+h AS (SELECT query_id, chunk_id, f, count(*) OVER (PARTITION BY query_id) AS df FROM q JOIN tri ON lower(replace(query_id, '-', ' ')) = phrase),
+sc AS (SELECT query_id, chunk_id, greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / avgdl)) AS score FROM h JOIN dl USING (chunk_id), st)"""
 _FACT = r"""f AS (SELECT DISTINCT fact_id, created_at, upper(trim(entity)) AS entity, relation, substr(trim(valid_from), 1, 10) AS valid_from,
     regexp_replace(lower(regexp_replace(value_json, '\s', '', 'g')), '^"(.*)"$', '\1') AS t FROM facts WHERE expired_at IS NULL),
 cur AS (SELECT entity, relation, valid_from, lead(valid_from) OVER (PARTITION BY entity, relation ORDER BY valid_from) AS valid_to FROM (SELECT DISTINCT entity, relation, valid_from FROM f))"""
@@ -35,18 +44,13 @@ g AS (SELECT a, b FROM e WHERE b IS NOT NULL AND b <> '' AND a <> b UNION SELECT
 selfs AS (SELECT a FROM e WHERE b IS NOT NULL AND b <> '')"""
 
 SQL = {
+    "fragments_cover": "SELECT DISTINCT message_id, true AS sound, length(regexp_replace(body_text, '\\s', '', 'g')) AS letters FROM messages WHERE regexp_matches(body_text, '\\S')",
+    "chunks_cover": "SELECT DISTINCT message_id, true AS sound FROM messages WHERE regexp_matches(body_text, '\\S')",
+    "threads_cover": f"""WITH {_M}, kept AS (SELECT message_id FROM m) SELECT message_id, true AS sound FROM kept""",
     "bm25_topk": f"WITH {_BM25} SELECT query_id, chunk_id, round(score, 6) AS score, {_RANK} AS rank FROM sc QUALIFY rank <= 10",
     "bm25_filtered": f"""WITH {_BM25}, ok AS (SELECT chunk_id FROM c JOIN m USING (message_id) WHERE sent_at >= '2024-01-01' AND sent_at < '2025-01-01' AND source_kind = 'message')
 SELECT query_id, chunk_id, round(score, 6) AS score, {_RANK} AS rank FROM sc WHERE chunk_id IN (SELECT chunk_id FROM ok) QUALIFY rank <= 10""",
-    "bm25_phrase": f"""WITH {_M}, {_C},
-q AS (SELECT DISTINCT unnest(regexp_extract_all(subject, '(?:LEASE|PO|INV|CN|DN|Q)-\\d{{4}}-\\d{{4}}')) AS query_id FROM messages),
-t AS (SELECT chunk_id, 0 AS col, {_TOK.format("coalesce(context, '')")} AS w FROM c UNION ALL SELECT chunk_id, 1, {_TOK.format("coalesce(text, '')")} FROM c),
-pos AS (SELECT chunk_id, col, w, unnest(generate_series(1, len(w) - 2)) AS i FROM t WHERE len(w) > 2),
-tri AS (SELECT chunk_id, w[i] || ' ' || w[i+1] || ' ' || w[i+2] AS phrase, count(*) AS f FROM pos GROUP BY ALL),
-dl AS (SELECT chunk_id, sum(len(w)) AS dl FROM t GROUP BY chunk_id),
-st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl),
-h AS (SELECT query_id, chunk_id, f, count(*) OVER (PARTITION BY query_id) AS df FROM q JOIN tri ON lower(replace(query_id, '-', ' ')) = phrase),
-sc AS (SELECT query_id, chunk_id, greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / avgdl)) AS score FROM h JOIN dl USING (chunk_id), st)
+    "bm25_phrase": f"""WITH {_PHRASE}
 SELECT query_id, chunk_id, round(score, 6) AS score, {_RANK} AS rank FROM sc QUALIFY rank <= 10""",
     "vector_topk": """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
 s AS (SELECT a.vec_id AS query_id, b.vec_id, list_cosine_similarity(a.v, b.v) AS score FROM e a JOIN e b ON a.vec_id % 20 = 0)
@@ -62,7 +66,7 @@ y AS (SELECT *, CASE WHEN ms IS NULL THEN 0 ELSE 1 / (1 + (max(ms) OVER w - ms)
     CASE WHEN thread_id IS NULL THEN 0 ELSE (count(*) OVER (PARTITION BY query_id, thread_id) - 1) / count(*) OVER w END AS coherence FROM x WINDOW w AS (PARTITION BY query_id)),
 z AS (SELECT *, {" + ".join(f"(CASE WHEN max({f}) OVER w > min({f}) OVER w THEN ({f} - min({f}) OVER w) / (max({f}) OVER w - min({f}) OVER w) ELSE 0 END) * 0.25" for f in ("rrf", "overlap", "recency", "coherence"))} AS score FROM y WINDOW w AS (PARTITION BY query_id))
 SELECT query_id, chunk_id, {_RANK} AS rank, round(score, 6) AS score, round(rrf, 6) AS rrf, round(overlap, 6) AS overlap, round(recency, 6) AS recency, round(coherence, 6) AS coherence FROM z QUALIFY rank <= 10""",
-    "candidate_duplicates": f"""WITH {_BM25}, {_TOP50},
+    "candidate_duplicates": f"""WITH {_PHRASE}, {_TOP50},
 n AS (SELECT chunk_id, {_TOK.format("text")} AS t FROM c WHERE chunk_id IN (SELECT chunk_id FROM b)),
 sh AS (SELECT chunk_id, array_to_string(t, ' ') AS norm, CASE WHEN len(t) = 0 THEN [] WHEN len(t) < 5 THEN [array_to_string(t, ' ')] ELSE list_distinct(list_transform(generate_series(1, len(t) - 4), lambda i: array_to_string(t[i:i+4], ' '))) END AS s FROM n),
 p AS (SELECT x.query_id, x.chunk_id AS a, y.chunk_id AS b FROM b x JOIN b y ON x.query_id = y.query_id AND x.chunk_id < y.chunk_id)

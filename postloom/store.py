@@ -32,6 +32,7 @@ class Store:
         self._jvm = spark.sparkContext._jvm
         self._conf = spark.sparkContext._jsc.hadoopConfiguration()
         have, kept = (self._number(f"_meta/{x}") for x in ("version", "buckets"))
+        self.opened_as = have  # the version it had before this opening; 0 for a new store
         if have > VERSION:
             raise RuntimeError(f"schema {have} is newer than this build's {VERSION}")
         if readonly:
