@@ -11,7 +11,7 @@ from postloom.operators.components import components
 from postloom.operators.history import as_day, value_key
 from postloom.operators.skew import running_sum
 from postloom.sources.tables import table
-from postloom.session import cut
+from postloom.session import cut, written
 
 
 def _chunks(s: SparkSession, d: str) -> DataFrame:
@@ -44,7 +44,7 @@ _made: dict[tuple, tuple[DataFrame, ...]] = {}
 def _index(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(postings, lengths, vectors) of the chunks of a folder: written once a session, sorted by term, and searched by every query."""
     key = (s.sparkContext.applicationId, d)
-    if key not in _made:
+    if key not in _made or not all(written(t) for t in _made[key]):
         posts, lengths = search.postings(_chunks(s, d), "chunk_id", ["context", "text"])
         v = _chunks(s, d).select("chunk_id", vectors.hash_embed(F.concat_ws("\n", "context", "text")).alias("vector"))
         _made[key] = (cut(posts.repartition("term").sortWithinPartitions("term")), cut(lengths), cut(v))

@@ -88,6 +88,15 @@ def release(table: DataFrame) -> None:
         where.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def written(table: DataFrame) -> bool:
+    """True if the files of a table written by ``cut`` are there."""
+    path = table.__dict__.get("_written_to")
+    if not path:
+        return False
+    where = table.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(where.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).exists(where))
+
+
 def parallelism(spark: SparkSession) -> int:
     """Number of shuffle partitions the session asks for."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
