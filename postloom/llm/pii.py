@@ -644,8 +644,7 @@ def learnt_contexts(found: DataFrame, share: float = 0.0003) -> dict[tuple[str,
     times or more, is none. Tokens of a share of a group's candidates are kept, which bounds the answer.
     """
     c = found.select(F.inline("c"))
-    lone = (F.col("kind") == "name") & (F.col("shape") == "lone")
-    g = F.when(lone, F.lit("name.lone")).otherwise(F.col("kind"))
+    g = _group()
     total = F.aggregate("v", F.lit(0), lambda s, x: s + x)
     # a label, the gazetteer or a check digit speaks for; a label of things against
     spoken = F.get("v", 1) + F.get("v", 2) + F.when(F.col("kind") == "id_number", F.get("v", 0) * 2).when(F.col("kind") == "street_address", F.get("v", 0)).otherwise(0)
@@ -672,14 +671,19 @@ def learnt_contexts(found: DataFrame, share: float = 0.0003) -> dict[tuple[str,
 
 def vote_patterns(found: DataFrame, contexts: dict) -> dict[tuple, int]:
     """How often each (group, votes) occurs over all candidates; the patterns are few."""
+    c = found.select(F.inline("c")).select(_group().alias("g"), "left", "right", "shape", "v")
+    c = c.groupBy("g", "left", "right", "shape", "v").agg(F.count("*").alias("n"))
+    known = found.sparkSession.createDataFrame([(*k, v) for k, v in contexts.items()], "g string, side string, token string, vote int")
+    # one row per token of a least share of the candidates: bounded by that share
+    for side, col in (("l", "left"), ("r", "right"), ("s", "shape")):
+        c = c.join(F.broadcast(known.filter(F.col("side") == side).select("g", F.col("token").alias(col), F.col("vote").alias(f"_{side}"))), ["g", col], "left")
+    form = F.when(F.col("g").isin("id_number", "phone"), F.coalesce("_s", F.lit(0))).otherwise(0)
+    seen = c.groupBy("g", F.concat("v", F.array(F.coalesce("_l", F.lit(0)), F.coalesce("_r", F.lit(0)), form)).alias("v")).agg(F.sum("n").alias("n"))
+    return {(r["g"], *r["v"]): r["n"] for r in seen.collect()}
 
-    def tally(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
-        for batch in batches:
-            seen = Counter((group(c["kind"], c["shape"]), *c["v"], *told(group(c["kind"], c["shape"]), c["left"], c["right"], c["shape"], contexts)) for cs in batch["c"] for c in cs)
-            yield pd.DataFrame([(p[0], [int(x) for x in p[1:]], n) for p, n in seen.items()], columns=["g", "v", "n"])
 
-    counted = found.select("c").mapInPandas(tally, "g string, v array<int>, n bigint")
-    return {(r["g"], *r["v"]): r["n"] for r in counted.groupBy("g", "v").agg(F.sum("n").alias("n")).collect()}
+def _group() -> Column:
+    return F.when((F.col("kind") == "name") & (F.col("shape") == "lone"), F.lit("name.lone")).otherwise(F.col("kind"))
 
 
 def fitted(documents: DataFrame, sample: int = 1500, given: DataFrame | None = None, key: str = "doc_id") -> tuple[Lexicon, list[float], DataFrame]:
@@ -714,13 +718,19 @@ def mentions(documents: DataFrame, sample: int = 1500, key: str = "doc_id", give
     empty texts have none; repeated rows count once; an empty table has no mention.
     """
     lex, w, found = fitted(documents, sample, given, key)
-    contexts = lex.contexts
-
-    def run(lists: pd.Series) -> pd.Series:
-        tuples = ([tuple(c[f] for f in ("kind", "a", "b", "shape", "left", "right", "fill", "v")) for c in cs] for cs in lists)
-        return pd.Series([[{"kind": k, "span_start": a, "span_end": b} for k, a, b in resolve(cs, contexts, w)] for cs in tuples], index=lists.index)
-
-    return found.select(key, F.pandas_udf(run, FOUND).asNondeterministic()("c").alias("m")).select(key, F.inline("m")).distinct()
+    contexts, width = lex.contexts, len(LABELERS) - 3
+
+    def run(*columns: pd.Series) -> pd.Series:
+        out = []
+        for kind, at, end, shape, left, right, v in zip(*columns):
+            cs = ((k, int(a), int(b), s, le, ri, "", v[i * width : (i + 1) * width]) for i, (k, a, b, s, le, ri) in enumerate(zip(kind, at, end, shape, left, right)))
+            out.append([{"kind": k, "span_start": a, "span_end": b} for k, a, b in resolve(cs, contexts, w)])
+        return pd.Series(out, index=columns[0].index)
+
+    # columns of plain arrays reach Python faster than arrays of structs
+    pick = lambda f: F.transform("c", lambda x: x[f])
+    plain = [pick(f) for f in ("kind", "a", "b", "shape", "left", "right")] + [F.flatten(pick("v"))]
+    return found.select(key, F.pandas_udf(run, FOUND).asNondeterministic()(*plain).alias("m")).select(key, F.inline("m")).distinct()
 
 
 def masked(documents: DataFrame, sample: int = 1500, given: DataFrame | None = None) -> DataFrame:
