@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postloom.operators.components import components
-from postloom.session import cut
+from postloom.session import cut, release
 
 # Short forms of given names that no prefix or letter rule explains.
 NICKNAMES = {
@@ -203,7 +203,6 @@ def _strict(p: tuple, q: tuple) -> bool:
     return any(lcs_ratio(p[1][f], q[1][k]) >= 0.9 and alike(p[1][g], q[1][h]) for g, f in ((0, -1), (-1, 0)) for h, k in ((0, -1), (-1, 0)))
 
 
-PART = 400
 PROFILE = "struct<kind:string,words:array<string>,initials:array<string>,heads:array<array<string>>,whole:boolean,ident:string>"
 
 
@@ -296,12 +295,12 @@ def blocks(rows: DataFrame, least: int, common: int) -> DataFrame:
     firms = marked.filter("firm and many_s and many_d").groupBy(F.xxhash64("s", "domain", F.lit("f")).alias("block"), "reading").agg(F.min("id").alias("id")).select("block", "id")
     first = parts.select(F.xxhash64(F.lit("i"), F.substring("w", 1, 1), "address").alias("block"), "id")
     small = marked.filter("not many_s or not many_d").select(block.alias("block"), "id")
-    return small.unionByName(split(boxes.unionByName(first).distinct(), PART)).unionByName(split(firms, common)).distinct()
+    return small.unionByName(boxes).unionByName(first).unionByName(split(firms, common)).distinct()
 
 
 def links(rows: DataFrame, least: int = 4, common: int = 24, trades: frozenset[str] = frozenset()) -> DataFrame:
     """``(a, b, grade)`` between mention ids that name the same, by comparing pairs within blocks."""
-    b = blocks(rows, least, common)
+    b = cut(blocks(rows, least, common))  # joined with itself
     slim = rows.select("id", "name", "address", "domain", "kind", "ident", "whole")
     one, two = b.select("block", F.col("id").alias("a")), b.select("block", F.col("id").alias("b"))
     pairs = one.join(two, "block").filter("a < b").select("a", "b").distinct()
@@ -310,7 +309,9 @@ def links(rows: DataFrame, least: int = 4, common: int = 24, trades: frozenset[s
     near = ((F.col("address_a") == F.col("address_b")) & (F.col("address_a") != "")) | ((F.col("kind_a") == "firm") & (F.col("domain_a") == F.col("domain_b")) & (F.col("domain_a") != ""))
     told = pairs.join(left, "a").join(right, "b").withColumn("near", near).filter((F.col("kind_a") == F.col("kind_b")) & (F.col("near") | (F.col("ident_a") == F.col("ident_b"))))
     graded = told.withColumn("grade", _judge(compare, trades)("name_a", "name_b", "near")).filter("grade > 0")
-    return graded.select("a", "b", "grade", F.col("whole_a").alias("wa"), F.col("whole_b").alias("wb"))
+    out = cut(graded.select("a", "b", "grade", F.col("whole_a").alias("wa"), F.col("whole_b").alias("wb")))
+    release(b)
+    return out
 
 
 def split(keyed: DataFrame, common: int) -> DataFrame:
@@ -344,7 +345,7 @@ def far_links(units: DataFrame, least: int = 4, common: int = 24, trades: frozen
     Units are (id, name, words, heads, domain, entity), ``entity`` NULL for a short form, which comes
     as ``a``; ``same`` says that both are of one domain.
     """
-    b = far_blocks(units, least, common)
+    b = cut(far_blocks(units, least, common))  # joined with itself
     pairs = b.select("block", F.col("id").alias("a")).join(b.select("block", F.col("id").alias("b")), "block").filter("a < b").select("a", "b").distinct()
     slim = units.select("id", "name", "domain", "entity")
     left, right = (slim.select(*[F.col(c).alias(f"{c}_{x}") for c in slim.columns]).withColumnRenamed(f"id_{x}", x) for x in "ab")
@@ -353,12 +354,15 @@ def far_links(units: DataFrame, least: int = 4, common: int = 24, trades: frozen
     graded = told.withColumn("grade", _judge(compare_far, trades)("name_a", "name_b", "same"))
     whole = F.col("entity_a").isNotNull() & F.col("entity_b").isNotNull()
     kept = graded.filter((F.col("grade") > 0) & (~whole | (F.col("grade") == 2)))
-    return kept.select(
+    kept = kept.select(
         F.when(whole, F.col("entity_a")).when(F.col("entity_a").isNull(), F.col("a")).otherwise(F.col("b")).alias("a"),
         F.when(F.col("entity_b").isNull(), F.col("entity_a")).otherwise(F.col("entity_b")).alias("b"),
         whole.alias("whole"),
         "same",
     ).distinct()
+    out = cut(kept)
+    release(b)
+    return out
 
 
 def merged(edges: DataFrame) -> DataFrame:
@@ -386,13 +390,13 @@ def entities(messages: DataFrame, recipients: DataFrame) -> DataFrame:
     other (``merged``), and a short form that fits none at its address belongs to the only entity
     it fits in its domain, or, fitting none there, anywhere.
     """
-    said = mentions(messages, recipients)
+    said = cut(mentions(messages, recipients))
     trades = trade_words(said)
     rows = said.withColumn("p", _profile(trades)("name"))
     rows = cut(
         rows.select("name", "address", "real", F.regexp_extract("address", "@(.+)$", 1).alias("domain"), "p.*", F.unhex(F.md5(F.concat_ws("\u0001", "name", "address"))).alias("id")).filter("kind <> 'none' and size(words) > 0")
     )
-    found = cut(links(rows, trades=trades))
+    found = links(rows, trades=trades)
     keyed = rows.filter("ident is not null").select(F.col("id").alias("a"), F.unhex(F.md5("ident")).alias("b"))
     strong = found.filter("grade = 2 and wa and wb").select("a", "b").unionByName(keyed)
     comp = cut(components(strong))
@@ -405,7 +409,7 @@ def entities(messages: DataFrame, recipients: DataFrame) -> DataFrame:
     of = rows.filter("kind = 'person' and (whole or size(initials) > 0)").withColumn("unit", F.unhex(F.md5(F.concat_ws("\u0001", F.array_join("words", " "), F.array_join("initials", " "), "domain"))))
     of = of.join(comp.select(F.col("node").alias("id"), F.col("component").alias("entity")), "id", "left").join(fitted.select("id").distinct(), "id", "left_anti")
     units = cut(of.groupBy(F.col("unit").alias("id")).agg(*[F.min(c).alias(c) for c in ("name", "words", "heads", "domain", "entity")]))
-    far = cut(far_links(units, trades=trades))
+    far = far_links(units, trades=trades)
     roots = cut(merged(far.filter("whole")))
     fits = far.filter("not whole").join(roots.withColumnRenamed("entity", "b"), "b", "left").select("a", F.coalesce("root", "b").alias("e"), "same")
     here = F.when(F.col("same"), F.col("e"))
