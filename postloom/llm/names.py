@@ -300,8 +300,9 @@ def blocks(rows: DataFrame, least: int, common: int) -> DataFrame:
 
 def links(rows: DataFrame, least: int = 4, common: int = 24, trades: frozenset[str] = frozenset()) -> DataFrame:
     """``(a, b, grade)`` between mention ids that name the same, by comparing pairs within blocks."""
-    b = cut(blocks(rows, least, common))  # joined with itself
-    slim = rows.select("id", "name", "address", "domain", "kind", "ident", "whole")
+    # numbers of 8 bytes stand for the ids until the pairs are known
+    b = cut(blocks(rows.drop("id").withColumnRenamed("n", "id"), least, common))  # joined with itself
+    slim = rows.select(F.col("n").alias("id"), F.col("id").alias("key"), "name", "address", "domain", "kind", "ident", "whole")
     one, two = b.select("block", F.col("id").alias("a")), b.select("block", F.col("id").alias("b"))
     pairs = one.join(two, "block").filter("a < b").select("a", "b").distinct()
     left = slim.select(*[F.col(c).alias(f"{c}_a") for c in slim.columns]).withColumnRenamed("id_a", "a")
@@ -309,7 +310,7 @@ def links(rows: DataFrame, least: int = 4, common: int = 24, trades: frozenset[s
     near = ((F.col("address_a") == F.col("address_b")) & (F.col("address_a") != "")) | ((F.col("kind_a") == "firm") & (F.col("domain_a") == F.col("domain_b")) & (F.col("domain_a") != ""))
     told = pairs.join(left, "a").join(right, "b").withColumn("near", near).filter((F.col("kind_a") == F.col("kind_b")) & (F.col("near") | (F.col("ident_a") == F.col("ident_b"))))
     graded = told.withColumn("grade", _judge(compare, trades)("name_a", "name_b", "near")).filter("grade > 0")
-    out = cut(graded.select("a", "b", "grade", F.col("whole_a").alias("wa"), F.col("whole_b").alias("wb")))
+    out = cut(graded.select(F.col("key_a").alias("a"), F.col("key_b").alias("b"), "grade", F.col("whole_a").alias("wa"), F.col("whole_b").alias("wb")))
     release(b)
     return out
 
@@ -394,7 +395,7 @@ def entities(messages: DataFrame, recipients: DataFrame) -> DataFrame:
     trades = trade_words(said)
     rows = said.withColumn("p", _profile(trades)("name"))
     rows = cut(
-        rows.select("name", "address", "real", F.regexp_extract("address", "@(.+)$", 1).alias("domain"), "p.*", F.unhex(F.md5(F.concat_ws("\u0001", "name", "address"))).alias("id")).filter("kind <> 'none' and size(words) > 0")
+        rows.select("name", "address", "real", F.regexp_extract("address", "@(.+)$", 1).alias("domain"), "p.*", F.unhex(F.md5(F.concat_ws("\u0001", "name", "address"))).alias("id")).filter("kind <> 'none' and size(words) > 0").withColumn("n", F.monotonically_increasing_id())
     )
     found = links(rows, trades=trades)
     keyed = rows.filter("ident is not null").select(F.col("id").alias("a"), F.unhex(F.md5("ident")).alias("b"))
