@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from postloom.operators.components import components
-from postloom.session import cut
+from postloom.session import cut, release, tidy_shuffles
 
 
 def words(c: Column) -> Column:
@@ -16,8 +18,41 @@ def words(c: Column) -> Column:
 
 def shingles(w: Column, size: int) -> Column:
     """Hashes of the different word sequences of ``size`` words."""
-    starts = F.sequence(F.lit(1), F.size(w) - (size - 1))
-    return F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice(w, i, size), " "))))
+    starts = F.sequence(F.lit(0), F.size(w) - size)
+    return F.array_distinct(F.transform(starts, lambda i: F.xxhash64(*(F.get(w, i + j) for j in range(size)))))
+
+
+def _encoded(rows: DataFrame, cells: int, size: int, part: int) -> tuple[list[DataFrame], list[int]]:
+    """(tables, steps) for ``rows`` (id, words) of about ``cells`` shingles: those that occur again, as numbers in one order from rarest to most common.
+
+    The tables are (id, n, c): all different shingles of the text counted, and the numbers of those
+    that other texts have too, ascending. ``steps[j]`` is the first number of a shingle in more
+    than ``part`` * 2**j texts. Texts are encoded in up to eight passes, so that the disk never
+    holds more than a share of the occurrences.
+    """
+    texts = rows.select("id", F.split("words", " ").alias("w")).select("id", shingles(F.col("w"), size).alias("s"))
+    # outer: else the planner adds a filter that computes the shingles once more (no text is without one)
+    count = texts.select(F.explode_outer("s").alias("h")).groupBy("h").agg(F.count("*").alias("df"))
+    # the place in the sorted table: the number of its part above 33 bits, of the row below
+    order = cut(count.filter("df > 1").orderBy("df", "h").select("h", "df", F.monotonically_increasing_id().alias("at")))
+    sizes = dict(order.groupBy(F.shiftright("at", 33).alias("part")).agg(F.count("*").alias("rows")).collect())
+    starts, total = [], 0
+    for k in range(max(sizes, default=-1) + 1):
+        starts.append(total)
+        total += sizes.get(k, 0)
+    kind = "int" if total < 2**31 else "bigint"
+    start = F.get(F.array(*map(F.lit, starts or [0])).cast("array<bigint>"), F.shiftright("at", 33).cast("int"))
+    numbered = order.select("h", "df", (start + F.col("at").bitwiseAND(F.lit(2**33 - 1))).cast(kind).alias("c"))
+    steps = [x for x in numbered.agg(*(F.min(F.when(F.col("df") > part * 2**j, F.col("c"))) for j in range(32))).first() if x is not None]
+    codes = numbered.select("h", "c")
+    passes = min(8, 1 + cells // 1_000_000)
+    tables = []
+    for k in range(passes):
+        mine = texts.filter(F.pmod(F.xxhash64("id"), F.lit(passes)) == k)
+        found = mine.select("id", F.size("s").alias("n"), F.explode_outer("s").alias("h")).join(codes, "h")
+        tables.append(cut(found.groupBy("id", "n").agg(F.array_sort(F.collect_list("c")).alias("c"))))
+    release(order)
+    return tables, steps
 
 
 def near_pairs(texts: DataFrame, key: str, text: str, size: int = 5, threshold: float = 0.8, min_words: int = 1, part: int = 2_000) -> tuple[DataFrame, DataFrame]:
@@ -30,50 +65,73 @@ def near_pairs(texts: DataFrame, key: str, text: str, size: int = 5, threshold:
 
     The product is taken over shingles in blocks (shuffle partitions), rows being the texts and
     only those columns kept per row that a pair above the threshold must share: the
-    n - ceil(t n) + 1 globally rarest. Partial overlap counts of a pair are added up map-side and
-    a pair is dropped when its count plus what may follow stays below the overlap its two sizes
-    ask for, or when the sizes alone rule it out. The count of the few that are left is completed from
-    their two rows. Shingles that occur once never enter the product. The rows of a shingle that more
-    than ``part`` texts share are parted, and each two parts meet in a task of their own, so a
+    n - ceil(t n) + 1 globally rarest, and of the shorter text the n - ceil(2 t n / (1 + t)) + 1
+    rarest. The sizes of two texts ask for an overlap; the first shingle that they share, in the
+    order of all, has at least so many of either text from it on. A meeting with fewer left is
+    dropped before it is shuffled, so no pair is lost, and the overlap of the pairs left is counted
+    from their two rows. Shingles that occur once never enter the product. The rows of a shingle that
+    more than ``part`` texts share are parted, and each two parts meet in a task of their own, so a
     sequence in every text holds no task up.
 
+    Disk: shingles are stored as numbers of 4 bytes, work that needs more than its share is done in
+    passes, and the shuffle files of a step go at its end.
+
     NULL or short texts (fewer words than ``min_words`` or ``size``) take no part. Repeated rows
     of a key count once.
     """
     t = float(threshold)
-    docs = texts.filter(F.col(key).isNotNull()).select(F.col(key).alias("_key"), words(F.col(text)).alias("w")).filter(F.size("w") >= max(min_words, size))
-    hashed = cut(docs.select("_key", F.unhex(F.md5(F.array_join("w", " "))).alias("text"), shingles(F.col("w"), size).alias("s")))
-    # numbers of 8 bytes stand for the different texts until the pairs are known; writing fixes them
-    rows = cut(hashed.groupBy("text").agg(F.min("_key").alias("rep"), F.any_value("s").alias("s")).select(F.monotonically_increasing_id().alias("id"), "text", "rep", "s", F.size("s").alias("n")))
-    reps = rows.select("id", "rep")
-    members = hashed.select("_key", "text").distinct().join(rows.select("text", "rep"), "text").select(F.col("_key").alias(key), "rep")
-    cells = rows.select("id", F.explode("s").alias("h"))
-    count = cells.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1")
-    shared = cells.join(count, "h")
+    with tidy_shuffles(texts.sparkSession):
+        docs = texts.filter(F.col(key).isNotNull()).select(F.col(key).alias("_key"), words(F.col(text)).alias("w"))
+        # a filter on the words would find them twice: texts too short are written without any, and left out when read
+        long = docs.select("_key", F.when(F.size("w") >= max(min_words, size), F.array_join("w", " ")).alias("words"))
+        written = cut(long.select("_key", "words", F.unhex(F.md5("words")).alias("text")))
+        hashed = written.filter("text is not null")
+        # numbers of 8 bytes stand for the different texts until the pairs are known; writing fixes them
+        watch = Observation()
+        different = hashed.groupBy("text").agg(F.min("_key").alias("rep"), F.any_value("words").alias("words")).select(F.monotonically_increasing_id().alias("id"), "text", "rep", "words")
+        rows = cut(different, watch, F.sum(F.size(F.split("words", " "))).alias("cells"))
+        reps, keys = cut(rows.select("id", "text", "rep")), cut(hashed.select("_key", "text").distinct())
+        release(written)
+        encoded, steps = _encoded(rows, watch.get["cells"] or 0, size, part)
+        release(rows)
+        parts = _linked(reduce(DataFrame.unionByName, encoded), steps, t)
+        for table in encoded:
+            release(table)
+    pairs = reduce(DataFrame.unionByName, parts)
+    named = pairs.join(reps.select(F.col("id").alias("a"), F.col("rep").alias("ra")), "a").join(reps.select(F.col("id").alias("b"), F.col("rep").alias("rb")), "b")
+    members = keys.join(reps.select("text", "rep"), "text").select(F.col("_key").alias(key), "rep")
+    return named.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"), "overlap", "similarity"), members
+
+
+def _linked(encoded: DataFrame, steps: list[int], t: float) -> list[DataFrame]:
+    """Tables (a, b, overlap, similarity) of the encoded texts with a similarity of ``t`` or more; a is the shorter text, or the one of less id."""
     # a text's columns from rarest to most common; those that occur once come before all others
-    ranked = shared.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("c")).join(rows.select("id", "n"), "id")
-    keep = F.col("n") - F.ceil(F.col("n") * t - 1e-9) + 1
     single = F.col("n") - F.size("c")
-    prefix = cut(
-        ranked.select("id", "n", F.posexplode(F.slice("c", 1, F.greatest(keep - single, F.lit(0)).cast("int"))).alias("p", "x"), single.alias("single")).select(
-            F.col("x.h").alias("h"), "id", "n", (F.col("p") + F.col("single")).alias("p"), F.ceil(F.col("x.df") / part).cast("int").alias("k")
-        )
-    )
+    keep = F.col("n") - F.ceil(F.col("n") * t - 1e-8) + 1
+    prefix = encoded.select("id", "n", F.posexplode(F.slice("c", 1, F.greatest(keep - single, F.lit(0)).cast("int"))).alias("p", "h"), single.alias("single")).select("h", "id", "n", (F.col("p") + F.col("single")).alias("p"))
+    k = reduce(lambda c, s: c * F.when(F.col("h") >= s, 2).otherwise(1), steps, F.lit(1))
     # a row meets its own part and each other one once
-    own = F.when(F.col("k") > 1, F.pmod(F.xxhash64("id"), F.col("k"))).otherwise(0).cast("int")
-    placed = prefix.withColumn("own", own).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select("h", F.least("own", "i").alias("lo"), F.greatest("own", "i").alias("hi"), "id", "n", "p", "own")
+    own = F.pmod(F.xxhash64("id"), F.col("k")).cast("int")
+    placed = prefix.withColumn("k", k).withColumn("own", own).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select("h", F.least("own", "i").alias("lo"), F.greatest("own", "i").alias("hi"), "id", "n", "p", "own")
     left, right = (placed.select("h", "lo", "hi", F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("p").alias(f"p{x}"), F.col("own").alias(f"o{x}")) for x in "ab")
+    left = left.filter(F.col("na") - F.col("pa") >= F.ceil(2 * F.col("na") * (t / (1 + t)) - 1e-8))
     need = F.ceil((F.col("na") + F.col("nb")) * (t / (1 + t)) - 1e-9)
     room = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
     once = (F.col("oa") != F.col("ob")) | (F.col("lo") == F.col("hi"))
-    products = left.join(right, ["h", "lo", "hi"]).filter((F.col("a") < F.col("b")) & once & (F.least("na", "nb") >= F.ceil(F.greatest("na", "nb") * t - 1e-9)) & (room >= need - F.least("pa", "pb")))
-    sums = products.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("o"), F.min(room).alias("rest"))
-    found = sums.filter(F.col("o") + F.col("rest") - 1 >= need).select("a", "b", "na", "nb")
-    full = found.join(rows.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(rows.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-    overlap = full.select("a", "b", "na", "nb", F.size(F.array_intersect("sa", "sb")).alias("overlap"))
-    pairs = overlap.withColumn("similarity", F.col("overlap") / (F.col("na") + F.col("nb") - F.col("overlap"))).filter(F.col("overlap") >= F.ceil((F.col("na") + F.col("nb") - F.col("overlap")) * t - 1e-9))
-    named = pairs.join(reps.select(F.col("id").alias("a"), F.col("rep").alias("ra")), "a").join(reps.select(F.col("id").alias("b"), F.col("rep").alias("rb")), "b")
-    return named.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"), "overlap", "similarity"), members
+    shorter = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
+    met = left.join(right, ["h", "lo", "hi"]).filter(shorter & once & (F.col("na") >= F.ceil(F.col("nb") * t - 1e-9)) & (room >= need))
+    found = cut(met.select("a", "b").distinct())
+    # a pass takes the pairs of some shorter texts, about as many as there are texts
+    passes = -(-found.count() // max(encoded.count(), 20_000)) or 1
+    tables = []
+    for i in range(passes):
+        mine, first = (x.filter(F.pmod(F.xxhash64(k), F.lit(passes)) == i) for x, k in ((found, "a"), (encoded, "id")))
+        full = mine.join(first.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca")), "a").join(encoded.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb")), "b")
+        overlap = full.select("a", "b", "na", "nb", F.size(F.array_intersect("ca", "cb")).alias("overlap"))
+        union = F.col("na") + F.col("nb") - F.col("overlap")
+        tables.append(cut(overlap.filter(F.col("overlap") >= F.ceil(union * t - 1e-9)).select("a", "b", "overlap", (F.col("overlap") / union).alias("similarity"))))
+    release(found)
+    return tables
 
 
 def expand(pairs: DataFrame, members: DataFrame, key: str) -> DataFrame:

@@ -79,6 +79,18 @@ def scratch() -> Iterator[None]:
             release(table)
 
 
+@contextmanager
+def tidy_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Delete the shuffle files of every query begun within as soon as it ends, not when the driver collects its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def release(table: DataFrame) -> None:
     """Delete the files of a table written by ``cut`` that nothing reads any more; else do nothing."""
     path = table.__dict__.pop("_written_to", None)

@@ -2,6 +2,8 @@
 
 import random
 import re
+import time
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -212,6 +214,30 @@ def test_near_pairs_of_a_sequence_in_every_text(rows):
         assert len(got) == len(want) and set(got) == want
 
 
+def test_near_pairs_leave_little_on_disk(spark, rows):
+    # texts of common phrases that meet at many shingles: what a step shuffled or wrote is gone when the next has read it
+    from postloom.session import shared_folder
+
+    rnd = random.Random(6)
+    phrases = [" ".join(f"w{rnd.randrange(500)}" for _ in range(12)) for _ in range(40)]
+    data = [(i, " ".join(rnd.choice(phrases) for _ in range(8))) for i in range(400)]
+    blocks = lambda: list(spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles().mkString(" ").split())
+    tables = Path(shared_folder(spark).removeprefix("file:"), "postloom")
+    held = lambda: {p: p.stat().st_size for p in [*map(Path, blocks()), *tables.rglob("*.parquet")] if p.exists()}
+    spark.range(1).write.format("noop").mode("overwrite").save()
+    before = held()
+    pairs, _ = neardup.near_pairs(rows(data, "k int, t string"), "k", "t", size=3, threshold=0.4)
+    for _ in range(50):  # files of a shuffle go beside the work
+        left = sum(size for p, size in held().items() if p not in before)
+        if left < 150_000:
+            break
+        time.sleep(0.1)
+    assert left < 150_000 < sum(len(t) for _, t in data)
+    sets = {k: {tuple(w[i : i + 3]) for i in range(len(w) - 2)} for k, t in data for w in [t.split()]}
+    want = {(a, b, len(sets[a] & sets[b])) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.4 * len(sets[a] | sets[b]) - 1e-9}
+    assert want == {(r["a"], r["b"], r["overlap"]) for r in pairs.collect()} and want
+
+
 def test_near_pairs_of_nothing(rows):
     twice = rows([(1, "a b c d e f", 5), (2, "a b c d e f", 6), (1, "a b c d e f", 5)], "id int, w string, s int")
     p, m = neardup.near_pairs(twice, "id", "w")
