@@ -9,14 +9,13 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterable
+from collections import Counter
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postloom.llm.sample import sampled
-
 NEW, QUOTE, INTRO, FORWARD, CLOSING, SIGNATURE, DEVICE, NOTICE = range(8)
 LABELS = ("new", "quote", "intro", "forward", "closing", "signature", "device", "notice")
 
@@ -92,7 +91,7 @@ _PARTS = re.compile(r"^[^.!?|]{2,40}(?: \| [^.!?|]{2,40}){1,3}$|^[^.!?,]{3,40},
 _GREETING = re.compile(r"(?i)^(?:dear|hi|hello|hey|hallo|good (?:morning|afternoon|day|evening)|bonjour|hola|guten (?:tag|morgen)|sehr geehrte\w*|liebe[rs]?|cher|chère|estimad[oa]s?|buenos días|ciao|beste|geachte)\b")
 
 #: Log weights. ``len`` holds, by label, the log probability of a span's number of units; it is
-#: re-estimated from a bounded sample by ``fit_lengths``. The others weigh cues and span features.
+#: re-estimated from all messages by ``fit_lengths``. The others weigh cues and span features.
 WEIGHTS: dict = {
     "new.text": 1.0, "new.short": 0.2, "new.cue": -2.0, "new.after_end": -0.4, "new.lone_quote": 1.5, "new.lone_indent": 1.5, "new.quoted": -5.0, "new.indented": -1.5,
     "quote.prefix": 4.0, "quote.indent": 2.5, "quote.lone_number": -4.0, "quote.lone_indent": -3.0,
@@ -362,36 +361,61 @@ def not_new(body: str | None, name: str | None = None, w: dict | None = None) ->
     return [k for k, label in enumerate(labels(body, name, w)) if label != NEW and lines[k].strip()]
 
 
+def lengths(body: str | None, name: str | None, w: dict) -> list[tuple[int, int]]:
+    """(label, place in the label's list of lengths) of every span whose length is fitted."""
+    us = units([x[:-1] if x.endswith("\r") else x for x in (body or "").split("\n")])
+    most = {label: len(v) for label, v in w["len"].items()}
+    return [(label, min(j - i, most[label]) - 1) for i, j, label in decode(us, frozenset(re.findall(r"[^\W\d_]{3,}", (name or "").lower())), w) if most[label] > 1]
+
+
+class Corpus:
+    """The different (body, name) of a table of messages: iterated here, or counted by the tasks that read them."""
+
+    def __init__(self, messages: DataFrame):
+        self.rows = messages.filter("body_text is not null").select("body_text", "from_name")
+
+    def __iter__(self) -> Iterator[tuple[str, str | None]]:
+        return (tuple(r) for r in self.rows.distinct().toLocalIterator())
+
+    def lengths(self, w: dict) -> Counter:
+        """How often each (label, place) occurs; copies count once. No text leaves its task, only a hash of it."""
+
+        def run(bodies: pd.Series, names: pd.Series) -> pd.Series:
+            return pd.Series([[label * 100 + k for label, k in lengths(b, n, w)] for b, n in zip(bodies, names)], index=bodies.index)
+
+        copy = F.unhex(F.md5(F.concat(F.md5("body_text"), F.coalesce("from_name", F.lit("")))))
+        hits = self.rows.select(copy.alias("copy"), F.pandas_udf(run, "array<int>").asNondeterministic()("body_text", "from_name").alias("hits")).filter("size(hits) > 0")
+        once = hits.groupBy("copy").agg(F.any_value("hits").alias("hits"))
+        return Counter({divmod(r[0], 100): r[1] for r in once.select(F.explode("hits").alias("hit")).groupBy("hit").count().collect()})
+
+
 def fit_lengths(rows: Iterable[tuple[str, str]], rounds: int = 2, w: dict | None = None) -> dict:
     """Weights with span lengths re-estimated by hard expectation-maximisation over (body, name)."""
     w = dict(w or WEIGHTS)
-    rows = list(rows)
+    rows = rows if isinstance(rows, Corpus) else list(rows)
     for _ in range(rounds):
         counts = {label: [1.0] * len(v) for label, v in w["len"].items()}
-        for body, name in rows:
-            us = units([x[:-1] if x.endswith("\r") else x for x in (body or "").split("\n")])
-            for i, j, label in decode(us, frozenset(re.findall(r"[^\W\d_]{3,}", (name or "").lower())), w):
-                if len(counts[label]) > 1:
-                    counts[label][min(j - i, len(counts[label])) - 1] += 1
+        hits = rows.lengths(w) if isinstance(rows, Corpus) else Counter(x for body, name in rows for x in lengths(body, name, w))
+        for (label, k), times in hits.items():
+            counts[label][k] += times
         w["len"] = {label: tuple(max(-4.0, math.log(c / sum(v))) for c in v) if len(v) > 1 else (0.0,) for label, v in counts.items()}
     return w
 
 
-def fitted(messages: DataFrame, sample: int) -> dict:
-    """Weights with span lengths of a bounded sample of the messages."""
-    picked = messages.filter("body_text is not null and length(body_text) < 20000").select("body_text", "from_name")
-    return fit_lengths([(r[0], r[1]) for r in sampled(picked, sample)], rounds=1)
+def fitted(messages: DataFrame) -> dict:
+    """Weights with span lengths of all messages."""
+    return fit_lengths(Corpus(messages), rounds=1)
 
 
-def quoted_lines(messages: DataFrame, sample: int = 2000) -> DataFrame:
+def quoted_lines(messages: DataFrame) -> DataFrame:
     """``(message_id, line_no)`` of the lines each sender did not newly write.
 
-    Span lengths are fitted on the ``sample`` messages of least hash (a bounded number of rows, gathered
-    on the driver, whatever their order); everything else covers every message whole. NULL and empty
+    Span lengths are fitted on all messages, whatever their length: each is decoded twice, once to
+    count the lengths, once for its lines. Copies of a body of one sender count once. NULL and empty
     bodies have no lines; repeated rows of a message count once; a NULL sender name only loses the
     cue of the name. Lines end at LF, a CR before it is not part of the line.
     """
-    w = fitted(messages, sample)
+    w = fitted(messages)
 
     def run(bodies: pd.Series, names: pd.Series) -> pd.Series:
         return pd.Series([not_new(b, n, w) for b, n in zip(bodies, names)], index=bodies.index)
@@ -400,12 +424,12 @@ def quoted_lines(messages: DataFrame, sample: int = 2000) -> DataFrame:
     return messages.select("message_id", udf("body_text", "from_name").alias("k")).select("message_id", F.explode("k").alias("line_no")).distinct()
 
 
-def fresh_text(messages: DataFrame, sample: int = 2000) -> DataFrame:
+def fresh_text(messages: DataFrame) -> DataFrame:
     """``(message_id, text)``: the newly written lines of each message, joined by LF.
 
     The weights are those of ``quoted_lines`` over the same messages.
     """
-    w = fitted(messages, sample)
+    w = fitted(messages)
 
     def run(bodies: pd.Series, names: pd.Series) -> pd.Series:
         out = []

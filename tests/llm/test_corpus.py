@@ -86,6 +86,19 @@ def test_fit_keeps_shape():
     assert fresh.fit_lengths([])["len"]
 
 
+def test_lengths_are_fitted_on_all_messages(rows, monkeypatch):
+    # more messages than a sample would take, copies, and a body of more than 20,000 characters
+    data = [(f"m{i}", f"Hello {i} there you.\n\nThanks,\nBob" + "\nsales" * (i % 3), "Bob") for i in range(2300)]
+    data += [(f"c{i}", data[0][1], "Bob") for i in range(40)] + [("long", "Some words that make a line of text.\n" * 800 + "\nRegards,\nBob Ray", "Bob"), ("none", None, "Bob"), ("bare", "Words here.\n\nCheers", None)]
+    fit, got = fresh.fit_lengths, []
+    monkeypatch.setattr(fresh, "fit_lengths", lambda *a, **k: got.append(fit(*a, **k)) or got[-1])
+    df = rows(data, "message_id string, body_text string, from_name string")
+    fresh.quoted_lines(df)
+    fresh.fresh_text(df.orderBy(F.rand(1)))
+    want = fit(sorted({(b, n or "") for _, b, n in data if b}), rounds=1)
+    assert [w["len"] for w in got] == [want["len"]] * 2 and want["len"] != fit(sorted({(b, n or "") for _, b, n in data if b})[:2000], rounds=1)["len"]
+
+
 # ---- names -------------------------------------------------------------------------------------
 
 
