@@ -70,11 +70,12 @@ def near_pairs(texts: DataFrame, key: str, text: str, size: int = 5, threshold:
     order of all, has at least so many of either text from it on. A meeting with fewer left is
     dropped before it is shuffled, so no pair is lost, and the overlap of the pairs left is counted
     from their two rows. Shingles that occur once never enter the product. The rows of a shingle that
-    more than ``part`` texts share are parted, and each two parts meet in a task of their own, so a
-    sequence in every text holds no task up.
+    more than ``part`` texts share are parted, and the rows of shorter texts meet each part in a task of
+    its own, so a sequence in every text holds no task up.
 
     Disk: shingles are stored as numbers of 4 bytes, work that needs more than its share is done in
-    passes, and the shuffle files of a step go at its end.
+    passes, and the shuffle files of a step go at its end. Candidates are made for some of the shorter
+    texts at a time and only those above the threshold are kept, so their number takes time, not disk.
 
     NULL or short texts (fewer words than ``min_words`` or ``size``) take no part. Repeated rows
     of a key count once.
@@ -110,27 +111,50 @@ def _linked(encoded: DataFrame, steps: list[int], t: float) -> list[DataFrame]:
     keep = F.col("n") - F.ceil(F.col("n") * t - 1e-8) + 1
     prefix = encoded.select("id", "n", F.posexplode(F.slice("c", 1, F.greatest(keep - single, F.lit(0)).cast("int"))).alias("p", "h"), single.alias("single")).select("h", "id", "n", (F.col("p") + F.col("single")).alias("p"))
     k = reduce(lambda c, s: c * F.when(F.col("h") >= s, 2).otherwise(1), steps, F.lit(1))
-    # a row meets its own part and each other one once
-    own = F.pmod(F.xxhash64("id"), F.col("k")).cast("int")
-    placed = prefix.withColumn("k", k).withColumn("own", own).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select("h", F.least("own", "i").alias("lo"), F.greatest("own", "i").alias("hi"), "id", "n", "p", "own")
-    left, right = (placed.select("h", "lo", "hi", F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("p").alias(f"p{x}"), F.col("own").alias(f"o{x}")) for x in "ab")
-    left = left.filter(F.col("na") - F.col("pa") >= F.ceil(2 * F.col("na") * (t / (1 + t)) - 1e-8))
+    place = F.pmod(F.xxhash64("id"), F.lit(_PLACES))
+    left = prefix.filter(F.col("n") - F.col("p") >= F.ceil(2 * F.col("n") * (t / (1 + t)) - 1e-8)).select("h", F.col("id").alias("a"), F.col("n").alias("na"), F.col("p").alias("pa"), k.alias("k"), place.alias("place"))
+    right = prefix.select("h", F.pmod(F.hash("id"), k).alias("part"), F.col("id").alias("b"), F.col("n").alias("nb"), F.col("p").alias("pb"))
     need = F.ceil((F.col("na") + F.col("nb")) * (t / (1 + t)) - 1e-9)
     room = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
-    once = (F.col("oa") != F.col("ob")) | (F.col("lo") == F.col("hi"))
     shorter = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
-    met = left.join(right, ["h", "lo", "hi"]).filter(shorter & once & (F.col("na") >= F.ceil(F.col("nb") * t - 1e-9)) & (room >= need))
-    found = cut(met.select("a", "b").distinct())
-    # a pass takes the pairs of some shorter texts, about as many as there are texts
-    passes = -(-found.count() // max(encoded.count(), 20_000)) or 1
+    texts = max(encoded.count(), 20_000)
+    cells, copies = left.agg(F.count("*"), F.sum("k")).first()
+    # shorter texts are taken in rounds: their copies for the parts, and the pairs they give, stay in proportion to the texts
+    if not cells:
+        return [cut(encoded.sparkSession.createDataFrame([], "a bigint, b bigint, overlap int, similarity double"))]
+    most = min(_PLACES, 2 * _PLACES * cells // copies)
+    width, lo, tables = min(most, 100_000 * _PLACES // texts), 0, []
+    while lo < _PLACES:
+        hi = lo + max(width, 1)
+        # a row of the shorter text meets each part of the others, which have one place each
+        mine = left.filter(F.col("place").between(lo, hi - 1)).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+        met = mine.join(right, ["h", "part"]).filter(shorter & (F.col("na") >= F.ceil(F.col("nb") * t - 1e-9)) & (room >= need))
+        watch = Observation()
+        found = cut(met.select("a", "b").distinct(), watch, F.count(F.lit(1)).alias("pairs"))
+        pairs = watch.get["pairs"]
+        tables += _judged(found, encoded, t, -(-pairs // texts) or 1)
+        release(found)
+        if len(tables) > 32:
+            old, tables = tables, [cut(reduce(DataFrame.unionByName, tables))]
+            for table in old:
+                release(table)
+        width, lo = int(min(most, width * min(4, max(0.25, 20 * texts / (pairs or 1))))), hi
+    return tables
+
+
+# Fixed value: how finely the texts can be parted into rounds.
+_PLACES = 1 << 20
+
+
+def _judged(found: DataFrame, encoded: DataFrame, t: float, passes: int) -> list[DataFrame]:
+    """Tables (a, b, overlap, similarity) of the candidates at or above the threshold, one for each pass over some of the shorter texts."""
     tables = []
     for i in range(passes):
-        mine, first = (x.filter(F.pmod(F.xxhash64(k), F.lit(passes)) == i) for x, k in ((found, "a"), (encoded, "id")))
+        mine, first = (x.filter(F.pmod(F.xxhash64(k, F.lit("pass")), F.lit(passes)) == i) for x, k in ((found, "a"), (encoded, "id")))
         full = mine.join(first.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca")), "a").join(encoded.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb")), "b")
         overlap = full.select("a", "b", "na", "nb", F.size(F.array_intersect("ca", "cb")).alias("overlap"))
         union = F.col("na") + F.col("nb") - F.col("overlap")
         tables.append(cut(overlap.filter(F.col("overlap") >= F.ceil(union * t - 1e-9)).select("a", "b", "overlap", (F.col("overlap") / union).alias("similarity"))))
-    release(found)
     return tables
 
 
