@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from postloom.functions.text import dedupe_key, jaccard, shingles, tokens
-from postloom.session import cut
+from postloom.session import cut, tidy_shuffles
 
 K1, B, CANDIDATES, RRF_K = 1.2, 0.75, 50, 60
 
@@ -39,22 +39,25 @@ def bm25(queries: DataFrame, posts: DataFrame, lengths: DataFrame, key: str, all
     mean length, document frequency) are those of the whole index; ``allowed`` (query_id, key or
     key alone) restricts candidates before ranking. Ties go to the smaller key.
 
-    Only the postings of terms in the queries are kept (semi join) before anything is summed.
+    Only the postings of terms in the queries are kept before anything is summed, and none meets
+    the phrases one by one: work grows with the postings read, not with the number of phrases that share a term.
     """
     typed = queries.select("query_id", F.posexplode(F.filter(F.split("query", r"\s+"), lambda x: x != "")).alias("slot", "word"))
     phrases = typed.withColumn("terms", tokenize("word")).filter(F.size("terms") > 0).groupBy("query_id", "terms").agg(F.count("*").alias("times"))
-    wanted = phrases.select("terms").distinct().withColumn("phrase", F.array_join("terms", " "))
-    parts = wanted.select("phrase", F.size("terms").alias("len"), F.posexplode("terms").alias("off", "term"))
-    hits = (
-        posts.join(parts, "term")
-        .select("phrase", "len", key, "col", F.explode(F.transform("positions", lambda p: p - F.col("off"))).alias("start"), "off")
-        .groupBy("phrase", "len", key, "col", "start")
-        .agg(F.count("*").alias("n"))
-        .filter("n = len")
-        .groupBy("phrase", key)
-        .agg(F.count("*").alias("f"))
-    )
-    hits = cut(hits)  # of the queries' terms alone; read for the frequencies and for the scores
+    wanted = phrases.select("terms").distinct()
+    # a row's own runs of terms are made and looked up, so a term in many phrases costs its postings only once
+    begun = wanted.groupBy(F.get("terms", F.lit(0)).alias("term")).agg(F.collect_set(F.size("terms")).alias("lens"))
+    used = wanted.select(F.explode("terms").alias("term")).distinct().join(begun, "term", "left")
+    placed = posts.join(used, "term").select(key, "col", F.explode("positions").alias("pos"), "term", F.coalesce("lens", F.array().cast("array<int>")).alias("lens"))
+    lines = placed.groupBy(key, "col").agg(F.array_sort(F.collect_list(F.struct("pos", "term", "lens"))).alias("w"))
+    w = F.col("w")
+    fits = lambda x, i, n: F.get(w, i + n - 1)["pos"] == x["pos"] + n - 1
+    joined = lambda i, n: F.array_join(F.transform(F.slice(w, i + 1, n), lambda y: y["term"]), " ")
+    runs = F.flatten(F.transform(w, lambda x, i: F.transform(F.filter(x["lens"], lambda n: fits(x, i, n)), lambda n: joined(i, n))))
+    found = lines.select(key, F.explode(runs).alias("phrase")).groupBy("phrase", key).agg(F.count("*").alias("f"))
+    hits = found.join(wanted.select(F.array_join("terms", " ").alias("phrase")), "phrase", "left_semi")
+    with tidy_shuffles(posts.sparkSession):
+        hits = cut(hits)  # of the queries' terms alone; read for the frequencies and for the scores
     stats = lengths.agg(F.count("*").alias("big_n"), F.avg("dl").alias("avgdl"))  # one row
     df = hits.groupBy("phrase").agg(F.count("*").alias("df"))
     if allowed is not None and "query_id" not in allowed.columns:

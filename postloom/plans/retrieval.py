@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ from postloom.operators.components import components
 from postloom.operators.history import as_day, value_key
 from postloom.operators.skew import running_sum
 from postloom.sources.tables import table
-from postloom.session import cut, written
+from postloom.session import cut, tidy_shuffles, written
 
 
 def _chunks(s: SparkSession, d: str) -> DataFrame:
@@ -41,18 +43,31 @@ def _rows(s: SparkSession, d: str) -> DataFrame:
 _made: dict[tuple, tuple[DataFrame, ...]] = {}
 
 
-def _index(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(postings, lengths, vectors) of the chunks of a folder: written once a session, sorted by term, and searched by every query."""
-    key = (s.sparkContext.applicationId, d)
+def _once(s: SparkSession, d: str, what: str, make: Callable[[], tuple[DataFrame, ...]]) -> tuple[DataFrame, ...]:
+    key = (s.sparkContext.applicationId, d, what)
     if key not in _made or not all(written(t) for t in _made[key]):
-        posts, lengths = search.postings(_chunks(s, d), "chunk_id", ["context", "text"])
-        v = _chunks(s, d).select("chunk_id", vectors.hash_embed(F.concat_ws("\n", "context", "text")).alias("vector"))
-        _made[key] = (cut(posts.repartition("term").sortWithinPartitions("term")), cut(lengths), cut(v))
+        with tidy_shuffles(s):
+            _made[key] = tuple(cut(t) for t in make())
     return _made[key]
 
 
+def _index(s: SparkSession, d: str) -> tuple[DataFrame, ...]:
+    """(postings, lengths) of the chunks of a folder: written once a session, sorted by term, and searched by every query."""
+
+    def make() -> tuple[DataFrame, DataFrame]:
+        posts, lengths = search.postings(_chunks(s, d), "chunk_id", ["context", "text"])
+        return posts.repartition("term").sortWithinPartitions("term"), lengths
+
+    return _once(s, d, "words", make)
+
+
+def _vectors(s: SparkSession, d: str) -> DataFrame:
+    """Hash vectors of the chunks of a folder, written once a session when a query first asks for them."""
+    return _once(s, d, "vectors", lambda: (hash_embed(s, d),))[0]
+
+
 def _bm25(s: SparkSession, d: str, limit: int = search.CANDIDATES, allowed: DataFrame | None = None) -> DataFrame:
-    posts, lengths, _ = _index(s, d)
+    posts, lengths = _index(s, d)
     return search.bm25(_party_queries(s, d), posts, lengths, "chunk_id", allowed, limit)
 
 
@@ -72,7 +87,7 @@ def bm25_filtered(s: SparkSession, d: str) -> DataFrame:
 
 def _numbers(s: SparkSession, d: str, limit: int) -> DataFrame:
     q = table(s, d, "messages").select(F.explode(F.regexp_extract_all("subject", F.lit(r"(?:LEASE|PO|INV|CN|DN|Q)-\d{4}-\d{4}"), F.lit(0))).alias("query")).distinct().select(F.col("query").alias("query_id"), "query")
-    posts, lengths, _ = _index(s, d)
+    posts, lengths = _index(s, d)
     return search.bm25(q, posts, lengths, "chunk_id", None, limit)
 
 
@@ -133,7 +148,7 @@ def hybrid_search(s: SparkSession, d: str) -> DataFrame:
     """BM25 and hash vectors fused, reranked, near copies folded, ten per query."""
     rows = _rows(s, d)
     q = _party_queries(s, d)
-    near = search.vector_topk(q.select("query_id", vectors.hash_embed("query").alias("vector")), _index(s, d)[2], "chunk_id")
+    near = search.vector_topk(q.select("query_id", vectors.hash_embed("query").alias("vector")), _vectors(s, d), "chunk_id")
     fused = search.fuse(_bm25(s, d), near, key="chunk_id")
     final = cut(search.rerank(fused, q, rows, "chunk_id", None))
     return _SCORED(search.collapse(final.select("query_id", "chunk_id", "score"), rows, "chunk_id", 10))

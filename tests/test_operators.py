@@ -1,6 +1,8 @@
 """Core operators against small brute-force models and edge cases."""
 
+import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -222,3 +224,39 @@ def test_collapse_keeps_the_earliest(rows):
     hits = rows([("q", "c1", 0.9), ("q", "c2", 0.1), ("q", "c3", 0.5), ("q", "c4", 0.2)], "query_id string, chunk_id string, score double")
     got = [(x["chunk_id"], x["score"], list(x["duplicates"])) for x in search.collapse(hits, r, "chunk_id").orderBy("rank").collect()]
     assert got == [("c2", 0.9, ["c1", "c4"]), ("c3", 0.5, [])]
+
+
+def test_phrases_that_share_their_terms(rows, monkeypatch):
+    # every number of a kind and year: each phrase shares two of its three terms with all others of its kind
+    rnd = random.Random(9)
+    numbers = [f"{kind}-{year}-{n}" for kind in ("po", "q") for year in (2023, 2024) for n in range(50)]
+    texts = [(i, " ".join(rnd.choice([rnd.choice(numbers), "po", "2023", "17", "q 2024", "po-2023-2023"]) for _ in range(12)), rnd.choice(["", None, "po-2023", rnd.choice(numbers)])) for i in range(40)]
+    asked = [(x, x) for x in numbers] + [("two", "q-2024-7 po q-2024-7"), ("twin", "po-2023-2023"), ("none", "po-2025-1 -"), ("long", "2023-17-po-2023")]
+    posts, lengths = search.postings(rows(texts, "id int, text string, context string"), "id", ["context", "text"])
+    read = []
+    cut = search.cut
+    monkeypatch.setattr(search, "cut", lambda df: read.append(df) or cut(df))
+    got = {(r["query_id"], r["id"]): r["score"] for r in search.bm25(rows(asked, "query_id string, query string"), posts, lengths, "id", None, None).collect()}
+    words = {i: [re.findall("[a-z0-9]+", x or "") for x in (c, t)] for i, t, c in texts}
+    mean = sum(len(w) for two in words.values() for w in two) / len(texts)
+
+    def count(i, p):
+        return sum(w[j : j + len(p)] == p for w in words[i] for j in range(len(w)))
+
+    want = {}
+    for q, text_ in asked:
+        for p in (re.findall("[a-z0-9]+", x) for x in text_.split()):
+            f = {i: count(i, p) for i in words if p and count(i, p)}
+            idf = max(math.log((len(texts) - len(f) + 0.5) / (len(f) + 0.5)), 1e-6)
+            for i, n in f.items():
+                want[q, i] = want.get((q, i), 0) + idf * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * sum(map(len, words[i])) / mean))
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    # a posting is met once however many phrases have its term
+    run = read[0]._jdf.queryExecution()
+    run.toRdd().count()
+
+    def joined(node):
+        mine = node.metrics().apply("numOutputRows").value() if "Join" in node.nodeName() else 0
+        return max([mine, *(joined(node.children().apply(i)) for i in range(node.children().size()))])
+
+    assert 0 < joined(run.executedPlan()) <= posts.count()
