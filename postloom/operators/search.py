@@ -161,14 +161,20 @@ def rerank(candidates: DataFrame, queries: DataFrame, rows: DataFrame, key: str,
     return ranked(scored, key, limit).select("query_id", key, "score", "rank", "rrf", "overlap", "recency", "coherence")
 
 
+def _said(hits: DataFrame, rows: DataFrame, key: str, *more: str) -> DataFrame:
+    """(key, ``more``, norm, sh): the words of every hit text as one hash, and the hashes of its shingles, which compare faster than strings."""
+    wanted = rows.join(hits.select(key).distinct(), key, "left_semi")
+    # the words are a column of their own: in place, each shingle would find them anew
+    split = wanted.select(key, *more, "text", tokens("text").alias("_words"))
+    return split.select(key, *more, F.xxhash64(dedupe_key("text")).alias("norm"), F.transform(shingles(F.col("_words")), lambda x: F.xxhash64(x)).alias("sh"))
+
+
 def duplicate_pairs(hits: DataFrame, rows: DataFrame, key: str, threshold: float = 0.9) -> DataFrame:
     """``(query_id, a, b)`` of hits of one query that nearly say the same (a < b).
 
     Hits per query are bounded by the candidate lists, so pairs are compared within a query.
     """
-    # shingles once per hit text, as hashes, which compare faster than strings
-    wanted = rows.join(hits.select(key).distinct(), key, "left_semi")
-    said = wanted.select(key, F.xxhash64(dedupe_key("text")).alias("norm"), F.transform(shingles(tokens("text")), lambda x: F.xxhash64(x)).alias("sh"))
+    said = _said(hits, rows, key)
     t = cut(hits.select("query_id", key).join(said, key))
     a = t.select("query_id", F.col(key).alias("a"), F.col("norm").alias("na"), F.col("sh").alias("sa"))
     b = t.select("query_id", F.col(key).alias("b"), F.col("norm").alias("nb"), F.col("sh").alias("sb"))
@@ -211,8 +217,7 @@ def collapse(hits: DataFrame, rows: DataFrame, key: str, limit: int = 10, thresh
     lists the others in order. Folding comes before the cut to ``limit``. A query has no more hits than
     its candidate lists hold, so its clusters are made in one step, by the rule of ``duplicate_pairs``.
     """
-    wanted = rows.join(hits.select(key).distinct(), key, "left_semi")
-    said = wanted.select(key, "sent_at", F.xxhash64(dedupe_key("text")).alias("norm"), F.transform(shingles(tokens("text")), lambda x: F.xxhash64(x)).alias("sh"))
+    said = _said(hits, rows, key, "sent_at")
     h = hits.join(said, key).select("query_id", F.col(key).alias("k"), "score", F.col("sent_at").isNotNull().alias("dated"), F.coalesce("sent_at", F.lit("")).alias("sent_at"), "norm", "sh")
     kinds = dict(hits.dtypes)
     folded = h.groupBy("query_id").applyInPandas(_fold(threshold), f"query_id {kinds['query_id']}, k {kinds[key]}, score double, duplicates array<{kinds[key]}>")

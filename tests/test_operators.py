@@ -260,3 +260,15 @@ def test_phrases_that_share_their_terms(rows, monkeypatch):
         return max([mine, *(joined(node.children().apply(i)) for i in range(node.children().size()))])
 
     assert 0 < joined(run.executedPlan()) <= posts.count()
+
+
+def test_words_of_a_text_are_found_once(rows, monkeypatch):
+    text_ = "one two three four five six seven"
+    r = rows([("c1", text_, "2024-01-01"), ("c2", text_.upper(), None), ("c3", "", None), ("c4", None, None)], "chunk_id string, text string, sent_at string")
+    hits = rows([("q", f"c{i}") for i in range(1, 5)] + [("p", "c1")], "query_id string, chunk_id string")
+    said = []
+    cut = search.cut
+    monkeypatch.setattr(search, "cut", lambda df: said.append(df) or cut(df))
+    assert [tuple(x) for x in search.duplicate_pairs(hits, r, "chunk_id").collect()] == [("q", "c1", "c2")]
+    # not once more for each shingle
+    assert said[0]._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
