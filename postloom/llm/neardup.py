@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from postloom.operators.components import components
-from postloom.session import cut, release, tidy_shuffles
+from postloom.session import cut, parallelism, release, tidy_shuffles
 
 
 def words(c: Column) -> Column:
@@ -22,12 +22,17 @@ def shingles(w: Column, size: int) -> Column:
     return F.array_distinct(F.transform(starts, lambda i: F.xxhash64(*(F.get(w, i + j) for j in range(size)))))
 
 
+def _hashed(side: DataFrame, rows: int) -> DataFrame:
+    """``side`` of a join, ``rows`` at most and spread evenly by its key, to be hashed rather than sorted where a task's share is small."""
+    return side.hint("shuffle_hash") if rows <= 1_000_000 * parallelism(side.sparkSession) else side
+
+
 def _encoded(rows: DataFrame, cells: int, size: int, part: int) -> tuple[list[DataFrame], list[int]]:
     """(tables, steps) for ``rows`` (id, words) of about ``cells`` shingles: those that occur again, as numbers in one order from rarest to most common.
 
     The tables are (id, n, c): all different shingles of the text counted, and the numbers of those
     that other texts have too, ascending. ``steps[j]`` is the first number of a shingle in more
-    than ``part`` * 2**j texts. Texts are encoded in up to eight passes, so that the disk never
+    than ``part`` * 2**j texts. Texts are encoded in up to four passes, so that the disk never
     holds more than a share of the occurrences.
     """
     texts = rows.select("id", F.split("words", " ").alias("w")).select("id", shingles(F.col("w"), size).alias("s"))
@@ -44,8 +49,8 @@ def _encoded(rows: DataFrame, cells: int, size: int, part: int) -> tuple[list[Da
     start = F.get(F.array(*map(F.lit, starts or [0])).cast("array<bigint>"), F.shiftright("at", 33).cast("int"))
     numbered = order.select("h", "df", (start + F.col("at").bitwiseAND(F.lit(2**33 - 1))).cast(kind).alias("c"))
     steps = [x for x in numbered.agg(*(F.min(F.when(F.col("df") > part * 2**j, F.col("c"))) for j in range(32))).first() if x is not None]
-    codes = numbered.select("h", "c")
-    passes = min(8, 1 + cells // 1_000_000)
+    codes = _hashed(numbered.select("h", "c"), cells)
+    passes = min(4, 1 + cells // 2_000_000)
     tables = []
     for k in range(passes):
         mine = texts.filter(F.pmod(F.xxhash64("id"), F.lit(passes)) == k)
@@ -68,7 +73,8 @@ def near_pairs(texts: DataFrame, key: str, text: str, size: int = 5, threshold:
     n - ceil(t n) + 1 globally rarest, and of the shorter text the n - ceil(2 t n / (1 + t)) + 1
     rarest. The sizes of two texts ask for an overlap; the first shingle that they share, in the
     order of all, has at least so many of either text from it on. A meeting with fewer left is
-    dropped before it is shuffled, so no pair is lost, and the overlap of the pairs left is counted
+    dropped before it is shuffled, so no pair is lost. Maps of 256 bits per text then tell most pairs that
+    differ in too many shingles (never one that does not), and the overlap of the pairs left is counted
     from their two rows. Shingles that occur once never enter the product. The rows of a shingle that
     more than ``part`` texts share are parted, and the rows of shorter texts meet each part in a task of
     its own, so a sequence in every text holds no task up.
@@ -117,10 +123,12 @@ def _linked(encoded: DataFrame, steps: list[int], t: float) -> list[DataFrame]:
     need = F.ceil((F.col("na") + F.col("nb")) * (t / (1 + t)) - 1e-9)
     room = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
     shorter = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
-    texts = max(encoded.count(), 20_000)
+    maps = cut(encoded.select("id", "n", single.alias("single"), *_map("c")))
+    texts = max(maps.count(), 20_000)
     cells, copies = left.agg(F.count("*"), F.sum("k")).first()
     # shorter texts are taken in rounds: their copies for the parts, and the pairs they give, stay in proportion to the texts
     if not cells:
+        release(maps)
         return [cut(encoded.sparkSession.createDataFrame([], "a bigint, b bigint, overlap int, similarity double"))]
     most = min(_PLACES, 2 * _PLACES * cells // copies)
     width, lo, tables = min(most, 100_000 * _PLACES // texts), 0, []
@@ -128,20 +136,41 @@ def _linked(encoded: DataFrame, steps: list[int], t: float) -> list[DataFrame]:
         hi = lo + max(width, 1)
         # a row of the shorter text meets each part of the others, which have one place each
         mine = left.filter(F.col("place").between(lo, hi - 1)).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-        met = mine.join(right, ["h", "part"]).filter(shorter & (F.col("na") >= F.ceil(F.col("nb") * t - 1e-9)) & (room >= need))
+        met = mine.join(_hashed(right, 2 * cells), ["h", "part"]).filter(shorter & (F.col("na") >= F.ceil(F.col("nb") * t - 1e-9)) & (room >= need))
         watch = Observation()
         found = cut(met.select("a", "b").distinct(), watch, F.count(F.lit(1)).alias("pairs"))
         pairs = watch.get["pairs"]
-        tables += _judged(found, encoded, t, -(-pairs // texts) or 1)
+        watch = Observation()
+        close = cut(_close(found, maps, texts, t), watch, F.count(F.lit(1)).alias("pairs"))
         release(found)
+        # the pairs are narrow and the rows of texts wide: those go by unsorted
+        tables += _judged(_hashed(close, texts), encoded, t, -(-watch.get["pairs"] // texts) or 1)
+        release(close)
         if len(tables) > 32:
             old, tables = tables, [cut(reduce(DataFrame.unionByName, tables))]
             for table in old:
                 release(table)
         width, lo = int(min(most, width * min(4, max(0.25, 20 * texts / (pairs or 1))))), hi
+    release(maps)
     return tables
 
 
+def _map(c: str) -> list[Column]:
+    """256 bits in four columns: each tells whether an odd number of the shingles fall on it. Two maps differ in no more bits than their texts in shingles."""
+    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("bigint"), x.bitwiseAND(F.lit(63)).cast("int"))
+    mine = lambda k: F.filter(c, lambda x: F.shiftright(x, 6).bitwiseAND(F.lit(3)) == k)
+    return [F.aggregate(mine(k), F.lit(0).cast("bigint"), lambda acc, x: acc.bitwiseXOR(bit(x))).alias(f"m{k}") for k in range(4)]
+
+
+def _close(found: DataFrame, maps: DataFrame, texts: int, t: float) -> DataFrame:
+    """The candidates whose maps, and shingles that no other text has, do not differ too much already."""
+    a, b = (_hashed(maps.select(F.col("id").alias(k), *(F.col(c).alias(f"{c}_{k}") for c in maps.columns[1:])), texts) for k in ("a", "b"))
+    full = found.join(a, "a").join(b, "b")
+    differ = reduce(Column.__add__, (F.bit_count(F.col(f"m{k}_a").bitwiseXOR(F.col(f"m{k}_b"))) for k in range(4)), F.col("single_a") + F.col("single_b"))
+    size = F.col("n_a") + F.col("n_b")
+    return full.filter(differ <= size - 2 * F.ceil(size * (t / (1 + t)) - 1e-9)).select("a", "b")
+
+
 # Fixed value: how finely the texts can be parted into rounds.
 _PLACES = 1 << 20
 
@@ -151,7 +180,8 @@ def _judged(found: DataFrame, encoded: DataFrame, t: float, passes: int) -> list
     tables = []
     for i in range(passes):
         mine, first = (x.filter(F.pmod(F.xxhash64(k, F.lit("pass")), F.lit(passes)) == i) for x, k in ((found, "a"), (encoded, "id")))
-        full = mine.join(first.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca")), "a").join(encoded.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb")), "b")
+        shorter = first.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca")).join(mine, "a")
+        full = shorter.join(encoded.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb")), "b")
         overlap = full.select("a", "b", "na", "nb", F.size(F.array_intersect("ca", "cb")).alias("overlap"))
         union = F.col("na") + F.col("nb") - F.col("overlap")
         tables.append(cut(overlap.filter(F.col("overlap") >= F.ceil(union * t - 1e-9)).select("a", "b", "overlap", (F.col("overlap") / union).alias("similarity"))))
